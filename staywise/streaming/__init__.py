@@ -1,0 +1 @@
+"""Intentionally empty: every input this package covers is read in batch."""
