@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 @dataclass(frozen=True)
@@ -166,18 +167,17 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-def _vocabulary(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(tokens(text)).alias("token")).distinct()
+@F.pandas_udf(DoubleType())
+def similarity(token: pd.Series, word: pd.Series) -> pd.Series:
+    """``difflib`` ratio of a token against a keyword (the keyword is the second sequence)."""
+    matchers: dict[str, difflib.SequenceMatcher] = {}
 
+    def ratio(text: str, keyword: str) -> float:
+        matcher = matchers.setdefault(keyword, difflib.SequenceMatcher(b=keyword))
+        matcher.set_seq1(text)
+        return matcher.ratio()
 
-def _ratio_scorer(keywords: Sequence[str], cutoff: float):
-    words = tuple(keywords)
-
-    @F.pandas_udf("boolean")
-    def close(token: pd.Series) -> pd.Series:
-        return token.map(lambda t: bool(difflib.get_close_matches(t, words, n=1, cutoff=cutoff)))
-
-    return close
+    return pd.Series([ratio(t, w) for t, w in zip(token, word)], dtype="float64")
 
 
 def fuzzy_tokens(
@@ -185,17 +185,23 @@ def fuzzy_tokens(
 ) -> DataFrame:
     """Distinct tokens close to any keyword.
 
-    Each distinct token is scored once. ``ratio`` is the ``difflib`` similarity;
-    ``edits`` stays in the JVM: edit distance <= (1 - cutoff) x longer length.
+    Each distinct token meets each keyword of the fixed list once. ``ratio`` is
+    the ``difflib`` similarity; ``edits`` stays in the JVM: edit distance
+    <= (1 - cutoff) x longer length.
     """
-    vocabulary = _vocabulary(df, text)
+    vocabulary = df.select(F.explode(tokens(text)).alias("token")).distinct()
+    met = vocabulary.select("token", F.explode(F.array(*[F.lit(w) for w in keywords])).alias("word"))
+    a, b = F.length("token"), F.length("word")
+    edits = F.levenshtein(F.col("token"), F.col("word"))
     if method == "ratio":
-        return vocabulary.filter(_ratio_scorer(keywords, cutoff)("token"))
-    near = F.lit(False)
-    for word in keywords:
-        longest = F.greatest(F.length("token"), F.lit(len(word)))
-        near = near | (F.levenshtein(F.col("token"), F.lit(word)) <= F.bround((1 - cutoff) * longest, 6))
-    return vocabulary.filter(near)
+        # A ratio r needs 2 min(a, b) >= r (a + b) and matches M >= r (a + b) / 2, hence at most
+        # a + b - 2 M <= (1 - r)(a + b) edits: exact sieves in the JVM, so few pairs reach Python.
+        met = met.filter(2 * F.least(a, b) >= F.lit(cutoff - 1e-9) * (a + b))
+        met = met.filter(edits <= F.lit(1 - cutoff + 1e-9) * (a + b))
+        close = met.filter(similarity("token", "word") >= cutoff)
+    else:
+        close = met.filter(edits <= F.bround((1 - cutoff) * F.greatest(a, b), 6))
+    return close.select("token").distinct()
 
 
 def fuzzy_rows(

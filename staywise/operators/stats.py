@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.operators.quantiles import exact_quantiles
-from staywise.operators.ranks import average_ranks
+from staywise.operators.ranks import running_totals
 
 
 def long_form(wide: DataFrame, names: Sequence[str], key: str, columns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -161,21 +161,20 @@ def spearman(df: DataFrame, a: str, b: str, places: int = 6, name: str = "spearm
     left = _weighted_ranks(pairs, "_a", "_ra")
     right = _weighted_ranks(pairs, "_b", "_rb")
     ranked = pairs.join(left, "_a").join(right, "_b")
-    # ranks are centred on their known mean (n + 1) / 2, which keeps the sums well scaled
-    n = pairs.select(F.sum("_w")).scalar()
-    x, y = F.col("_ra") - (n + 1) / 2, F.col("_rb") - (n + 1) / 2
-    return ranked.agg(
-        F.bround(
-            F.sum(F.col("_w") * x * y)
-            / F.nullif(F.sqrt(F.sum(F.col("_w") * x * x) * F.sum(F.col("_w") * y * y)), F.lit(0.0)),
-            places,
-        ).alias(name)
+    w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
+    sums = ranked.agg(
+        F.sum(w).alias("n"),
+        F.sum(w * x).alias("x"),
+        F.sum(w * y).alias("y"),
+        F.sum(w * x * x).alias("xx"),
+        F.sum(w * y * y).alias("yy"),
+        F.sum(w * x * y).alias("xy"),
     )
+    spread = F.sqrt(F.expr("(xx - x * x / n) * (yy - y * y / n)"))
+    return sums.select(F.bround(F.expr("xy - x * y / n") / F.nullif(spread, F.lit(0.0)), places).alias(name))
 
 
 def _weighted_ranks(pairs: DataFrame, column: str, name: str) -> DataFrame:
-    from staywise.operators.ranks import running_totals
-
     counts = pairs.groupBy(column).agg(F.sum("_w").alias("_n"))
     return running_totals(counts, column, ["_n"]).select(
         column, (F.col("_n_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(name)
@@ -232,9 +231,3 @@ def error_by_truth(df: DataFrame, truth: str, prediction: str, places: int = 4)
         (F.col("max") - F.col("min")).alias("range"),
     )
 
-
-__all__ = [
-    "average_ranks", "basic_stats", "box_summary", "corr_with_label", "describe", "duplicate_count",
-    "error_by_truth", "histogram", "long_form", "null_counts", "pearson", "rate_by_bin", "share_of_total",
-    "side_by_side_counts", "spearman", "value_counts",
-]

@@ -72,10 +72,12 @@ def readmissions(
     end: str = "stay_out",
     include_first: bool = False,
     hot: HotKeys = NO_HOT_KEYS,
+    los: str | None = None,
 ) -> DataFrame:
     """Gap to the stay before, its id, end and length, from one pass per entity.
 
-    First stays have no gap; they are dropped unless ``include_first`` (Q1).
+    The length is the ``los`` column when given, else end minus start. First
+    stays have no gap; they are dropped unless ``include_first`` (Q1).
     """
     linked = ordered(
         stays,
@@ -85,7 +87,7 @@ def readmissions(
         previous={
             "prev_stay_id": F.col(stay),
             "prev_out": F.col(end),
-            "prev_los": los_days(start, end),
+            "prev_los": F.col(los) if los else los_days(start, end),
         },
         hot=hot,
     ).withColumn("readm_days", days_between("prev_out", start))

@@ -45,7 +45,8 @@ def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
     )
     # at most k rows reach this window
     return best.withColumn(
-        "pair_rank", F.row_number().over(Window.orderBy(F.col("n_trans").desc(), F.col("pair")))
+        "pair_rank",
+        F.row_number().over(Window.orderBy(F.col("n_trans").desc(), F.col("pair"))).cast("bigint"),
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from workload import filters  # noqa: F401
+from workload import aggregates, filters, joins, scalars  # noqa: F401
 from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
