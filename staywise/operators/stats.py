@@ -174,6 +174,15 @@ def spearman(df: DataFrame, a: str, b: str, places: int = 6, name: str = "spearm
     return sums.select(F.bround(F.expr("xy - x * y / n") / F.nullif(spread, F.lit(0.0)), places).alias(name))
 
 
+def correlation_summary(df: DataFrame, a: str, b: str, places: int = 6) -> DataFrame:
+    """Rows, mean of ``a``, and both correlations of ``a`` with ``b``."""
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.bround(F.avg(a), places).alias("mean_trav"),
+        F.bround(F.corr(a, b), places).alias("pearson"),
+    ).withColumn("spearman", spearman(df, a, b, places).scalar())
+
+
 def _weighted_ranks(pairs: DataFrame, column: str, name: str) -> DataFrame:
     counts = pairs.groupBy(column).agg(F.sum("_w").alias("_n"))
     return running_totals(counts, column, ["_n"]).select(

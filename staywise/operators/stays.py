@@ -177,6 +177,7 @@ def with_day_flags(df: DataFrame, start: str = "stay_in", end: str = "stay_out")
 def transfer_path(
     transfers: DataFrame,
     key: str = "admission_id",
+    entity: str = "entity_id",
     time: str = "intime",
     tie: str = "event_id",
     unit: str = "curr_unit",
@@ -186,7 +187,7 @@ def transfer_path(
 
     Steps stay rows: an array per admission would gather a whole admission in one value.
     """
-    steps = ordered(transfers, [key], time, [tie], running={"step": F.lit(1)}, hot=hot)
+    steps = ordered(transfers, [entity, key], time, [tie], running={"step": F.lit(1)}, hot=hot)
     return steps.select(key, F.col("step").cast("int").alias("step"), F.col(unit).alias("unit"))
 
 

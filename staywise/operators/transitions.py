@@ -30,11 +30,16 @@ def label_pairs(
     ).withColumn("pair", pair_label(prev_unit, unit))
 
 
-def pair_shares(pairs: DataFrame, places: int = 6) -> DataFrame:
-    """Count and overall share of each pair."""
-    counts = pairs.groupBy("pair").agg(F.count("*").alias("n_trans"))
+def pair_table(pairs: DataFrame, places: int = 6) -> DataFrame:
+    """Count, overall share and P(previous | current) of each pair, from one count."""
+    counts = transition_probabilities(pairs)
     total = counts.select(F.sum("n_trans")).scalar()
-    return counts.withColumn("share", F.bround(F.col("n_trans") / total, places))
+    return counts.select(
+        pair_label("prev_unit", "curr_unit").alias("pair"),
+        "n_trans",
+        F.bround(F.col("n_trans") / total, places).alias("share"),
+        F.bround("prob", places).alias("prob"),
+    )
 
 
 def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:

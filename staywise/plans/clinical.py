@@ -36,7 +36,8 @@ def clinical_flags(
     labs: DataFrame,
     procedures: DataFrame,
     *,
-    by: Sequence[str],
+    service_by: Sequence[str],
+    lab_by: Sequence[str],
     service_time: str,
     service_tie: str,
     lab_time: str,
@@ -50,10 +51,10 @@ def clinical_flags(
 ) -> DataFrame:
     """Add ``surg``, ``abnormal_lab`` and the procedure columns; no match gives 0 when ``fill``."""
     with_service = event_in_span(
-        stays, services, by, start, end, service_time, service_tie, name="surg", hot=hot
+        stays, services, service_by, start, end, service_time, service_tie, name="surg", hot=hot
     )
     with_lab = asof_latest(
-        with_service, labs, by, end, lab_time, {"abnormal_lab": F.col(abnormal)}, tie=lab_tie, hot=hot
+        with_service, labs, lab_by, end, lab_time, {"abnormal_lab": F.col(abnormal)}, tie=lab_tie, hot=hot
     )
     out = with_lab.join(procedures, list(procedure_keys), "left")
     added = ["surg", "abnormal_lab", *[c for c in procedures.columns if c not in procedure_keys]]

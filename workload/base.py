@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 UNITS = ("view", "click", "purchase")  # the unit types that count as stays of interest
+HANDOFF_UNITS = (*UNITS, "error")  # a stay may end in any unit
 EXCLUDED = ("error",)
 WINDOW_DAYS = 1
 UNIT_CODES = {"": 0, "view": 1, "click": 2, "purchase": 3, "error": 4}
@@ -154,6 +155,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 __all__ = [
-    "EXCLUDED", "ORACLES", "QUERIES", "Tables", "UNITS", "UNIT_CODES", "WINDOW_DAYS", "query",
+    "EXCLUDED", "HANDOFF_UNITS", "ORACLES", "QUERIES", "Tables", "UNITS", "UNIT_CODES", "WINDOW_DAYS", "query",
     "with_fx", "with_sales",
 ]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from staywise.operators import asof, cohort, stats, stays
-from workload.base import UNITS, query, with_fx
+from workload.base import HANDOFF_UNITS, query, with_fx
 from workload.filters import GAPS, SEGMENT_CODES, readmissions
 
 
@@ -59,12 +59,12 @@ HANDOFF_SQL = """
 handoff AS (
 SELECT t1.entity_id, t1.stay_id, t1.event_id, t1.outtime AS handoff_at, t2.event_id AS next_event_id, t2.curr_unit AS next_unit
 FROM fx_transfers t1 JOIN fx_transfers t2 ON t1.entity_id = t2.entity_id AND t1.outtime = t2.intime
-WHERE t1.curr_unit IN ('view', 'click', 'purchase') AND t2.prev_unit <> '')"""
+WHERE t1.curr_unit IN ('view', 'click', 'purchase', 'error') AND t2.prev_unit <> '')"""
 
 
 @query(with_fx("SELECT * FROM handoff", HANDOFF_SQL))
 def next_unit_after_stay(t):
-    return stays.handoffs(t.fx_transfers, UNITS)
+    return stays.handoffs(t.fx_transfers, HANDOFF_UNITS)
 
 
 ERRORS_SQL = """
