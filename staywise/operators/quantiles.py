@@ -1,9 +1,11 @@
 """Exact quantiles without gathering a group's values in one task.
 
 ``percentile`` / ``median`` keep every distinct value of a group in one buffer.
-Here a mergeable sketch brackets each wanted rank, one partial aggregate counts
-what lies below the bracket, and only the few values inside it are ranked. The
-result is exact (linear interpolation between neighbours, as pandas does).
+Here one pass builds a mergeable sketch per group that brackets each wanted
+rank, and a second pass counts what lies below each bracket and keeps only the
+few values inside it. The result is exact (linear interpolation between
+neighbours, as pandas does); a rank outside its bracket would be an error, never
+a wrong number.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000  # a bracket spans about 4 / ACCURACY of a group's rows
+BROADCAST_GROUPS = 10_000
 
 
 def exact_quantiles(
@@ -23,106 +26,85 @@ def exact_quantiles(
     names: Sequence[str],
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    broadcast_groups: int = BROADCAST_GROUPS,
 ) -> DataFrame:
-    """One row per group: ``by`` columns plus one column per probability."""
+    """One row per group: ``by`` columns plus one column per probability.
+
+    Runs the sketch pass when called. Up to ``broadcast_groups`` brackets are
+    brought back and broadcast; beyond that they are joined.
+    """
     value = F.col(value) if isinstance(value, str) else value
     keys = [f"_g{i}" for i in range(len(by))]
     data = df.select(
         *[F.col(c).alias(k) for c, k in zip(by, keys)], value.cast("double").alias("_v")
     ).filter(F.col("_v").isNotNull())
-    slack = 2.0 / accuracy
-
-    def sketch(shift: float) -> Column:
-        at = [F.lit(min(max(p + shift, 0.0), 1.0)) for p in probs]
-        return F.percentile_approx("_v", F.array(*at), accuracy)
+    bracketed = _with_brackets(data, keys, probs, accuracy, broadcast_groups)
+    targets = range(len(probs))
+    low, high = [F.col(f"_lo{i}") for i in targets], [F.col(f"_hi{i}") for i in targets]
+    v = F.col("_v")
 
-    brackets = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"), sketch(-slack).alias("_lo"), sketch(slack).alias("_hi")
-    )
-    if by:
-        right = brackets.select(*[F.col(k).alias(f"{k}_b") for k in keys], "_lo", "_hi")
-        match = F.lit(True)
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"{k}_b"))
-        ranged = data.join(right, match)
-    else:
-        one = brackets.select(F.struct("_lo", "_hi").alias("b")).scalar()
-        ranged = data.withColumn("_b", one).select("_v", "_b._lo", "_b._hi")
-
-    outside = ranged.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        *[F.count_if(F.col("_v") < F.col("_lo")[i]).alias(f"_below{i}") for i in range(len(probs))],
-        *[
-            F.max(F.when(F.col("_v") < F.col("_lo")[i], F.col("_v"))).alias(f"_under{i}")
-            for i in range(len(probs))
-        ],
-        *[
-            F.min(F.when(F.col("_v") > F.col("_hi")[i], F.col("_v"))).alias(f"_over{i}")
-            for i in range(len(probs))
-        ],
-    )
-    hits = F.array(
-        *[F.when(F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i]), F.lit(i)) for i in range(len(probs))]
+    # Values in a bracket keep their own row, all others of the group share the NULL row.
+    kept = F.lit(False)
+    for i in targets:
+        kept = kept | v.between(low[i], high[i])
+    counted = bracketed.groupBy(*keys, F.when(kept, v).alias("_value")).agg(
+        F.count("*").alias("_c"),
+        *[F.max(f"{end}{i}").alias(f"{end}{i}") for end in ("_lo", "_hi") for i in targets],
+        *[F.count_if(v < low[i]).alias(f"_below{i}") for i in targets],
+        *[F.max(F.when(v < low[i], v)).alias(f"_under{i}") for i in targets],
+        *[F.min(F.when(v > high[i], v)).alias(f"_over{i}") for i in targets],
     )
-    inside = (
-        ranged.select(*keys, "_v", F.explode(F.array_compact(hits)).alias("_i"))
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count("*").alias("_c"))
+    # From here on a group has only its bracketed values left.
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    spread = counted.select(
+        *keys,
+        "_value",
+        "_c",
+        F.sum("_c").over(group).alias("_n"),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("i"),
+                    F.lit(float(p)).alias("p"),
+                    F.col("_value").between(low[i], high[i]).alias("inside"),
+                    F.sum(f"_below{i}").over(group).alias("below"),
+                    F.max(f"_under{i}").over(group).alias("under"),
+                    F.min(f"_over{i}").over(group).alias("over"),
+                )
+                for i, p in enumerate(probs)
+            ]
+        ).alias("_targets"),
     )
-    order = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(
+    exploded = spread.select(*keys, "_value", "_c", "_n", F.explode("_targets").alias("t")).filter("t.inside")
+    walk = Window.partitionBy(*keys, "t.i").orderBy("_value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = inside.withColumn("_upto", F.sum("_c").over(order))
-    outside_long = outside.select(
-        *[F.col(k).alias(f"{k}_o") for k in keys],
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.lit(float(p)).alias("p"),
-                        F.col(f"_below{i}").alias("below"),
-                        F.col(f"_under{i}").alias("under"),
-                        F.col(f"_over{i}").alias("over"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("t"),
-    )
-    match = F.col("_i") == F.col("t.i")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"{k}_o"))
+    ranked = exploded.withColumn("_end", F.col("t.below") + F.sum("_c").over(walk))
+    start, end = F.col("_end") - F.col("_c"), F.col("_end")
     position = F.col("t.p") * (F.col("_n") - 1)
-    first = F.floor(position)
-    second = F.ceil(position)
-    start = F.col("t.below") + F.col("_upto") - F.col("_c")
-    end = F.col("t.below") + F.col("_upto")
+    first, second = F.floor(position), F.ceil(position)
 
     def at_rank(rank: Column) -> Column:
-        found = F.max(F.when((start <= rank) & (rank < end), F.col("_v")))
+        found = F.max(F.when((start <= rank) & (rank < end), F.col("_value")))
         edge = F.max(
-            F.when(rank == F.col("t.below") - 1, F.col("t.under")).when(
-                rank >= F.col("t.below"), F.col("t.over")
-            )
+            F.when(rank == F.col("t.below") - 1, F.col("t.under")).when(rank >= F.col("t.below"), F.col("t.over"))
         )
         return F.coalesce(found, edge)
 
     picked = (
-        outside_long.join(ranked, match)
-        .groupBy(*keys, F.col("t.i").alias("_i"))
+        ranked.groupBy(*keys, F.col("t.i").alias("_i"))
         .agg(
             at_rank(first).alias("_a"),
             at_rank(second).alias("_b"),
             F.max(position - first).alias("_w"),
-            F.max(first < F.col("t.below") - 1).alias("_short"),
+            (F.min(first) < F.min("t.below") - 1).alias("_short"),
             (F.max(second) > F.max(end)).alias("_long"),
         )
         .withColumn(
             "_q",
             F.when(
-                F.col("_short") | F.col("_long"), F.raise_error(F.lit("quantile left its bracket")).cast("double")
+                F.col("_short") | F.col("_long"),
+                F.raise_error(F.lit("quantile left its bracket")).cast("double"),
             ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")),
         )
     )
@@ -131,5 +113,24 @@ def exact_quantiles(
     )
 
 
-def exact_median(df: DataFrame, value: Column | str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    return exact_quantiles(df, value, [0.5], [name], by)
+def _with_brackets(
+    data: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int, most: int
+) -> DataFrame:
+    """Add ``_lo<i>`` / ``_hi<i>``: per probability, sketch values safely around the wanted rank."""
+    slack, n = 2.0 / accuracy, len(probs)
+    at = [F.lit(min(max(p + shift, 0.0), 1.0)) for shift in (-slack, slack) for p in probs]
+    both = data.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*at), accuracy).alias("_b"))
+    ends = [f"{end}{i}" for end in ("_lo", "_hi") for i in range(n)]
+    if not keys:
+        found = both.first()["_b"] or [None] * len(ends)
+        return data.withColumns({end: F.lit(x).cast("double") for end, x in zip(ends, found)})
+    named = both.select(
+        *[F.col(k).alias(f"{k}_b") for k in keys], *[F.col("_b")[j].alias(end) for j, end in enumerate(ends)]
+    )
+    rows = named.limit(most + 1).collect()
+    if len(rows) <= most:
+        named = F.broadcast(data.sparkSession.createDataFrame(rows, named.schema))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    return data.join(named, match).drop(*[f"{k}_b" for k in keys])

@@ -1,53 +1,62 @@
-"""Running totals and average ranks over one global order, without a one-task window.
+"""Running totals over one global order, without a one-task window over all rows.
 
-Rows are first reduced to one row per distinct value. Sketch-chosen cut points
-split those values into slices; each slice is windowed on its own and shifted by
-the total of the slices before it (at most ``COARSE * FINE`` summary rows).
+The input has one row per distinct value. When there are many, sketch-chosen cut
+points split them into slices of bounded size; each slice is windowed on its own
+and shifted by the total of the slices before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE, FINE = 32, 32
+SLICE_ROWS = 250_000
+MOST_SLICES = 4096
 
 
-def _slice_number(value: Column, cuts: Column) -> Column:
-    """Index of the slice: search the block heads first, then one block."""
-    block = F.size(F.filter(cuts, lambda b: b[0] <= value))
-    inner = F.size(F.filter(F.get(cuts, block - 1), lambda c: c <= value))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * FINE + inner)
+def _cut(df: DataFrame, value: str, slice_rows: int) -> tuple[DataFrame, int]:
+    """Add ``_slice``; the cut points (at most ``MOST_SLICES`` numbers) come from one pass."""
+    at = F.split(F.lit(",".join(repr(i / MOST_SLICES) for i in range(1, MOST_SLICES))), ",").cast("array<double>")
+    found = df.agg(
+        F.count("*").alias("n"),
+        F.percentile_approx(F.col(value).cast("double"), at, 10 * MOST_SLICES).alias("cuts"),
+    ).first()
+    wanted = min(-(-found["n"] // slice_rows), MOST_SLICES)
+    if wanted <= 1:
+        return df.withColumn("_slice", F.lit(0.0)), 1
+    step = MOST_SLICES / wanted
+    cuts = sorted({found["cuts"][round(i * step) - 1] for i in range(1, wanted)})
+    splits = [float("-inf"), *cuts, float("inf")]
+    number = df.withColumn("_number", F.col(value).cast("double"))
+    sliced = Bucketizer(splits=splits, inputCol="_number", outputCol="_slice", handleInvalid="keep").transform(number)
+    return sliced.drop("_number"), len(splits) - 1
 
 
 def running_totals(
-    df: DataFrame, value: str, sums: Sequence[str], descending: bool = False
+    df: DataFrame, value: str, sums: Sequence[str], descending: bool = False, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """``value`` must be distinct per row; adds ``<sum>_upto`` (inclusive) for each sum column."""
-    n = COARSE * FINE
-    # the probabilities as one text literal keep the plan small
-    probs = F.split(F.lit(",".join(repr(i / n) for i in range(n))), ",").cast("array<double>")
-    sketch = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, n * 5).alias("c"))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda b: F.slice("c", b * FINE + 1, FINE))
-    cuts = sketch.select(blocks.alias("b")).scalar()
-    parts = (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_slice", _slice_number(F.col(value).cast("double"), F.col("_cuts")))
-        .drop("_cuts")
-    )
+    """Add ``<sum>_upto`` (inclusive) for each sum column, in the order of ``value``.
+
+    ``value`` must be distinct and not NULL.
+    """
+    sliced, slices = _cut(df, value, slice_rows)
     way = F.col(value).desc() if descending else F.col(value).asc()
     inner = Window.partitionBy("_slice").orderBy(way).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    per_slice = parts.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    local = sliced.select("*", *[F.sum(c).over(inner).alias(f"{c}_upto") for c in sums])
+    if slices == 1:
+        return local.drop("_slice")
+    # at most MOST_SLICES + 1 rows, so one task orders them and every task gets a copy
+    per_slice = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     slice_way = F.col("_slice").desc() if descending else F.col("_slice").asc()
     before = Window.orderBy(slice_way).rowsBetween(Window.unboundedPreceding, -1)
     shift = per_slice.select(
         "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums]
     )
-    local = parts.select("*", *[F.sum(c).over(inner).alias(f"_u_{c}") for c in sums])
     return local.join(F.broadcast(shift), "_slice").select(
-        *df.columns, *[(F.col(f"_u_{c}") + F.col(f"_s_{c}")).alias(f"{c}_upto") for c in sums]
+        *df.columns, *[(F.col(f"{c}_upto") + F.col(f"_s_{c}")).alias(f"{c}_upto") for c in sums]
     )

@@ -82,6 +82,7 @@ def describe(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFram
     ).select("x.*")
     quartiles = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["q1", "q2", "q3"], by=["column"])
     rounded = ["mean", "std", "min", "q1", "q2", "q3", "max"]
+    # one row per described column
     return long.join(F.broadcast(quartiles), "column", "left").select(
         "column", "n", *[F.bround(c, places).alias(c) for c in rounded]
     )

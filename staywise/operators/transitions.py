@@ -48,10 +48,10 @@ def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
         pairs.groupBy("pair").agg(F.count("*").alias("n_trans"))
         .orderBy(F.col("n_trans").desc(), F.col("pair")).limit(k)
     )
-    # at most k rows reach this window
-    return best.withColumn(
-        "pair_rank",
-        F.row_number().over(Window.orderBy(F.col("n_trans").desc(), F.col("pair"))).cast("bigint"),
+    # at most k rows are gathered
+    way = F.array_sort(F.collect_list(F.struct((-F.col("n_trans")).alias("order"), "pair", "n_trans")))
+    return best.agg(way.alias("_best")).select(F.posexplode("_best").alias("_at", "_pair")).select(
+        "_pair.pair", "_pair.n_trans", (F.col("_at") + 1).cast("bigint").alias("pair_rank")
     )
 
 
