@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staywise.functions.aggregates import correlation
 from staywise.functions.tails import chi2_tail, f_tail
 from staywise.operators.stats import long_form
 
@@ -43,14 +44,14 @@ def score_f_regression(df: DataFrame, features: Sequence[str], label: str, place
     """
     wide = df.agg(
         F.count("*").alias("n"),
-        *[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"r_{c}") for c in features],
+        *[correlation(c, label).alias(f"r_{c}") for c in features],
     )
 
     def score(c: str) -> Column:
         r2 = F.col(f"r_{c}") * F.col(f"r_{c}")
         flat = F.col(f"r_{c}").isNull() | F.isnan(f"r_{c}")
         value = F.when(flat, F.lit(None).cast("double")).when(
-            r2 >= 1 - 1e-15, F.lit(float("inf"))
+            r2 >= 1 - 1e-12, F.lit(float("inf"))
         ).otherwise(r2 / F.nullif(1 - r2, F.lit(0.0)) * (F.col("n") - 2))
         if places is not None:
             value = F.when(value == float("inf"), value).otherwise(F.bround(value, places))

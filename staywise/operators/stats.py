@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staywise.functions.aggregates import correlation
 from staywise.operators.quantiles import exact_quantiles
 from staywise.operators.ranks import running_totals
 
@@ -144,7 +145,7 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "bin") -> Dat
 
 
 def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (), places: int = 6, name: str = "pearson") -> DataFrame:
-    return df.groupBy(*by).agg(F.bround(F.corr(a, b), places).alias(name))
+    return df.groupBy(*by).agg(F.bround(correlation(a, b), places).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str, places: int = 6, name: str = "spearman") -> DataFrame:
@@ -180,7 +181,7 @@ def correlation_summary(df: DataFrame, a: str, b: str, places: int = 6) -> DataF
     return df.agg(
         F.count("*").alias("n_rows"),
         F.bround(F.avg(a), places).alias("mean_trav"),
-        F.bround(F.corr(a, b), places).alias("pearson"),
+        F.bround(correlation(a, b), places).alias("pearson"),
     ).withColumn("spearman", spearman(df, a, b, places).scalar())
 
 
@@ -193,7 +194,7 @@ def _weighted_ranks(pairs: DataFrame, column: str, name: str) -> DataFrame:
 
 def corr_with_label(df: DataFrame, features: Sequence[str], label: str, places: int = 6) -> DataFrame:
     """Pearson correlation of every feature with the label, one pass."""
-    wide = df.agg(*[F.bround(F.corr(c, label), places).alias(f"r_{c}") for c in features])
+    wide = df.agg(*[F.bround(correlation(c, label), places).alias(f"r_{c}") for c in features])
     return long_form(wide, features, "feature", [("corr", "r_")])
 
 

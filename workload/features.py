@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from staywise.functions import codes, times
+from staywise.functions.aggregates import correlation
 from staywise.operators import cohort, groups, split, stats, stays, transitions
 from staywise.plans import admission, clinical
 from staywise.plans.composite import CompositeSpec
@@ -406,6 +407,6 @@ def los_vs_stays(t):
     return joined.agg(
         F.count("*").alias("n_admissions"),
         F.bround(F.avg("days"), 6).alias("mean_days"),
-        F.bround(F.corr("days", "n"), 6).alias("pearson"),
+        F.bround(correlation("days", "n"), 6).alias("pearson"),
     )
 
