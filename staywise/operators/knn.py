@@ -19,6 +19,7 @@ from staywise.functions.codes import hash_unit
 
 PIVOTS = 64
 BLOCK_ROWS = 8192
+CHUNK_VALUES = 4_000_000  # numbers held at once while comparing a block
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -102,17 +103,26 @@ def knn_regress(
 
     def search(probes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         """The k best of one block for each of its test rows."""
-        found = []
-        if len(probes) and len(rows):
-            rows = rows.sort_values("id")
-            vectors, ids, labels = _matrix(rows["v"]), rows["id"].to_numpy(), rows["y"].to_numpy()
-            for probe, v in zip(probes["id"].to_numpy(), _matrix(probes["v"])):
-                gap = ((vectors - v) ** 2).sum(axis=1)
-                best = np.argsort(gap, kind="stable")[:k]
-                found.append(pd.DataFrame({"id": probe, "gap": gap[best], "other": ids[best], "y": labels[best]}))
-        if not found:
+        if not len(probes) or not len(rows):
             return pd.DataFrame({"id": [], "gap": [], "other": [], "y": []})
-        return pd.concat(found)
+        rows = rows.sort_values("id")
+        vectors, ids, labels = _matrix(rows["v"]), rows["id"].to_numpy(), rows["y"].to_numpy()
+        wanted, step = _matrix(probes["v"]), max(1, CHUNK_VALUES // vectors.size)
+        gaps, order = [], []
+        for i in range(0, len(wanted), step):
+            gap = ((wanted[i : i + step, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
+            best = np.argsort(gap, axis=1, kind="stable")[:, :k]
+            gaps.append(np.take_along_axis(gap, best, axis=1))
+            order.append(best)
+        best = np.concatenate(order)
+        return pd.DataFrame(
+            {
+                "id": np.repeat(probes["id"].to_numpy(), best.shape[1]),
+                "gap": np.concatenate(gaps).ravel(),
+                "other": ids[best].ravel(),
+                "y": labels[best].ravel(),
+            }
+        )
 
     block = ["cell", "part", "batch"]
     candidates = (

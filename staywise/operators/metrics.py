@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staywise.operators.quantiles import exact_quantiles
 from staywise.operators.ranks import running_totals
+from staywise.session import reliable_checkpoint
 
 
 def _match(by: Sequence[str]) -> Column:
@@ -89,6 +90,8 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
         .groupBy(F.col(score).alias("threshold"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     )
+    # one row per distinct score; read by the cut, the walk and the totals
+    per_score = reliable_checkpoint(per_score)
     walked = running_totals(per_score, "threshold", ["pos", "neg"], descending=True)
     total = per_score.select(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     zero = F.lit(0.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from staywise.functions.aggregates import correlation
 from staywise.operators.quantiles import exact_quantiles
 from staywise.operators.ranks import running_totals
+from staywise.session import reliable_checkpoint
 
 
 def long_form(wide: DataFrame, names: Sequence[str], key: str, columns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -160,6 +161,8 @@ def spearman(df: DataFrame, a: str, b: str, places: int = 6, name: str = "spearm
         .groupBy("_a", "_b")
         .agg(F.count("*").cast("double").alias("_w"))
     )
+    # read five times below, and far smaller than the rows it was counted from
+    pairs = reliable_checkpoint(pairs)
     left = _weighted_ranks(pairs, "_a", "_ra")
     right = _weighted_ranks(pairs, "_b", "_rb")
     ranked = pairs.join(left, "_a").join(right, "_b")

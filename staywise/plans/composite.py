@@ -80,11 +80,13 @@ def composite_features(
     keep: DataFrame | None = None,
     los: DataFrame | None = None,
     hot: HotKeys = NO_HOT_KEYS,
+    with_times: bool = False,
 ) -> DataFrame:
     """Feature table, label ``los`` last.
 
     ``keep`` limits the entities (adults); ``los`` (stay_id, los) replaces the
-    computed length of stay for the label and the stay before.
+    computed length of stay for the label and the stay before; ``with_times``
+    keeps the ends of the stay for further joins.
     """
     table = stay_table(transfers, spec)
     if los is not None:
@@ -115,6 +117,7 @@ def composite_features(
     }
     final = counted.withColumns({**code, "_w": weights}).select(
         *STAY_KEYS,
+        *(["stay_in", "stay_out"] if with_times else []),
         "readm_days",
         "prev_los",
         "n_transfers",

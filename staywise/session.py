@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,19 +31,24 @@ def session(app: str = "staywise", master: str | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df):
-    """Cut lineage through the cluster's checkpoint folder.
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write a small intermediate result that several passes read, and cut its lineage.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master, where
-    the setting may be missing, gets a folder of its own.
+    The folder is the one the session names in ``spark.checkpoint.dir``, which
+    all executors share. Where it is unset, a local master gets a folder of its
+    own and a cluster recomputes instead.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.master.startswith("local"):
+        folder = _local_folder()
+    if context.getCheckpointDir() is None:
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+            return df
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="run-")
