@@ -19,16 +19,12 @@ MOST_SLICES = 4096
 
 def _cut(df: DataFrame, value: str, slice_rows: int) -> tuple[DataFrame, int]:
     """Add ``_slice``; the cut points (at most ``MOST_SLICES`` numbers) come from one pass."""
-    at = F.split(F.lit(",".join(repr(i / MOST_SLICES) for i in range(1, MOST_SLICES))), ",").cast("array<double>")
-    found = df.agg(
-        F.count("*").alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), at, 10 * MOST_SLICES).alias("cuts"),
-    ).first()
-    wanted = min(-(-found["n"] // slice_rows), MOST_SLICES)
+    wanted = min(-(-df.count() // slice_rows), MOST_SLICES)
     if wanted <= 1:
         return df.withColumn("_slice", F.lit(0.0)), 1
-    step = MOST_SLICES / wanted
-    cuts = sorted({found["cuts"][round(i * step) - 1] for i in range(1, wanted)})
+    at = F.split(F.lit(",".join(repr(i / wanted) for i in range(1, wanted))), ",").cast("array<double>")
+    sketch = F.percentile_approx(F.col(value).cast("double"), at, 10 * wanted).alias("cuts")
+    cuts = sorted(set(df.agg(sketch).first()["cuts"]))
     splits = [float("-inf"), *cuts, float("inf")]
     number = df.withColumn("_number", F.col(value).cast("double"))
     sliced = Bucketizer(splits=splits, inputCol="_number", outputCol="_slice", handleInvalid="keep").transform(number)
