@@ -202,10 +202,14 @@ def scoreboard(
 ) -> DataFrame:
     """Test metrics, one row per model."""
     out = None
-    for name, estimator in models.items():
-        fitted = fit(train, features, estimator)
-        row = regression_metrics(fitted.transform(test), label, "prediction").withColumn("model", F.lit(name))
-        out = row if out is None else out.unionByName(row)
+    train = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for name, estimator in models.items():
+            fitted = fit(train, features, estimator)
+            row = regression_metrics(fitted.transform(test), label, "prediction").withColumn("model", F.lit(name))
+            out = row if out is None else out.unionByName(row)
+    finally:
+        train.unpersist()
     return out
 
 
@@ -223,13 +227,18 @@ def submodels(
     ``names`` are the strata, a fixed short list. Groups without rows to fit or
     score are skipped.
     """
-    have = {r[group] for r in train.filter(F.col(group).isin(*names)).select(group).distinct().collect()}
+    train = train.select(group, *features, label).filter(F.col(group).isin(*names))
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
-    for name in [n for n in names if n in have]:
-        fitted = fit(train.filter(F.col(group) == name), features, make())
-        part = fitted.transform(test.filter(F.col(group) == name))
-        row = regression_metrics(part, label, "prediction").withColumn(group, F.lit(name))
-        out = row if out is None else out.unionByName(row)
+    try:
+        have = {r[group] for r in train.select(group).distinct().collect()}
+        for name in [n for n in names if n in have]:
+            fitted = fit(train.filter(F.col(group) == name), features, make())
+            part = fitted.transform(test.filter(F.col(group) == name))
+            row = regression_metrics(part, label, "prediction").withColumn(group, F.lit(name))
+            out = row if out is None else out.unionByName(row)
+    finally:
+        train.unpersist()
     return out
 
 

@@ -55,7 +55,8 @@ def episode_dataset(
     ``tables`` maps source table names to frames. With ``codes`` a stay appears
     once per diagnosis code of its admission, so split by stay before training;
     without, the code column is left out and each stay appears once. NULL
-    features become 0.
+    features become 0. Unless ``hot`` is given, one small job looks for hot
+    entities when the plan is built.
     """
     spec = spec or CompositeSpec()
     moves = as_transfers(tables["transfers"])

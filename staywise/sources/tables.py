@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Column types of the source tables of the care-episode data model.
+# Columns and types of the source tables of the care-episode data model.
 SCHEMAS = {
     "transfers": "subject_id long, hadm_id long, icustay_id long, eventtype string, prev_careunit string, "
     "curr_careunit string, prev_wardid int, curr_wardid int, intime timestamp, outtime timestamp, los double",
