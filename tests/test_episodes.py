@@ -7,7 +7,7 @@ import pytest
 from staywise.operators.ordered import find_hot_keys
 from staywise.plans.episodes import as_transfers, episode_dataset
 from staywise.session import reliable_checkpoint
-from staywise.sources.tables import read_source, source_schema, sql_frame
+from staywise.sources.tables import read_source, register_views, source_schema, sql_frame
 
 
 def at(day, hour=12):
@@ -100,6 +100,11 @@ def test_sql_text_under_new_names(spark, sources):
     assert got.columns == ["s", "n"] and got.count() == 4
 
 
+def test_views_by_name(spark, sources):
+    register_views(spark, {"t_patients": sources["patients"]})
+    assert spark.sql("SELECT count(*) FROM t_patients").first()[0] == 4
+
+
 def test_checkpoint_uses_the_configured_folder(spark, sources, tmp_path):
     cut = reliable_checkpoint(sources["patients"])
     assert cut.count() == 4

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staywise.functions import tails
-from staywise.operators import knn, resample, scaling, scores, stats
+from staywise.operators import knn, resample, scaling, scores, split, stats
 from staywise.operators.quantiles import exact_quantiles
 from staywise.operators.ranks import running_totals
 
@@ -81,6 +81,24 @@ def test_known_tail_probabilities(spark):
     assert [r["f"] for r in got] == pytest.approx([0.05, 0.01], abs=1e-6)
 
 
+def test_chi2_against_hand_count(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 0.0), (1, 0.0)], "y int, x double")
+    table = scores.score_chi2(df, ["x"], "y")
+    assert table.first()["score"] == 4.0
+    assert scores.with_chi2_p_values(table, df, "y").first()["p_value"] == pytest.approx(0.0455003, abs=1e-6)
+
+
+def test_splits_cover_all_rows_once(spark):
+    df = spark.range(1000)
+    train, test = split.split_random(df)
+    assert train.count() + test.count() == 1000 and train.intersect(test).count() == 0
+    assert 600 < train.count() < 800
+    parted = split.split_by_hash(df, "id")
+    again = split.split_by_hash(df.repartition(3), "id")
+    assert parted.exceptAll(again).count() == 0
+    assert 600 < parted.filter("part = 'train'").count() < 800
+
+
 def test_chi2_rejects_negative_values(spark):
     df = spark.createDataFrame([(0, -1.0), (1, 2.0)], "y int, x double")
     with pytest.raises(Exception, match="x: negative value"):
