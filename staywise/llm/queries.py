@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staywise.llm.bpe import decode, encode
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.sharding import interleave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SHARDS, SHARD_SEED = 24, 42
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def _query(build):
@@ -43,3 +46,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
     )
+
+
+@_query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(documents).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def bpe_digests(documents: DataFrame) -> DataFrame:
+    """Encode and decode the texts; digests of both beside the other columns."""
+    path = public_tokenizers.path(TOKENIZER)
+    coded = decode(encode(documents, path, public_tokenizers.PATTERN), path)
+    return coded.select(
+        *[c for c in documents.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")],
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
