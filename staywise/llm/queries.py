@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from staywise.llm.bpe import decode, encode
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.sharding import interleave
+from staywise.llm.simhash import near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +65,8 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"), length=4, most=4)
