@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from staywise.llm.bpe import decode, encode
 from staywise.llm.exact_dedup import exact_dedup
+from staywise.llm.html_text import extract_text
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
 
@@ -70,3 +71,8 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
 @_query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents"), length=4, most=4)
+
+
+@_query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
