@@ -13,6 +13,7 @@ from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
+from staywise.llm.substring_dedup import drop_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"]), F.lit(0))
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.char_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_chars"),
+        removed.cast("long").alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(F.transform("spans", lambda s: F.array(s["start"], s["stop"])), F.array().cast("array<array<int>>")).alias("spans"),
+        F.sha2(F.encode("t", "UTF-8"), 256).alias("kept_sha256"),
+    )
