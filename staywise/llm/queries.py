@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from staywise.llm.bpe import decode, encode
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
+from staywise.llm.quality import score, train
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
 from staywise.llm.substring_dedup import drop_repeats
@@ -18,6 +19,7 @@ from staywise.llm.substring_dedup import drop_repeats
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SHARDS, SHARD_SEED = 24, 42
+HELD_OUT, GOOD = 5, 0.3  # one row in five is never learned from; a score from 0.3 counts as good
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -91,3 +93,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.transform("spans", lambda s: F.array(s["start"], s["stop"])), F.array().cast("array<array<int>>")).alias("spans"),
         F.sha2(F.encode("t", "UTF-8"), 256).alias("kept_sha256"),
     )
+
+
+def _held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % HELD_OUT == 0
+
+
+def quality_scores(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with the score of a model fitted on the labels that are not held out."""
+    model = train(documents, _read(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~_held_out())
+    return score(documents, model)
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, sf_dir)
+    return scored.select(
+        "doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
