@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.llm.bpe import decode, encode
+from staywise.llm.decontaminate import contaminated
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
 from staywise.llm.quality import score, train
@@ -111,3 +112,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
     )
+
+
+@_query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    found = contaminated(documents, benchmark)
+    items = F.coalesce("items", F.array().cast(found.schema["items"].dataType))
+    bad = found.select(F.col("doc_id").alias("bad_id"), "items")
+    joined = documents.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left")
+    return joined.select("doc_id", F.col("items").isNull().alias("kept"), items.alias("items"))
