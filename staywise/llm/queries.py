@@ -12,6 +12,7 @@ from staywise.llm.bpe import decode, encode
 from staywise.llm.decontaminate import contaminated
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
+from staywise.llm.line_dedup import drop_lines
 from staywise.llm.quality import score, train
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
@@ -122,3 +123,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = found.select(F.col("doc_id").alias("bad_id"), "items")
     joined = documents.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left")
     return joined.select("doc_id", F.col("items").isNull().alias("kept"), items.alias("items"))
+
+
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_lines(_read(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.encode("t", "UTF-8"), 256).alias("kept_sha256"),
+    )
