@@ -16,6 +16,7 @@ from staywise.llm.line_dedup import drop_lines
 from staywise.llm.quality import score, train
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
+from staywise.llm.suffix_dedup import drop_repeated_bytes
 from staywise.llm.substring_dedup import drop_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(F.encode("t", "UTF-8"), 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_bytes(_read(spark, sf_dir, "documents"))
+    n_bytes = F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long")
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"),
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("t")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("t", 256).alias("kept_sha256"),
+    )
