@@ -13,7 +13,7 @@ from staywise.llm.decontaminate import contaminated
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
 from staywise.llm.line_dedup import drop_lines
-from staywise.llm.quality import score, train
+from staywise.llm.quality import AdditiveModel, score, train
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
 from staywise.llm.suffix_dedup import drop_repeated_bytes
@@ -102,15 +102,15 @@ def _held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % HELD_OUT == 0
 
 
-def quality_scores(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with the score of a model fitted on the labels that are not held out."""
-    model = train(documents, _read(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~_held_out())
-    return score(documents, model)
+def quality_model(documents: DataFrame, spark: SparkSession, sf_dir: str) -> AdditiveModel | None:
+    """A model fitted on the labels that are not held out."""
+    return train(documents, _read(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~_held_out())
 
 
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark, sf_dir)
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(documents, quality_model(documents, spark, sf_dir))
     return scored.select(
         "doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
     )

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staywise.llm.common import checkpoint, join_facts, ship
+from staywise.llm.common import bit_table, checkpoint, join_facts, same, ship, split_by_bits, text_of
 from staywise.llm.components import components
 
 SEED = 42
@@ -62,15 +62,16 @@ def fingerprint(text: str, length: int) -> int:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(k, f): the key and the fingerprint as a signed long."""
+    """(k, d, f): the key, a digest of the text and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py() or "", length) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, pa.int64())], names=["k", "f"])
+            found = pa.array([fingerprint(t.as_py(), length) for t in batch.column("t")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("d"), found], names=["k", "d", "f"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, f long")
+    rows = df.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("d", F.xxhash64("t"))
+    return rows.mapInArrow(run, f"k {kind}, d long, f long")
 
 
 def blocks(most: int) -> list[int]:
@@ -204,17 +205,38 @@ def near_links(distinct: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _link_nodes(batches, most), "a long, b long").distinct()
 
 
-def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 4, most: int = 4) -> DataFrame:
-    """One row per input row: key, fingerprint (16 hex digits), component_id."""
+def _named(df: DataFrame, key: str, text: str, length: int, most: int) -> DataFrame:
+    """(k, d, f, name) per input row; name: the (none, k, d) of the first text of its component."""
     rows = checkpoint(fingerprints(df, key, text, length))
-    per = checkpoint(rows.groupBy("f").agg(F.min("k").alias("low"), F.count("*").alias("n")))
+    place = F.struct(F.col("k").isNull().alias("none"), "k", "d")
+    per = checkpoint(rows.groupBy("f").agg(F.min(place).alias("low"), F.count("*").alias("n")))
     reach = components(near_links(per.select("f"), most))
     named = per.join(reach, F.col("f") == F.col("node"), "left").withColumn("c", F.coalesce("component", "f")).drop("node", "component")
     names = named.groupBy("c").agg(F.min("low").alias("name")).withColumnRenamed("c", "_c")
     facts = checkpoint(named.join(names, F.col("c") == F.col("_c")).select("f", "n", "name"))
-    return join_facts(rows, facts, ["f"], "n", rows.count()).select(
-        F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("name").alias("component_id")
+    return join_facts(rows, facts, ["f"], "n", rows.count())
+
+
+def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 4, most: int = 4) -> DataFrame:
+    """One row per input row: key, fingerprint (16 hex digits), component_id."""
+    return _named(df, key, text, length, most).select(
+        F.col("k").alias(key), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("name.k").alias("component_id")
     )
 
 
+def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 4, most: int = 4) -> DataFrame:
+    """The first document of each component, all its columns kept; of fully equal rows one stays."""
+    named = _named(df, key, text, length, most)
+    keep = F.col("k").eqNullSafe(F.col("name.k")) & (F.col("d") == F.col("name.d"))
+    # what must be looked at: documents that go, and first ones that have equal rows
+    gone = named.groupBy("k", "d").agg(F.max(keep).alias("keep"), F.count("*").alias("m")).filter("not keep or m > 1")
+    gone = checkpoint(gone.select(F.col("k").alias("_k"), F.col("d").alias("_d"), "keep"))
+    bits = checkpoint(bit_table(gone, F.col("_k"), F.col("_d")))
+    packed = df.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("d"))
+    marked = split_by_bits(packed, bits, F.col("k"), F.col("d"))
+    hit = marked.filter("_maybe").join(gone, same([F.col("k"), F.col("d")], [F.col("_k"), F.col("_d")]), "left")
+    first = hit.filter(F.coalesce("keep", F.lit(True))).dropDuplicates(["k", "d"])
+    return marked.filter("not _maybe").select("row.*").unionByName(first.select("row.*"))
+
+
 ship(__name__)
