@@ -45,7 +45,8 @@ def interleave(df: DataFrame, shards: int, key: str, text: str, source: str, see
         )
     )
     total = rows.count()
-    buckets = max(-(-total // bucket_rows), 1)
+    # a source that holds most rows still has a share of every bucket, so of every task
+    buckets = max(-(-total // bucket_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("b", _bucket(F.col("h") / SPAN, buckets))
     # per source and bucket: rows before it, and rows of the source
     counts = rows.groupBy("s", "b").agg(F.count("*").alias("n"))
