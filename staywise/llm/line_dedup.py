@@ -97,25 +97,33 @@ def within(a: Column, b: Column, most: int) -> Column:
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    # before any character of b: deleting the first i of a takes i edits
-    start = F.array(*[F.lit(sum(1 << (most + i) for i in range(e + 1)) & full) for e in range(most + 1)])
 
-    def step(text: Column, other: Column, words: Column, j: Column) -> Column:
-        match = F.lit(0)
-        for c in range(width):
-            hit = F.get(text, j + (c - most)) == F.get(other, j)
-            match = match.bitwiseOR(F.when(hit, 1 << c).otherwise(0))
+    def masks(x: Column, y: Column) -> Column:
+        """Per character of ``b``, the diagonals on which it equals that of ``a``."""
+
+        def mask(t: Column, j: Column) -> Column:
+            out = F.lit(0)
+            for c in range(width):
+                out = out.bitwiseOR(F.when(F.get(x, j + (c - most)) == t, 1 << c).otherwise(0))
+            return out
+
+        return F.transform(y, mask)
+
+    def step(words: Column, mask: Column) -> Column:
         new: list[Column] = []
         for e in range(most + 1):
-            word = F.get(words, F.lit(e)).bitwiseAND(match)
+            word = F.get(words, F.lit(e)).bitwiseAND(mask)
             if e:
                 old = F.get(words, F.lit(e - 1))
                 word = word.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(full)
             new.append(word)
         return F.array(*new)
 
-    x, y = F.split(a, ""), F.split(b, "")
-    last = F.aggregate(F.sequence(F.lit(0), F.char_length(b) - 1), start, lambda words, j: step(x, y, words, j))
+    # before any character of b: deleting the first i of a takes i edits
+    start = F.array(*[F.lit(sum(1 << (most + i) for i in range(e + 1)) & full) for e in range(most + 1)])
+    # one-element arrays bind the characters, so that they are split once
+    split = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    last = F.get(F.transform(split, lambda s: F.aggregate(masks(s["x"], s["y"]), start, step)), F.lit(0))
     end = F.char_length(a) - F.char_length(b) + most
     reached = F.call_function("shiftright", F.get(last, F.lit(most)), end).bitwiseAND(1) == 1
     return F.when((F.char_length(b) > 0) & end.between(0, width - 1), reached).otherwise(

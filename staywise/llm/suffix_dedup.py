@@ -11,17 +11,17 @@ parts that share no string of ``span`` bytes:
    and of largest hash (the leftmost of ties). They depend on the window's bytes
    alone, so equal windows have equal anchors. Windows of one text with the same
    two anchors are consecutive and form a segment.
-2. Smallest anchors are counted over the corpus, combined on the map side. One
-   that occurs once cannot belong to a repeat. Those that occur more often go into
-   a bit set of fixed size that every task gets.
-3. A segment whose smallest anchor passes is sent, with its bytes, to the part
-   its two anchors name. Equal segments that one task meets are sent once; a
-   passage that a third of all texts share costs a row or so per task.
-4. In a part, of equal segments the earliest stays. The segments of an anchor pair
-   that differ are joined into one text and sorted as suffixes: those smaller than
-   their successors directly, the others induced by bucket scans. Runs of adjacent
-   common prefixes of ``span`` bytes are the repeats; the earliest start of each
-   run stays.
+2. Anchor pairs are counted over the corpus, combined on the map side. A pair that
+   occurs once cannot belong to a repeat. Those that occur more often go into a
+   bit set of fixed size that every task gets.
+3. Segments whose pair passes are sent, with their bytes, to the part their
+   smallest anchor names; neighbours with the same smallest anchor go as one piece.
+   Equal pieces that one task meets are sent once; a passage that a third of all
+   texts share costs a row or so per task.
+4. In a part, of equal pieces the earliest stays. The pieces of an anchor that
+   differ are joined into one text and sorted as suffixes: those smaller than their
+   successors directly, the others induced by bucket scans. Runs of adjacent common
+   prefixes of ``span`` bytes are the repeats; the earliest start of each run stays.
 
 Windows are compared by their bytes; hashes only say which can be equal.
 
@@ -85,8 +85,8 @@ class _Buffer:
         data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
         self.data, self.offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    def segments(self, span: int, both: bool) -> Iterator[tuple[np.ndarray, ...]]:
-        """(text number, first start, last start, smallest hash, largest hash) of the segments, lot by lot."""
+    def segments(self, span: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text number, first start, last start, place and hash of the smallest anchor, hash of the pair), lot by lot."""
         n, grams = len(self.data), span - GRAM + 1
         for begin in range(0, max(n - span + 1, 0), STEP):
             stop = min(begin + STEP, n - span + 1)
@@ -96,23 +96,21 @@ class _Buffer:
             starts = np.arange(begin, stop)
             row = np.searchsorted(self.offsets, starts, side="right") - 1
             valid = starts + span <= self.offsets[row + 1]
-            new = np.r_[True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]]
-            high = None
-            if both:
-                high = PLACE - (_sliding(hashes & ~PLACE | (PLACE - places), grams, np.maximum) & PLACE)
-                new[1:] |= high[1:] != high[:-1]
+            high = PLACE - (_sliding(hashes & ~PLACE | (PLACE - places), grams, np.maximum) & PLACE)
+            new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]]
             first = np.flatnonzero(new & valid)
             if not len(first):
                 continue
             edges = np.r_[np.flatnonzero(new | ~valid), len(starts)]
             last = edges[np.searchsorted(edges, first, side="right")] - 1
-            yield row[first], starts[first], starts[last], hashes[low[first]], (hashes[high[first]] if both else None)
+            least = hashes[low[first]]
+            yield row[first], starts[first], starts[last], low[first], least, least * np.uint64(3) ^ hashes[high[first]] * ODD[0]
 
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, _, low, _ in _Buffer(batch.column("t")).segments(span, False):
-            found, counts = np.unique(low.view(np.int64), return_counts=True)
+        for *_, pair in _Buffer(batch.column("t")).segments(span):
+            found, counts = np.unique(pair.view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["h", "n"])
 
 
@@ -137,15 +135,19 @@ def _pieces(batches: Iterator[pa.RecordBatch], span: int, bits: np.ndarray) -> I
         ])
         buffer = _Buffer(batch.column("t"))
         raw, offsets = buffer.data.tobytes(), buffer.offsets
-        for row, first, last, low, high in buffer.segments(span, True):
-            word = bits[(low >> np.uint64(6)) & np.uint64(BITS // 64 - 1)]
-            wanted = np.flatnonzero((word >> (low & np.uint64(63))) & np.uint64(1))
+        for row, first, last, at, low, pair in buffer.segments(span):
+            word = bits[(pair >> np.uint64(6)) & np.uint64(BITS // 64 - 1)]
+            wanted = np.flatnonzero((word >> (pair & np.uint64(63))) & np.uint64(1))
             if not len(wanted):
                 continue
-            part = (low[wanted] * np.uint64(3) ^ (high[wanted] >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            row, first, last, at, low = row[wanted], first[wanted], last[wanted], at[wanted], low[wanted]
+            # neighbours with the same smallest anchor are one piece, in which no window repeats
+            new = np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)]
+            last = last[np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]]
+            row, first, part = row[new], first[new], low[new].view(np.int64)
             gone: dict[int, list[tuple[int, int]]] = {}
             sent: list[tuple] = []
-            for r, a, b, p in zip(row[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), part.tolist()):
+            for r, a, b, p in zip(row.tolist(), first.tolist(), last.tolist(), part.tolist()):
                 piece, base = raw[a : b + span], int(offsets[r])
                 key = keys[r]
                 place = (key is None, key, digests[r], a - base)
@@ -206,8 +208,8 @@ def _repeats(classes: list[tuple], span: int) -> list[tuple]:
 def _compare(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (p, c, place): of equal pieces the earliest, of others the suffixes."""
     schema = None
-    group: list[tuple] = []  # distinct pieces of the anchor pair at hand
-    lot: list[tuple] = []  # distinct pieces of pairs that have several
+    group: list[tuple] = []  # distinct pieces of the anchor at hand
+    lot: list[tuple] = []  # distinct pieces of anchors that have several
     size = group_size = 0
     last_p = last_c = first = None
     out: list[tuple] = []
@@ -249,7 +251,7 @@ def _compare(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
 
 
 def _repeated_anchors(rows: DataFrame, span: int) -> np.ndarray:
-    """Bit set of the smallest anchors that occur more than once; at most BITS / 64 rows come back."""
+    """Bit set of the anchor pairs that occur more than once; at most BITS / 64 rows come back."""
     counts = rows.select("t").mapInArrow(lambda batches: _anchor_counts(batches, span), "h long, n long")
     often = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     word = F.shiftright("h", 6).bitwiseAND(BITS // 64 - 1)
