@@ -11,7 +11,7 @@ the shorter one, at a place that the edits before and after it allow. Each
 distinct line enters its segments under (length, segment number, text) and probes
 with the substrings of itself that can match a segment of a line of its own
 length or up to ``most`` shorter. A probe meets a segment by an equi-join on the
-hash; both rows carry counts of eight common letters (mod 16), and a pair whose
+hash; both rows carry counts of sixteen common letters (mod 16), and a pair whose
 counts cannot come from ``most`` edits is dropped inside the join. The texts of
 what is left are fetched and verified: one bit per diagonal of the band, one word
 per number of edits, moved along the line by an aggregate.
@@ -35,7 +35,7 @@ from staywise.llm.common import bit_table, checkpoint, join_facts, same, split_b
 
 MOST = 2
 MIN_CHARS = 10
-LETTERS = "eainrtos"
+LETTERS = "eainrtoshdlucmpg"
 SPACE = " \t\r\x0b\x0c"
 
 
