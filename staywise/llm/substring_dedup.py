@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,29 +51,31 @@ def units(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest, rows, schema = xxhash.xxh128_digest, [], None
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
+    digest = xxhash.xxh128_digest
     for batch in batches:
-        if schema is None:
-            longs, ints = ("d", "h1", "h2"), ("start", "stop", "unit", "words")
-            kind = pa.field("k", batch.schema.field("k").type)
-            schema = pa.schema([kind, *((c, pa.int64()) for c in longs), *((c, pa.int32()) for c in ints)])
-        for key, text in zip(batch.column("k").to_pylist(), batch.column("t")):
-            text = text.as_py() or ""
-            own = text_digest(text)
-            for number, (start, stop) in enumerate(units(text)):
-                words = text[start:stop].casefold().split()
-                both = digest(" ".join(words))
-                high, low = int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
-                rows.append((key, own, high, low, start, stop, number, len(words)))
-                if len(rows) >= BATCH_UNITS:
-                    yield out()
-                    rows.clear()
-    if rows:
-        yield out()
+        at = 0
+        while at < batch.num_rows:
+            begin, row, own = at, [], []
+            starts, stops, numbers, words, digests = [], [], [], [], []
+            while at < batch.num_rows and len(starts) < BATCH_UNITS:
+                text = batch.column("t")[at].as_py()
+                own.append(text_digest(text))
+                known = len(starts)
+                for number, (start, stop) in enumerate(units(text)):
+                    parts = text[start:stop].split()
+                    starts.append(start)
+                    stops.append(stop)
+                    numbers.append(number)
+                    words.append(len(parts))
+                    digests.append(digest(" ".join(parts).casefold()))
+                row.append(len(starts) - known)
+                at += 1
+            both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            which = np.repeat(np.arange(begin, at), row)
+            columns = [batch.column("k").take(pa.array(which)), pa.array(np.repeat(np.array(own, np.int64), row))]
+            columns += [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+            columns += [pa.array(c, pa.int32()) for c in (starts, stops, numbers, words)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "d", "h1", "h2", "start", "stop", "unit", "words"])
 
 
 def text_digest(text: str) -> int:
