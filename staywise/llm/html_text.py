@@ -65,8 +65,8 @@ LAYOUT = re.compile(r"(?:^|\s)(?:has|with|no|js|is)-\S+", re.IGNORECASE)  # says
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog note".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SMOOTH = 0.25  # share of each neighbour's ratio
-UPWARD = 0.5  # share of the container's ratio
-THRESHOLD = 0.1  # of the best path
+# the container's share of a path's ratio, and the least ratio, as a part of the best path's
+OPEN, MARKED = (0.2, 0.35), (0.5, 0.1)  # on an unmarked page; inside a marked article
 
 
 class _Page(HTMLParser):
@@ -151,7 +151,7 @@ class _Page(HTMLParser):
         self.nodes.append((tuple(s[3] for s in self.stack), self.block, skipped, inside, data))
 
 
-def _ratios(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...], float]:
+def _ratios(nodes: list[tuple[tuple[str, ...], int, str]], upward: float) -> dict[tuple[str, ...], float]:
     """Fused, smoothed ratio of each path."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, _, text in nodes:
@@ -181,7 +181,7 @@ def _ratios(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ..
             if below_count[up] > count[path]:  # the nearest container that holds more than this path
                 around = math.sqrt(below_length[up] / below_count[up] * (1 + below_marks[up]) / below_count[up])
                 break
-        fused[path] = (1 - UPWARD) * sum(values) / len(values) + UPWARD * around
+        fused[path] = (1 - upward) * sum(values) / len(values) + upward * around
     return fused
 
 
@@ -195,8 +195,9 @@ def main_text(html: str) -> str:
     shown = [n for n in pool if n[2].strip()]
     if not shown:
         return ""
-    fused = _ratios(shown)
-    least = THRESHOLD * max(fused.values())
+    upward, least = MARKED if marked else OPEN
+    fused = _ratios(shown, upward)
+    least *= max(fused.values())
     blocks: dict[int, list[str]] = {}
     for path, block, text in pool:
         if fused.get(path, least) >= least:
