@@ -24,14 +24,15 @@ def drop_stays_touching(
     stays: DataFrame,
     transfers: DataFrame,
     excluded: Sequence[str],
-    stay: str = "stay_id",
+    keys: Sequence[str] = ("entity_id", "stay_id"),
     unit: str = "curr_unit",
 ) -> DataFrame:
-    """Anti join: stays with no row in an excluded unit (P5)."""
+    """Anti join: stays with no row in an excluded unit (P5); ``keys`` tell stays apart, the last one may be NULL in ``transfers``."""
+    keys = list(keys)
     touched = (
-        transfers.filter(F.col(unit).isin(*excluded) & F.col(stay).isNotNull()).select(stay).distinct()
+        transfers.filter(F.col(unit).isin(*excluded) & F.col(keys[-1]).isNotNull()).select(*keys).distinct()
     )
-    return stays.join(touched, stay, "left_anti")
+    return stays.join(touched, keys, "left_anti")
 
 
 def entity_ages(

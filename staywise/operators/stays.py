@@ -22,11 +22,14 @@ def sessionise(
     carry: dict[str, Column],
     next_time: str = "next_ts",
     hot: HotKeys = NO_HOT_KEYS,
+    mark: Column | None = None,
 ) -> DataFrame:
     """Number runs of events per entity: a new run starts after a pause longer than its gap.
 
     ``gaps`` maps each new counter to its pause in hours; ``carry`` maps new
-    columns to expressions taken from the event before.
+    columns to expressions taken from the event before. With ``mark``, a column
+    unique over all events, a run is named by the mark of its first event instead
+    of a number: unique over all entities, without a ceiling.
     """
     stepped = ordered(
         events,
@@ -42,6 +45,9 @@ def sessionise(
         name: F.when(F.col("prev_ts").isNull() | (pause > hours * 3_600_000_000), 1).otherwise(0)
         for name, hours in gaps.items()
     }
+    if mark is not None:
+        names = {name: F.when(start == 1, mark) for name, start in starts.items()}
+        return ordered(stepped, [entity], time, ties, latest=names, hot=hot)
     return ordered(stepped, [entity], time, ties, running=starts, hot=hot)
 
 

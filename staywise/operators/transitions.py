@@ -74,17 +74,19 @@ def pair_count_aggregates(labels: Sequence[str], names: Sequence[str], pair: Col
     return [F.count_if(pair == label).alias(name) for label, name in zip(labels, names)]
 
 
-def ranked_pair_counts(pairs: DataFrame, stay: str = "stay_id", k: int = 10) -> DataFrame:
+def ranked_pair_counts(
+    pairs: DataFrame, keys: Sequence[str] = ("entity_id", "stay_id"), k: int = 10
+) -> DataFrame:
     """Per-stay counts of the ``k`` most frequent pairs as ``pair_1 .. pair_k``.
 
-    Counts are reduced to (stay, pair) before the ranks are attached; the rank
+    ``keys`` tell stays apart. Counts are reduced to (stay, pair) before the ranks are attached; the rank
     table has ``k`` rows, so it is broadcast.
     """
     ranks = top_pairs(pairs, k).select("pair", "pair_rank")
-    counted = pairs.groupBy(stay, "pair").agg(F.count("*").alias("n"))
+    counted = pairs.groupBy(*keys, "pair").agg(F.count("*").alias("n"))
     wide = (
         counted.join(F.broadcast(ranks), "pair", "left")
-        .groupBy(stay)
+        .groupBy(*keys)
         .agg(
             *[
                 F.coalesce(F.sum(F.when(F.col("pair_rank") == i, F.col("n"))), F.lit(0)).alias(f"pair_{i}")
@@ -96,7 +98,7 @@ def ranked_pair_counts(pairs: DataFrame, stay: str = "stay_id", k: int = 10) ->
 
 
 def ranked_pair_weights(
-    pairs: DataFrame, stay: str = "stay_id", k: int = 10, places: int = 3
+    pairs: DataFrame, keys: Sequence[str] = ("entity_id", "stay_id"), k: int = 10, places: int = 3
 ) -> DataFrame:
     """Per-stay pair counts times P(previous | current) of the pair."""
     probs = transition_probabilities(pairs).withColumn("pair", pair_label("prev_unit", "curr_unit"))
@@ -108,9 +110,9 @@ def ranked_pair_weights(
         ]
     )
     one = weights.select(F.struct("*").alias("w")).scalar()
-    counts = ranked_pair_counts(pairs, stay, k).withColumn("_w", one)
+    counts = ranked_pair_counts(pairs, keys, k).withColumn("_w", one)
     return counts.select(
-        stay, *[F.bround(F.col(f"pair_{i}") * F.col("_w")[f"w_{i}"], places).alias(f"pair_{i}") for i in range(1, k + 1)]
+        *keys, *[F.bround(F.col(f"pair_{i}") * F.col("_w")[f"w_{i}"], places).alias(f"pair_{i}") for i in range(1, k + 1)]
     )
 
 

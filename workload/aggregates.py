@@ -223,14 +223,14 @@ WEIGHT_SQL = ", ".join(
 )
 
 
-@query(with_fx(f"SELECT stay_id, {WIDE_SQL} FROM pairs LEFT JOIN top USING (pair) GROUP BY stay_id", PAIRS_SQL))
+@query(with_fx(f"SELECT stay_id, {WIDE_SQL} FROM pairs LEFT JOIN top USING (pair) GROUP BY entity_id, stay_id", PAIRS_SQL))
 def pair_counts_wide(t):
-    return transitions.ranked_pair_counts(pairs(t))
+    return transitions.ranked_pair_counts(pairs(t)).drop("entity_id")
 
 
-@query(with_fx(f"SELECT stay_id, {WEIGHT_SQL} FROM pairs LEFT JOIN top USING (pair) GROUP BY stay_id", PAIRS_SQL))
+@query(with_fx(f"SELECT stay_id, {WEIGHT_SQL} FROM pairs LEFT JOIN top USING (pair) GROUP BY entity_id, stay_id", PAIRS_SQL))
 def pair_weights(t):
-    return transitions.ranked_pair_weights(pairs(t))
+    return transitions.ranked_pair_weights(pairs(t)).drop("entity_id")
 
 
 @query(with_fx("SELECT pair, n_trans, pair_rank FROM top", PAIRS_SQL))

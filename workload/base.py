@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +34,15 @@ b AS (
   FROM o),
 g AS (
   SELECT *,
-         sum(new_stay) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s,
-         sum(new_adm)  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a
+         last_value(CASE WHEN new_stay = 1 THEN event_id END IGNORE NULLS)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s,
+         last_value(CASE WHEN new_adm = 1 THEN event_id END IGNORE NULLS)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS a
   FROM b),
 fx_transfers AS (
 SELECT event_id, user_id AS entity_id,
-       CAST(user_id * 100000 + a AS BIGINT) AS admission_id,
-       CASE WHEN curr_unit = '' THEN NULL ELSE CAST(user_id * 100000 + s AS BIGINT) END AS stay_id,
+       CAST(a AS BIGINT) AS admission_id,
+       CASE WHEN curr_unit = '' THEN NULL ELSE CAST(s AS BIGINT) END AS stay_id,
        CASE WHEN prev_ts IS NULL THEN 'admit' WHEN next_ts IS NULL THEN 'discharge' ELSE 'transfer' END AS eventtype,
        prev_unit, curr_unit, ts AS intime,
        CASE WHEN next_ts <= ts + INTERVAL 12 HOUR THEN next_ts ELSE ts + INTERVAL 1 HOUR END AS outtime,
@@ -71,11 +73,6 @@ def with_sales(select: str, *more: str) -> str:
     return "WITH " + ",".join([SALES, *more]) + "\n" + select
 
 
-@lru_cache(maxsize=8)
-def _hot_users(spark: SparkSession, sf_dir: str) -> HotKeys:
-    return find_hot_keys(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts")
-
-
 class Tables:
     """The given tables of one directory, plus the frames derived from them."""
 
@@ -93,7 +90,7 @@ class Tables:
     @cached_property
     def hot(self) -> HotKeys:
         """Users with a large share of all events, under the name ``entity_id``."""
-        return _hot_users(self.spark, self.sf_dir).renamed("entity_id")
+        return find_hot_keys(self.events, "user_id", "ts").renamed("entity_id")
 
     @cached_property
     def fx_transfers(self) -> DataFrame:
@@ -107,13 +104,14 @@ class Tables:
             gaps={"_stay": 12, "_admission": 24},
             carry={"_prev_unit": F.col("curr_unit")},
             hot=self.hot,
+            mark=F.col("event_id"),
         )
         near = F.col("next_ts") <= F.col("ts") + F.expr("INTERVAL 12 HOURS")
         return runs.select(
             "event_id",
             "entity_id",
-            (F.col("entity_id") * 100000 + F.col("_admission")).alias("admission_id"),
-            F.when(F.col("curr_unit") != "", F.col("entity_id") * 100000 + F.col("_stay")).alias("stay_id"),
+            F.col("_admission").cast("bigint").alias("admission_id"),
+            F.when(F.col("curr_unit") != "", F.col("_stay").cast("bigint")).alias("stay_id"),
             F.when(F.col("prev_ts").isNull(), "admit")
             .when(F.col("next_ts").isNull(), "discharge")
             .otherwise("transfer")

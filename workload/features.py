@@ -401,9 +401,9 @@ def admission_features(t):
     )
 )
 def los_vs_stays(t):
-    spans = t.fx_transfers.groupBy("admission_id").agg(F.min("intime").alias("lo"), F.max("outtime").alias("hi"))
-    counts = t.fx_stays.groupBy("admission_id").agg(F.count("*").alias("n"))
-    joined = spans.join(counts, "admission_id").select(times.whole_days("lo", "hi").alias("days"), "n")
+    spans = t.fx_transfers.groupBy("entity_id", "admission_id").agg(F.min("intime").alias("lo"), F.max("outtime").alias("hi"))
+    counts = t.fx_stays.groupBy("entity_id", "admission_id").agg(F.count("*").alias("n"))
+    joined = spans.join(counts, ["entity_id", "admission_id"]).select(times.whole_days("lo", "hi").alias("days"), "n")
     return joined.agg(
         F.count("*").alias("n_admissions"),
         F.bround(F.avg("days"), 6).alias("mean_days"),
