@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -79,3 +81,7 @@ def f_tail(score: pd.Series, freedom: pd.Series) -> pd.Series:
         return 0.0 if math.isinf(x) else _beta(k / (k + x), k / 2, 0.5)
 
     return pd.Series([one(x, k) for x, k in zip(score, freedom)], dtype="float64")
+
+
+# the functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -213,3 +215,7 @@ def fuzzy_rows(
         hits, "token", "left_semi"
     )
     return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
+# the functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

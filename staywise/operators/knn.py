@@ -8,10 +8,12 @@ bounded size on both sides, whatever their share of the rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,7 @@ def knn_regress(
     order = Window.partitionBy("id").orderBy("gap", "other")
     best = candidates.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     return best.groupBy(F.col("id").alias(key)).agg(F.avg("y").alias("prediction"))
+
+
+# the functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
