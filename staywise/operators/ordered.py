@@ -24,13 +24,13 @@ HOT_SHARE = 10_000
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys to be cut, with the start and width (microseconds) of their segments.
+    """Keys to be cut, with the ascending cut points (microseconds) between their segments.
 
     At most ``HOT_SHARE`` entries: each holds more than 1/HOT_SHARE of all rows.
     """
 
     key: str = ""
-    entries: tuple[tuple[object, int, int], ...] = field(default=())
+    entries: tuple[tuple[object, tuple[int, ...]], ...] = field(default=())
 
     def __bool__(self) -> bool:
         return bool(self.entries)
@@ -49,35 +49,41 @@ def find_hot_keys(
 
     A key is hot when it has more than ``rows`` rows and more than 1/``share``
     of all rows, so there are fewer than ``share`` of them whatever the input.
+    Hot keys are cut at quantiles of their own times, so that segments hold
+    about equal numbers of rows however the times are spread; keys that need
+    about the same number of segments share one more aggregate.
     """
-    per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("n"),
-        F.min(epoch_micros(time)).alias("first"),
-        F.max(epoch_micros(time)).alias("last"),
-    )
-    total = F.sum("n").alias("total")
+    known = df.filter(F.col(key).isNotNull())
+    per_key = known.groupBy(key).agg(F.count("*").alias("n"))
     hot = per_key.filter(F.col("n") > rows)
     if share > 1:
-        hot = hot.filter(F.col("n") * share > per_key.select(total).scalar())
-    entries = []
+        hot = hot.filter(F.col("n") * share > per_key.select(F.sum("n").alias("total")).scalar())
+    by_pieces: dict[int, list[object]] = {}
     for row in hot.collect():
-        pieces = -(-row["n"] // rows)
-        width = max((row["last"] - row["first"]) // pieces + 1, 1)
-        entries.append((row[key], row["first"], width))
+        pieces = 1 << (-(-row["n"] // rows) - 1).bit_length()
+        by_pieces.setdefault(pieces, []).append(row[key])
+    kind = df.schema[key].dataType.simpleString()
+    entries = []
+    for pieces, members in sorted(by_pieces.items()):
+        wanted = df.sparkSession.createDataFrame([(m,) for m in members], f"_hot_key {kind}")
+        at = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+        sketch = F.percentile_approx(epoch_micros(time), at, max(10 * pieces, 1000)).alias("cuts")
+        found = known.join(F.broadcast(wanted), F.col(key) == F.col("_hot_key"), "left_semi").groupBy(key).agg(sketch)
+        entries += [(row[key], tuple(sorted(set(row["cuts"] or ())))) for row in found.collect()]
     return HotKeys(key, tuple(sorted(entries)))
 
 
 def _segmented(df: DataFrame, time: str, hot: HotKeys) -> DataFrame:
-    """Add ``_segment``: the time slice for hot keys, NULL for all others."""
+    """Add ``_segment``: the number of cut points up to the row's time for hot keys, NULL for all others."""
     kind = df.schema[hot.key].dataType.simpleString()
-    small = df.sparkSession.createDataFrame(
-        list(hot.entries), f"_hot_key {kind}, _hot_start bigint, _hot_width bigint"
-    )
-    slice_no = F.floor((epoch_micros(time) - F.col("_hot_start")) / F.col("_hot_width"))
+    entries = [(key, list(cuts)) for key, cuts in hot.entries]
+    small = df.sparkSession.createDataFrame(entries, f"_hot_key {kind}, _hot_cuts array<bigint>")
+    at = epoch_micros(time)
+    passed = F.size(F.filter("_hot_cuts", lambda cut: cut <= at))
     return (
         df.join(F.broadcast(small), F.col(hot.key) == F.col("_hot_key"), "left")
-        .withColumn("_segment", slice_no)
-        .drop("_hot_key", "_hot_start", "_hot_width")
+        .withColumn("_segment", F.when(F.col("_hot_cuts").isNotNull(), passed))
+        .drop("_hot_key", "_hot_cuts")
     )
 
 

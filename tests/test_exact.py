@@ -54,6 +54,16 @@ def test_running_totals_over_slices(spark, slice_rows, descending):
     assert [found[v] for v in values] == list(np.cumsum(weights))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_over_two_levels(spark, descending):
+    rng = random.Random(8)
+    values = sorted({round(rng.paretovariate(0.5), 6) for _ in range(400)}, reverse=descending)
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, w int").repartition(4)
+    got = running_totals(df, "v", ["w"], descending, slice_rows=10, most=5)
+    found = {r["v"]: r["w_upto"] for r in got.collect()}
+    assert [found[v] for v in values] == list(range(1, len(values) + 1))
+
+
 def test_spearman_with_ties(spark):
     rng = random.Random(6)
     data = [(rng.randrange(6), rng.randrange(9)) for _ in range(300)]

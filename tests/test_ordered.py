@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staywise.operators.asof import asof_latest, event_in_span
-from staywise.operators.ordered import HOT_SHARE, NO_HOT_KEYS, find_hot_keys, ordered
+from staywise.operators.ordered import HOT_SHARE, NO_HOT_KEYS, _segmented, find_hot_keys, ordered
 from tests.conftest import rows
 
 START = dt.datetime(2024, 1, 1)
@@ -43,6 +43,14 @@ def test_segments_equal_plain_window(spark, floor):
     assert rows(all_columns(df, hot)) == rows(all_columns(df, NO_HOT_KEYS))
 
 
+def test_segments_hold_equal_rows_however_dense_the_times(spark):
+    dense = [(i, 7, START + dt.timedelta(microseconds=i)) for i in range(999)]
+    df = spark.createDataFrame([*dense, (999, 7, START + dt.timedelta(days=900))], "id long, k long, at timestamp_ntz")
+    hot = find_hot_keys(df, "k", "at", rows=100)
+    sizes = [r["count"] for r in _segmented(df, "at", hot).groupBy("_segment").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 120
+
+
 def test_hot_keys_are_few_by_share(spark):
     df = skewed(spark)
     hot = find_hot_keys(df, "k", "at", rows=1, share=5)
