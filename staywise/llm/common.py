@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and reread it: computed once, read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(column: str) -> Column:
     """The text, NULL as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -10,7 +10,8 @@ removed when it holds at least ``min_words`` words and one unit of at least
 ``min_unit_words``; shorter repeats are phrases that happen to recur and stay.
 Removed spans keep their offsets (code points) in the original text.
 
-Scale: counts are combined on the map side, so a unit that a third of all texts
+Scale: texts are cut and digested once, into a table of the shared folder that later
+steps read by column. Counts are combined on the map side, so a unit that a third of all texts
 share costs one row per task. Only units whose digest occurs more than once, by a
 bit set of fixed size, go to the exact join; the keepers of the most frequent
 digests reach them by broadcast. Texts without a removed span are not shuffled.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staywise.llm.common import bit_table, checkpoint, join_facts, same, ship, split_by_bits, text_of
+from staywise.llm.common import bit_table, checkpoint, join_facts, same, ship, split_by_bits, stored, text_of
 
 MIN_WORDS = 20
 MIN_UNIT_WORDS = 5
@@ -111,7 +112,7 @@ def repeated_spans(
     df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_unit_words: int = MIN_UNIT_WORDS
 ) -> DataFrame:
     """(k, d, spans): per text that loses something, an ascending array of (start, stop, units) in code points."""
-    found = unit_digests(df, key, text)
+    found = stored(unit_digests(df, key, text))
     place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "start")
     repeated = checkpoint(
         found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
