@@ -9,17 +9,18 @@ agree to 80 %.
 Edit join: two lines within ``most`` edits share one of ``most + 1`` segments of
 the shorter one, at a place that the edits before and after it allow. Each
 distinct line enters its segments under (length, segment number, text) and probes
-with the substrings of itself that can match a segment of a line of its own
-length or up to ``most`` shorter. A probe meets a segment by an equi-join on the
-hash; both rows carry counts of sixteen common letters (mod 16), and a pair whose
-counts cannot come from ``most`` edits is dropped inside the join. The texts of
-what is left are fetched and verified: one bit per diagonal of the band, one word
-per number of edits, moved along the line by an aggregate.
+with its segments and with the other substrings of itself that can match a segment
+of a line of its own length or up to ``most`` shorter. A probe meets a segment by
+an equi-join on the hash; both rows carry counts of sixteen common letters (mod
+16), and a pair whose counts cannot come from ``most`` edits is dropped inside the
+join. The texts of what is left are fetched and verified: one bit per diagonal of
+the band, one word per number of edits, moved along the line by an aggregate.
 
 Scale: equal lines are combined on the map side, so a line that a third of all
 texts share costs one row per task. Segment and probe rows hold two longs and an
-int, never text. Lines are fetched, and occurrences joined, behind a bit set of
-fixed size. Texts that lose no line are not shuffled.
+int, never text; hashes and counts are computed once, into a shared table. Lines
+are fetched, and occurrences joined, behind a bit set of fixed size. Texts that
+lose no line are not shuffled.
 
 NULL and empty texts have no lines to drop. A NULL key ranks after all others.
 Rows that repeat a key are told apart by their text; fully equal rows lose the
@@ -31,12 +32,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staywise.llm.common import bit_table, checkpoint, join_facts, same, split_by_bits, text_of
+from staywise.llm.common import bit_table, checkpoint, join_facts, same, split_by_bits, stored, text_of
 
 MOST = 2
 MIN_CHARS = 10
 LETTERS = "eainrtoshdlucmpg"
 SPACE = " \t\r\x0b\x0c"
+WIDE = 4  # bytes of a character in UTF-32
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,7 +56,7 @@ def _counts(line: Column) -> Column:
     """Counts of the common letters, four bits each."""
     out = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
-        times = F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
+        times = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         out = out + F.shiftleft(times.bitwiseAND(15).cast("long"), 4 * i)
     return out
 
@@ -75,17 +77,20 @@ def _segment(length: Column, i: int, most: int) -> tuple[Column, Column]:
     return start, F.floor(length * (i + 1) / (most + 1)).cast("int") - start
 
 
-def _keys(line: Column, n: Column, most: int, probe: bool) -> Column:
-    """Hashes of the segments of a line, or of its substrings that may be one of a partner's."""
+def _keys(wide: Column, n: Column, most: int, own: bool) -> Column:
+    """Hashes of the segments of a line, or of its other substrings that may be a partner's segment.
+
+    ``wide`` is the line with four bytes per character, so that a substring is
+    a slice of bytes and need not be searched from the start of the line.
+    """
     keys = []
-    for shorter in range(most + 1 if probe else 1):
+    for shorter in range(1 if own else most + 1):
         length = n - shorter
         for i in range(most + 1):
             start, size = _segment(length, i, most)
-            shifts = range(max(-i, shorter - (most - i)), min(i, shorter + (most - i)) + 1) if probe else (0,)
-            for shift in shifts:
-                part = F.substring(line, start + 1 + shift, size)
-                keys.append(F.xxhash64(length, F.lit(i), part))
+            for shift in range(max(-i, shorter - (most - i)), min(i, shorter + (most - i)) + 1):
+                if (shorter == shift == 0) == own:
+                    keys.append(F.xxhash64(length, F.lit(i), F.substring(wide, (start + shift) * WIDE + 1, size * WIDE)))
     return F.array(*keys)
 
 
@@ -135,10 +140,14 @@ def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
     """(line_a, line_b, first_a, first_b) for each pair of different lines within ``most`` edits, once."""
     long_lines = lines.filter(F.char_length("line") >= min_chars)
     distinct = long_lines.select("line").distinct()
-    told = distinct.select("line", _handle().alias("id"), _counts(F.col("line")).alias("c"), F.char_length("line").alias("n"))
-    left = told.select("id", "c", F.explode(_keys(F.col("line"), F.col("n"), most, False)).alias("key"))
-    right = told.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(_keys(F.col("line"), F.col("n"), most, True)).alias("key2"))
-    met = left.join(right, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")) & _can_match(F.col("c"), F.col("c2"), most))
+    wide = distinct.select("line", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
+    segments, probes = (_keys(F.col("wide"), F.col("n"), most, own) for own in (True, False))
+    told = stored(wide.select(_handle().alias("id"), _counts(F.col("line")).alias("c"), segments.alias("segments"), probes.alias("probes")))
+    left = told.select("id", "c", F.explode("segments").alias("key"))
+    alike = left.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("key").alias("key2"))
+    shifted = told.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode("probes").alias("key2"))
+    meet = (F.col("key") == F.col("key2")) & _can_match(F.col("c"), F.col("c2"), most)
+    met = left.join(alike, meet & (F.col("id") < F.col("id2"))).unionByName(left.join(shifted, meet & (F.col("id") != F.col("id2"))))
     candidates = checkpoint(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
 
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id"))
