@@ -48,8 +48,9 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("k", "d", "at", F.btrim("raw", F.lit(SPACE)).alias("line")).filter("line != ''")
 
 
-def _handle(line: str = "line") -> Column:
-    return F.xxhash64(line)
+def _digest(line: str = "line") -> list[Column]:
+    """128 bits that tell lines apart; the first half alone is the handle of a line among candidates."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
 def _counts(line: Column) -> Column:
@@ -77,7 +78,7 @@ def _segment(length: Column, i: int, most: int) -> tuple[Column, Column]:
     return start, F.floor(length * (i + 1) / (most + 1)).cast("int") - start
 
 
-def _keys(wide: Column, n: Column, most: int, own: bool) -> Column:
+def _keys(wide: Column, n: Column, most: int, own: bool) -> list[Column]:
     """Hashes of the segments of a line, or of its other substrings that may be a partner's segment.
 
     ``wide`` is the line with four bytes per character, so that a substring is
@@ -91,7 +92,7 @@ def _keys(wide: Column, n: Column, most: int, own: bool) -> Column:
             for shift in range(max(-i, shorter - (most - i)), min(i, shorter + (most - i)) + 1):
                 if (shorter == shift == 0) == own:
                     keys.append(F.xxhash64(length, F.lit(i), F.substring(wide, (start + shift) * WIDE + 1, size * WIDE)))
-    return F.array(*keys)
+    return keys
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -139,13 +140,17 @@ def within(a: Column, b: Column, most: int) -> Column:
 def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
     """(line_a, line_b, first_a, first_b) for each pair of different lines within ``most`` edits, once."""
     long_lines = lines.filter(F.char_length("line") >= min_chars)
-    distinct = long_lines.select("line").distinct()
-    wide = distinct.select("line", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
-    segments, probes = (_keys(F.col("wide"), F.col("n"), most, own) for own in (True, False))
-    told = stored(wide.select(_handle().alias("id"), _counts(F.col("line")).alias("c"), segments.alias("segments"), probes.alias("probes")))
-    left = told.select("id", "c", F.explode("segments").alias("key"))
+    wide = long_lines.select("line", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
+    facts = {"c": _counts(F.col("line"))}
+    for kind, own in (("s", True), ("p", False)):
+        facts |= {f"{kind}{i}": key for i, key in enumerate(_keys(F.col("wide"), F.col("n"), most, own))}
+    # one row of numbers per distinct line: they are shuffled, its text is not
+    rows = wide.select(*_digest(), *[column.alias(name) for name, column in facts.items()])
+    told = stored(rows.groupBy("h1", "h2").agg(*[F.first(name).alias(name) for name in facts]).withColumnRenamed("h1", "id"))
+    segments, probes = (F.array(*[name for name in facts if name[0] == kind]) for kind in "sp")
+    left = told.select("id", "c", F.explode(segments).alias("key"))
     alike = left.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("key").alias("key2"))
-    shifted = told.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode("probes").alias("key2"))
+    shifted = told.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(probes).alias("key2"))
     meet = (F.col("key") == F.col("key2")) & _can_match(F.col("c"), F.col("c2"), most)
     met = left.join(alike, meet & (F.col("id") < F.col("id2"))).unionByName(left.join(shifted, meet & (F.col("id") != F.col("id2"))))
     candidates = checkpoint(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
@@ -153,7 +158,7 @@ def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id"))
     bits = checkpoint(bit_table(ends, F.col("id")))
     place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
-    likely = split_by_bits(long_lines.withColumn("id", _handle()), bits, F.col("id")).filter("_maybe")
+    likely = split_by_bits(long_lines.withColumn("id", F.xxhash64("line")), bits, F.col("id")).filter("_maybe")
     texts = checkpoint(likely.groupBy("id", "line").agg(F.min(place).alias("first")))
     sides = [texts.select(F.col("id").alias(f"id_{s}"), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab"]
     both = candidates.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b"))
@@ -166,13 +171,12 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", most:
     pairs = near_pairs(lines, most, min_chars)
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("line_b")).otherwise(F.col("line_a"))
     near = pairs.select(later.alias("line")).distinct()
-    digest = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
-    small = lines.select("k", "d", "at", *digest)
+    small = lines.select("k", "d", "at", *_digest())
     repeated = small.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # all occurrences of a line that has an earlier near one go; of others all but the first
     none = F.lit(None).cast(repeated.schema["first"].dataType)
-    marked = near.select(*digest, none.alias("first"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("near"))
+    marked = near.select(*_digest(), none.alias("first"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("near"))
     facts = repeated.withColumn("near", F.lit(False)).unionByName(marked).groupBy("h1", "h2").agg(
         F.max("first").alias("first"), F.greatest(F.max("n"), F.lit(1)).alias("n"), F.max("near").alias("near")
     )

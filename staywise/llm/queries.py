@@ -128,12 +128,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = drop_lines(_read(spark, sf_dir, "documents"))
+    cut, text = drop_lines(_read(spark, sf_dir, "documents")), F.coalesce("row.text", F.lit(""))
     return cut.select(
         F.col("row.doc_id").alias("doc_id"),
-        F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.encode("t", "UTF-8"), 256).alias("kept_sha256"),
+        F.sha2(F.col("t").cast("binary"), 256).alias("kept_sha256"),
     )
 
 
