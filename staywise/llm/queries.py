@@ -86,7 +86,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = drop_repeats(_read(spark, sf_dir, "documents"))
+    cut = drop_repeats(_read(spark, sf_dir, "documents"), lines=True)
     removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"]), F.lit(0))
     return cut.select(
         F.col("row.doc_id").alias("doc_id"),

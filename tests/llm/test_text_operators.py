@@ -372,6 +372,30 @@ def test_substring_dedup(docs):
     assert sorted((str(k), t, [(s["start"], s["stop"]) for s in spans or ()]) for k, t, spans in got) == sorted(want)
 
 
+def test_substring_dedup_removes_whole_lines(spark, docs):
+    han = "我们今天去了公园看了很多美丽的花朵然后慢慢走回家吃饭休息" * 2
+    more = [
+        (1000, "short line\n\nOne here. Two there.\nkept one"), (1001, "Short  LINE\nkept two\none here. two there.\n \nshort line"),
+        (1002, f"{han}。第一个。\nx。" + han + "。别的话在这里。"), (1003, "A short line.\n" + han + "！\n" + han + "！"),
+    ]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = drop_repeats(docs, lines=True).select("row.doc_id", "row.text", "t", "spans").collect()
+    left = {k: t for k, _, t, _ in got}
+    assert left[1001] == "\nkept two\n" + "\n \n" and left[1000] == more[0][1]
+    assert left[1003] == "A short line.\n" + han + "！\n" and left[1002] == f"{han}。第一个。\nx。别的话在这里。"
+    got.sort(key=lambda r: (r[0] is None, r[0] or 0, xxh(r[1] or "")))
+    first, later = {}, 0
+    for k, text, _, spans in got:
+        at = 0
+        for line in (text or "").split("\n"):
+            normal = " ".join(line.split()).casefold()
+            if normal and first.setdefault(normal, (k, text, at)) != (k, text, at):
+                begin, later = at + len(line) - len(line.lstrip()), later + 1
+                assert any(s["start"] <= begin and begin + len(line.strip()) <= s["stop"] for s in spans or ()), line
+            at += len(line) + 1
+    assert later >= 4
+
+
 @pytest.mark.parametrize("shards", [1, 3, 24])
 def test_sharding(docs, shards):
     rows = interleave(docs, shards, "doc_id", "text", "source", 42, bucket_rows=7).collect()
