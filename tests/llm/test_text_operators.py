@@ -293,6 +293,22 @@ def test_decontamination(spark, docs):
     assert contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+ITEM = "If a train leaves the station at 12 km per hour and Maria walks 30 minutes to catch it, how far does Maria walk?"
+
+
+def hits(spark, items, texts):
+    """Items found per text; the texts' numbers are their keys."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["items"] for r in contaminated(frame, benchmark).collect()}
+
+
+def test_decontamination_in_other_case_and_of_mostly_numbers(spark):
+    items = [ITEM, "Add 3 4 5 km to 7", "7 8 9 10"]
+    texts = ["so " + ITEM.upper() + " yes", ITEM.title(), "first Add 3 4 5 km to 7 then", "first Add 3 4 5 km to 8 then", "7 8 9 10"]
+    assert hits(spark, items, texts) == {0: [0], 1: [0], 2: [1]}
+
+
 def test_verbatim_items_are_found(spark, documents):
     items = {r["item_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = {}
