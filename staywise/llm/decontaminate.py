@@ -46,8 +46,7 @@ SMALL = 200_000  # windows of a benchmark that is broadcast
 KNOWN = 500_000  # tokens a task remembers
 SLICE = 200_000  # tokens worked at once, whole texts
 APART = 4  # tokens by which diagonals that add up may differ, at least
-SENTENCE, WORDING, PLAIN = range(3)
-MODES = (SENTENCE, PLAIN)
+SENTENCE, WORDING, PLAIN = MODES = range(3)
 BITS = WORDS * 64
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£°]|[.!?…\n]")
 NUMBER_WORDS = frozenset(
@@ -121,6 +120,7 @@ class _Slice:
             at = np.flatnonzero(capital)
             ids[at[~_in_bits(lower, ids[at])]] = NAME
         first = np.ones(len(ids), bool)
+        first[1:] = (ids[1:] != ids[:-1]) | ((ids[1:] != NUMBER) & (ids[1:] != NAME)) | self.begins[1:]
         first = np.flatnonzero(first)
         return ids[first], ids[first] > NAME, first, self.owner[first]
 
@@ -275,12 +275,12 @@ def contaminated(
     item_literal = F.zip_with("item_tokens", "item_kinds", lambda t, k: F.when(k == "", t).otherwise(k))
     same_window = (F.col("h") == F.col("h2")) & (F.col("size") == F.col("size2")) & (F.col("mode") == F.col("mode2"))
     matched = found.join(wanted, same_window).filter(literal == item_literal)
-    names = F.filter(F.arrays_zip("item_kinds", "item_tokens", "tokens"), lambda s: s["item_kinds"] != "")
+    names = F.filter(F.arrays_zip("item_kinds", "item_tokens", "tokens"), lambda s: s["item_kinds"] == MARKS[int(NAME)])
     shift = F.col("at") - F.col("item_at")
     # the diagonal itself, and two bands of diagonals that overlap by half
     bands = F.array(*[
         F.struct(F.lit(i).alias("band"), F.floor((shift + add) / wide).cast("int").alias("line"))
-        for i, (add, wide) in enumerate(((0, 1),))
+        for i, (add, wide) in enumerate(((0, 1), (0, 2 * APART), (APART, 2 * APART)))
     ])
     diagonal = matched.withColumn("on", F.explode(bands)).groupBy("k", "item", "item_n", "mode", "size", "on").agg(
         F.sort_array(F.collect_set("item_at")).alias("places"),
@@ -293,8 +293,7 @@ def contaminated(
             (acc["n"] + p + F.col("size") - F.greatest(p, acc["end"])).alias("n"), (p + F.col("size")).alias("end")
         ),
     )["n"]
-    one_name = F.size(F.array_distinct(F.transform("names", lambda s: F.struct(s["item_kinds"], s["item_tokens"])))) == F.size("names")
-    one_name &= F.size(F.array_distinct(F.transform("names", lambda s: F.struct(s["item_kinds"], s["tokens"])))) == F.size("names")
+    one_name = F.size(F.array_distinct(F.transform("names", lambda s: s["item_tokens"]))) == F.size("names")
     enough = covered >= F.least(F.lit(min_tokens), F.ceil(F.col("item_n") * min_share))
     hits = diagonal.filter(one_name & enough)
     return hits.groupBy("k").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.col("k").alias(key), "items")

@@ -309,6 +309,23 @@ def test_decontamination_in_other_case_and_of_mostly_numbers(spark):
     assert hits(spark, items, texts) == {0: [0], 1: [0], 2: [1]}
 
 
+def test_decontamination_of_other_numbers_and_names(spark):
+    items = [
+        "Maria picks 3 apples and 5 pears in the garden and eats 2 of them with 2 friends, how many are left over?",
+        "Tom buys 3 boxes. Tom sells 2 boxes. Tom asks how many remain.", "What is the capital of France?",
+    ]
+    texts = [
+        "Maria picks 4 apples and 4 pears in the garden and eats 3 of them with 4 friends, how many are left over?",
+        "Mary Ann picks twenty five apples and 4 pears in the garden and eats 3 of them with 4 friends, how many are left over?",
+        "Sam buys 4 boxes. Sam sells 3 boxes. Sam asks how many remain.",
+        "Sam buys 4 boxes. Ann sells 3 boxes. Joe asks how many remain.\nand then Tom asks nothing", "they asked What is the capital of Spain and left",
+        "Sam buys 4 boxes. Sam sells 3 boxes. Bob buys it.", "Paris is the capital of France.",
+        "Maria picks 4 apples and 4 pears in the garden so very often and eats 3 of them with 4 friends, how many are left over?",
+    ]
+    got = hits(spark, items, texts)
+    assert {k: got.get(k) for k in (0, 1, 2, 4, 7)} == {0: [0], 1: [0], 2: [1], 4: [2], 7: [0]} and 6 not in got
+
+
 def test_verbatim_items_are_found(spark, documents):
     items = {r["item_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = {}
