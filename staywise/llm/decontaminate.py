@@ -282,7 +282,7 @@ def contaminated(
         F.struct(F.lit(i).alias("band"), F.floor((shift + add) / wide).cast("int").alias("line"))
         for i, (add, wide) in enumerate(((0, 1), (0, 2 * APART), (APART, 2 * APART)))
     ])
-    diagonal = matched.withColumn("on", F.explode(bands)).groupBy("k", "item", "item_n", "mode", "size", "on").agg(
+    diagonal = matched.withColumn("on", F.explode(bands)).groupBy("k", "d", "item", "item_d", "item_n", "mode", "size", "on").agg(
         F.sort_array(F.collect_set("item_at")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(names))).alias("names"),
     )
@@ -296,15 +296,16 @@ def contaminated(
     one_name = F.size(F.array_distinct(F.transform("names", lambda s: s["item_tokens"]))) == F.size("names")
     enough = covered >= F.least(F.lit(min_tokens), F.ceil(F.col("item_n") * min_share))
     hits = diagonal.filter(one_name & enough)
-    return hits.groupBy("k").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.col("k").alias(key), "items")
+    return hits.groupBy("k", "d").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.col("k").alias(key), F.col("d").alias("_d"), "items")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document is not contaminated, all their columns kept."""
-    bad = checkpoint(contaminated(df, benchmark, key, text).select(F.col(key).alias("_k")))
-    bits = checkpoint(bit_table(bad, F.col("_k")))
-    marked = split_by_bits(df.select(F.struct("*").alias("row"), F.col(key).alias("k")), bits, F.col("k"))
-    rest = marked.filter("_maybe").join(bad, same([F.col("k")], [F.col("_k")]), "left_anti")
+    """The rows of ``df`` whose text is not contaminated, all their columns kept."""
+    bad = checkpoint(contaminated(df, benchmark, key, text).select(F.col(key).alias("_k"), "_d"))
+    bits = checkpoint(bit_table(bad, F.col("_k"), F.col("_d")))
+    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text_of(text)).alias("d"))
+    marked = split_by_bits(rows, bits, F.col("k"), F.col("d"))
+    rest = marked.filter("_maybe").join(bad, same([F.col("k"), F.col("d")], [F.col("_k"), F.col("_d")]), "left_anti")
     return marked.filter("not _maybe").select("row.*").unionByName(rest.select("row.*"))
 
 

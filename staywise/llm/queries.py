@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.llm.bpe import decode, encode
+from staywise.llm.common import same, text_of
 from staywise.llm.decontaminate import contaminated
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
@@ -121,8 +122,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     found = contaminated(documents, benchmark)
     items = F.coalesce("items", F.array().cast(found.schema["items"].dataType))
-    bad = found.select(F.col("doc_id").alias("bad_id"), "items")
-    joined = documents.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left")
+    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("_d").alias("bad_d"), "items")
+    rows = documents.select("doc_id", F.xxhash64(text_of("text")).alias("d"))
+    joined = rows.join(bad, same([F.col("doc_id"), F.col("d")], [F.col("bad_id"), F.col("bad_d")]), "left")
     return joined.select("doc_id", F.col("items").isNull().alias("kept"), items.alias("items"))
 
 

@@ -326,6 +326,15 @@ def test_decontamination_of_other_numbers_and_names(spark):
     assert {k: got.get(k) for k in (0, 1, 2, 4, 7)} == {0: [0], 1: [0], 2: [1], 4: [2], 7: [0]} and 6 not in got
 
 
+def test_decontamination_tells_texts_of_one_key_apart(spark):
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    other = ITEM.replace("Maria", "Paula").replace("12", "55")
+    rows = [(None, ITEM), (None, "clean text"), (None, None), (1, ITEM), (1, other), (1, "clean too")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, (r["text"] for r in drop_contaminated(frame, benchmark).collect())))
+    assert kept == ["None", "clean text", "clean too"]
+
+
 def test_verbatim_items_are_found(spark, documents):
     items = {r["item_id"]: " ".join(r["text"].split()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = {}
