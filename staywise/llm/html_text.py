@@ -6,7 +6,10 @@ and punctuation per node are fused into the path's ratio. Ratios are smoothed
 along the page (neighbouring nodes share part of theirs) and up the tree (a path
 shares the ratio of the container it lies in), because headings and short
 paragraphs belong to the text around them. Paths above a threshold relative to
-the best path are content; all their nodes are returned in page order.
+the best path are content; all their nodes are returned in page order. On a page
+that marks no article, so is every other text in the container that holds most of
+the content (in the body only between content), unless the list, table or block it
+lies in is mostly links.
 
 What a page marks as something else is no candidate: elements of navigation,
 headers and footers of the page, asides, forms, scripts and styles, hidden
@@ -62,6 +65,10 @@ NOISE = re.compile(
     re.IGNORECASE,
 )
 LAYOUT = re.compile(r"(?:^|\s)(?:has|with|no|js|is)-\S+", re.IGNORECASE)  # says what a wrapper holds, not what it is
+CONTAINER = 0.8  # of the content's text, for the container that holds it
+LINKS = 0.5  # of a list's, table's or block's text, for it to be a menu
+LEAVES = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption tr ul ol dl".split())
+GROUPS = frozenset("ul ol dl menu table div section p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog note".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SMOOTH = 0.25  # share of each neighbour's ratio
@@ -74,9 +81,11 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, str]] = []  # tag, skipped, in the article, label
-        self.nodes: list[tuple[tuple[str, ...], int, bool, bool, str]] = []
+        # tag, skipped, in the article, label, number, numbers of the forms and named elements around
+        self.stack: list[tuple[str, bool, bool, str, int, tuple[int, ...]]] = []
+        self.nodes: list[tuple[tuple[str, ...], int, bool, bool, str, tuple[int, ...], tuple[int, ...]]] = []
         self.block = 0
+        self.tags: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -102,6 +111,9 @@ class _Page(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
         noise = tag not in ("html", "body", "main") and bool(NOISE.search(LAYOUT.sub(" ", names)))
+        doubtful = self.stack[-1][5] if self.stack else ()
+        number = len(self.tags)
+        self.tags.append(tag)
         marked = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
         if marked and not noise:
             inside = True
@@ -119,7 +131,7 @@ class _Page(HTMLParser):
             label = f"{tag}.{names}"
         if tag not in INLINE:
             self.block += 1
-        self.stack.append((tag, skipped, inside, label))
+        self.stack.append((tag, skipped, inside, label, number, doubtful))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -147,8 +159,8 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        skipped, inside = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
-        self.nodes.append((tuple(s[3] for s in self.stack), self.block, skipped, inside, data))
+        skipped, inside, doubtful = (self.stack[-1][1], self.stack[-1][2], self.stack[-1][5]) if self.stack else (False, False, ())
+        self.nodes.append((tuple(e[3] for e in self.stack), self.block, skipped, inside, data, doubtful, tuple(e[4] for e in self.stack)))
 
 
 def _ratios(nodes: list[tuple[tuple[str, ...], int, str]], upward: float) -> dict[tuple[str, ...], float]:
@@ -185,6 +197,41 @@ def _ratios(nodes: list[tuple[tuple[str, ...], int, str]], upward: float) -> dic
     return fused
 
 
+def _with_container(tags: list[str], nodes: list[tuple[tuple[int, ...], str]], content: list[bool]) -> list[bool]:
+    """The content and what else its container holds, without lists, tables and blocks of mostly links."""
+    if all(content):
+        return content
+    chosen = [i for i, (_, text) in enumerate(nodes) if content[i] and text.strip()]
+    held, depth = defaultdict(int), {}
+    for i in chosen:
+        for level, number in enumerate(nodes[i][0]):
+            if tags[number] not in LEAVES:
+                held[number] += len(nodes[i][1])
+                depth[number] = level
+    total = sum(len(nodes[i][1]) for i in chosen)
+    container = max((n for n, size in held.items() if size >= CONTAINER * total), key=depth.get, default=None)
+    within = range(len(nodes))
+    if container is None or tags[container] in ("html", "body"):
+        within = range(chosen[0], chosen[-1])
+
+    def group(numbers: tuple[int, ...], i: int) -> int:
+        below = numbers[numbers.index(container) + 1 :] if container in numbers else numbers
+        return next((n for n in reversed(below) if tags[n] in GROUPS), -1 - i)
+
+    size, links, groups = defaultdict(int), defaultdict(int), []
+    for i, (numbers, text) in enumerate(nodes):
+        at = group(numbers, i)
+        groups.append(at)
+        size[at] += len(text.strip())
+        if any(tags[n] == "a" for n in numbers):
+            links[at] += len(text.strip())
+    out = list(content)
+    for i in within:
+        if not out[i] and (container is None or container in nodes[i][0]):
+            out[i] = links[groups[i]] <= LINKS * size[groups[i]]
+    return out
+
+
 def main_text(html: str) -> str:
     page = _Page()
     page.feed(html)
@@ -198,9 +245,12 @@ def main_text(html: str) -> str:
     upward, least = MARKED if marked else OPEN
     fused = _ratios(shown, upward)
     least *= max(fused.values())
+    content = [fused.get(path, least) >= least for path, _, _ in pool]
+    if not marked:
+        content = _with_container(page.tags, [(n[6], n[4]) for n in usable], content)
     blocks: dict[int, list[str]] = {}
-    for path, block, text in pool:
-        if fused.get(path, least) >= least:
+    for (_, block, text), wanted in zip(pool, content):
+        if wanted:
             blocks.setdefault(block, []).append(text)
     return "\n\n".join(filter(None, (" ".join("".join(parts).split()) for parts in blocks.values())))
 

@@ -365,6 +365,20 @@ def test_html_text(spark):
     assert extract_text(frame.limit(0)).count() == 0
 
 
+def test_html_text_keeps_lists_tables_and_headings_of_an_unmarked_article():
+    said = "This says a thing or two, then some more, and ends here. " * 7
+    items = "".join(f"<li>item number {i} of a list without any marks</li>" for i in range(5))
+    table = "<table><tr><th>Name<th>Size<tr><td>box<td>12</table>"
+    menu = "".join(f"<li><a href=x>Menu {i}</a></li>" for i in range(5))
+    body = f"<h1>The title</h1><p>{said}</p><p>{said} See <a href=x>here</a>.</p><ul>{items}</ul>{table}<h2>Part two</h2><ul>{menu}</ul><p>{said}</p>" + f"<p>{said}</p>" * 5
+    for page in (f"<body><div class=top>Welcome</div><div id=x>{body}</div><ul>{menu}</ul></body>", f"<body>{body}</body>"):
+        got = main_text(page)
+        for kept in ("item number 0 of", "item number 4 of", "box", "12", "Part two", "here"):
+            assert kept in got, kept
+        assert "Menu" not in got and "Welcome" not in got
+    assert "The title" in main_text(f"<div id=x>{body}</div>")
+
+
 def test_html_text_of_the_given_pages(spark):
     for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
         article = row["html"].split("<article>")[1].split("</article>")[0]
