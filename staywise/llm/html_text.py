@@ -14,7 +14,9 @@ lies in is mostly links.
 What a page marks as something else is no candidate: elements of navigation,
 headers and footers of the page, asides, forms, scripts and styles, hidden
 elements, and elements whose class, id or role names an advert, menu, notice,
-comment section and the like. A page that marks its article (``article``,
+comment section and the like by a whole word of that name. A form, or an element so
+named, is a candidate nevertheless where it holds most of the page's text, or the
+only marked article; comment sections and the like never are. A page that marks its article (``article``,
 ``main`` or the matching role or itemprop) has its candidates inside it.
 
 Blocks: block-level elements bound a block, inline elements and ``br`` do not.
@@ -57,19 +59,26 @@ ENDED_BY = {
 }
 LIST_BOUNDS = frozenset(["ul", "ol", "menu", "table", "dl", "tr"])
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|"
+    r"(?:^|\s)(?:(?:site|page|main|primary|secondary|top|bottom|global|post|entry|article)[_-])?"
+    r"(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|"
     r"sidebar|side-bar|aside|footer|masthead|site-header|page-header|topbar|cookies?|consent|notice|alert|popup|modal|overlay|"
     r"comments?|comment-\w+|disqus|replies|respond|discussion|social|share|sharing|follow|related|recommend\w*|"
     r"read-more|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|skip-link|screen-reader-text|"
-    r"hidden|copyright|disclaimer|legal)(?=$|[\s_\d-])",
+    r"hidden|copyright|disclaimer|legal)"
+    r"(?:[_-](?:area|section|box|bar|block|wrap|wrapper|container|list|links?|posts?|items?|articles|stories|banner|notice|menu|nav|form|"
+    r"buttons?|icons?|inner|widgets?|thread|media|\d+))*(?=$|\s)",
     re.IGNORECASE,
 )
-LAYOUT = re.compile(r"(?:^|\s)(?:has|with|no|js|is)-\S+", re.IGNORECASE)  # says what a wrapper holds, not what it is
+NEVER = re.compile(
+    r"(?:^|[\s_-])(?:comments?|comment-\w+|disqus|replies|respond|discussion|related|recommend\w*|cookies?|consent|popup|hidden)(?=$|[\s_\d-])",
+    re.IGNORECASE,
+)
+MOST = 0.5  # of the page's text, for a form or a named element to be a wrapper
 CONTAINER = 0.8  # of the content's text, for the container that holds it
 LINKS = 0.5  # of a list's, table's or block's text, for it to be a menu
 LEAVES = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption tr ul ol dl".split())
 GROUPS = frozenset("ul ol dl menu table div section p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog note".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar alertdialog note".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SMOOTH = 0.25  # share of each neighbour's ratio
 # the container's share of a path's ratio, and the least ratio, as a part of the best path's
@@ -86,6 +95,7 @@ class _Page(HTMLParser):
         self.nodes: list[tuple[tuple[str, ...], int, bool, bool, str, tuple[int, ...], tuple[int, ...]]] = []
         self.block = 0
         self.tags: list[str] = []
+        self.never: set[int] = set()  # numbers of those that are never candidates
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -110,7 +120,7 @@ class _Page(HTMLParser):
         label = tag
         given = {k: v or "" for k, v in attrs}
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
-        noise = tag not in ("html", "body", "main") and bool(NOISE.search(LAYOUT.sub(" ", names)))
+        noise = tag not in ("html", "body", "main") and bool(NOISE.search(names))
         doubtful = self.stack[-1][5] if self.stack else ()
         number = len(self.tags)
         self.tags.append(tag)
@@ -119,14 +129,17 @@ class _Page(HTMLParser):
             inside = True
         elif not skipped:
             skipped = (
-                tag in SKIPPED
+                (tag in SKIPPED and tag != "form")
                 or (tag == "header" and not inside)
-                or noise
                 or given.get("role") in NOISE_ROLES
                 or "hidden" in given
                 or given.get("aria-hidden") == "true"
                 or "display:none" in given.get("style", "").replace(" ", "").lower()
             )
+        if not (marked and not noise) and (noise or tag == "form" or given.get("role") == "form"):
+            doubtful += (number,)
+            if noise and NEVER.search(names):
+                self.never.add(number)
         if names:
             label = f"{tag}.{names}"
         if tag not in INLINE:
@@ -162,6 +175,21 @@ class _Page(HTMLParser):
         skipped, inside, doubtful = (self.stack[-1][1], self.stack[-1][2], self.stack[-1][5]) if self.stack else (False, False, ())
         self.nodes.append((tuple(e[3] for e in self.stack), self.block, skipped, inside, data, doubtful, tuple(e[4] for e in self.stack)))
 
+    def usable(self) -> list[tuple]:
+        """The nodes that can be content."""
+        nodes = [n for n in self.nodes if not n[2]]
+        held, article, total, free = defaultdict(int), set(), 0, False
+        for _, _, _, inside, text, doubtful, _ in nodes:
+            size = len(text.strip())
+            total += size
+            for number in doubtful:
+                held[number] += size
+            if inside and size:
+                free = free or not doubtful
+                article.update(doubtful)
+        wrapper = {n for n, size in held.items() if n not in self.never and (size > MOST * total or (not free and n in article))}
+        return [n for n in nodes if wrapper.issuperset(n[5])]
+
 
 def _ratios(nodes: list[tuple[tuple[str, ...], int, str]], upward: float) -> dict[tuple[str, ...], float]:
     """Fused, smoothed ratio of each path."""
@@ -236,7 +264,7 @@ def main_text(html: str) -> str:
     page = _Page()
     page.feed(html)
     page.close()
-    usable = [n for n in page.nodes if not n[2]]
+    usable = page.usable()
     marked = [n for n in usable if n[3] and n[4].strip()]
     pool = [(n[0], n[1], n[4]) for n in usable if n[3] or not marked]
     shown = [n for n in pool if n[2].strip()]

@@ -379,6 +379,17 @@ def test_html_text_keeps_lists_tables_and_headings_of_an_unmarked_article():
     assert "The title" in main_text(f"<div id=x>{body}</div>")
 
 
+@pytest.mark.parametrize("name", ["elementor-widget elementor-widget-text-editor", "content sidebar-right", "post share-enabled", "legal-content", "widget"])
+def test_html_text_of_wrapped_articles(name):
+    said = "This says a thing or two, then some more, and ends here. " * 7
+    inner = f"<h1>Head</h1><p>{said}</p><p>{said}</p>"
+    noise = f"<div class='comments-area'><article><p>{said * 9}</p></article></div>"
+    for marked in (f"<article>{inner}</article>", f"<div>{inner}</div>", f"<div class='{name}'>{inner}</div>"):
+        for page in (f"<form action=x>{marked}<input></form>", f"<div class='{name}'>{marked}</div>", f"<form><div class='{name}'>{marked}</div></form>"):
+            assert main_text(page) == "\n\n".join(["Head", said.strip(), said.strip()]), page[:60]
+    assert main_text(f"<form><article>{inner}</article>{noise}</form>") == main_text(f"<article>{inner}</article>")
+
+
 def test_html_text_of_the_given_pages(spark):
     for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
         article = row["html"].split("<article>")[1].split("</article>")[0]
