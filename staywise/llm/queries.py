@@ -14,6 +14,7 @@ from staywise.llm.decontaminate import contaminated
 from staywise.llm.exact_dedup import exact_dedup
 from staywise.llm.html_text import extract_text
 from staywise.llm.line_dedup import drop_lines
+from staywise.llm.phrases import collocations
 from staywise.llm.quality import AdditiveModel, score, train
 from staywise.llm.sharding import interleave
 from staywise.llm.simhash import near_dedup
@@ -153,6 +154,38 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
+ORACLES["op12_phrases"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, unnest(list_concat(
+        w,
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, phrase),
+c AS (SELECT lang, phrase, f AS a, w FROM f WHERE len(w) > 1 AND f >= 10),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS cut FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, cut, x.f AS l, y.f AS r,
+             CAST(CAST(1000000 AS HUGEINT) * k.a * k.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:cut], ' ')
+             JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[cut + 1:], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE len(w) = 3),
+m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY lang, phrase),
+kept AS (SELECT low.* FROM low LEFT JOIN m ON m.lang = low.lang AND m.phrase = low.phrase WHERE m.longer IS NULL OR 100 * m.longer < 50 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 #: Host, path and verdict of the url rules (fixed values of the query).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
