@@ -9,14 +9,17 @@ is the sum over all windows that begin with it, so Spark's ROLLUP over the windo
 every length, the words, and the number of words of the language. No shorter phrase is ever exploded.
 
 Folding: a part of a phrase occurs at least as often as the phrase, so no number below ``least`` is ever needed, but
-its occurrences still count for the prefixes. After the windows' counts met in the task of their first two words, in
-the order of the words, one pass folds every prefix below ``least`` into its padded shorter prefix. It is exact, and
-only what is left, far less than the text, enters the ROLLUP.
+its occurrences still count for the prefixes. After the windows' counts met in the task of their first words, in the
+order of the words, one pass folds every prefix below ``least`` into its padded shorter prefix. It is exact, and only
+what is left, far less than the text, enters the ROLLUP.
 
 Where the data goes: a task counts windows of at most ``BUFFER`` words at a time, so a frequent window leaves it once
-per buffer, not once per occurrence; the counts are shuffled once by the first two words and sorted; nothing is
-gathered but one row per prefix. The joins of phrases with the counts of their parts are sort-merge joins, which
-adaptive execution splits where a part is hot. The best phrases of a language are found in salted groups first.
+per buffer, not once per occurrence; the counts are shuffled once and sorted; nothing is gathered but one row per
+prefix. In the shuffle the ``CODES`` words that are most frequent in a sample of ``SAMPLE`` rows stand as codes of
+three or four bytes, and windows that begin with one are dealt by their first two words; those that begin with any
+other word, which is rare, by that word. The sample decides sizes only, never a count. The joins of phrases with the
+counts of their parts are sort-merge joins, which adaptive execution splits where a part is hot. The best phrases of
+a language are found in salted groups first.
 
 Results: the ``top`` phrases of each language by score, count and bytes of the phrase. score is the least over the
 cuts into two parts of ``scale * a * a / (l * r)``, floored, in decimals of 38 digits (exact while the counts stay
@@ -27,6 +30,7 @@ ignored; an empty table gives no rows. Long texts are cut into slices for the to
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,6 +45,10 @@ SCALE = 1_000_000
 BUFFER = 1 << 21  # words whose windows a task counts at a time
 SLICE = 1 << 22  # bytes the tokeniser splits at a time
 CHUNK = 1 << 16  # rows of an Arrow batch that leaves a task
+CODES = 1 << 16  # words that stand as codes in the shuffle, about 1 MB on the driver and in each task
+SAMPLE = 10_000  # rows whose words are counted to choose them
+DIGITS = [chr(c) for c in range(0x21, 0x7F)]
+MARK = "\t"  # begins a code; no word holds it
 END = 0xFF  # stands for the end of a piece; never a byte of UTF-8
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(END if b in _ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -86,9 +94,41 @@ def _counted(ids: np.ndarray, longest: int) -> tuple[list[np.ndarray], np.ndarra
     return [c[first] for c in columns], counts
 
 
-def _windows(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, t) in; (head, w2, ..., n) out, head the first word and the language."""
-    names = ["head", *[f"w{i}" for i in range(2, longest + 1)], "n"]
+def _code(rank: int) -> str:
+    """Two digits for the most frequent words, three for others; no blank, so codes split like words."""
+    base = len(DIGITS)
+    short = DIGITS[rank // base % base] + DIGITS[rank % base]
+    return MARK + (short if rank < base * base else DIGITS[rank // base**2 - 1] + short)
+
+
+def _codes(df: DataFrame) -> dict[str, str]:
+    """Word to code for the words most frequent in a sample of the texts."""
+    total = df.count()
+    drawn = df.sample(min(1.0, SAMPLE / total), seed=1) if total else df
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("t"):
+                for tokens in _tokens(text.as_py()):
+                    found = pa.array([t.decode() for t in tokens if t[0] != END], pa.string()).value_counts()
+                    yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["w", "n"])
+
+    counted = drawn.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    best = counted.orderBy(F.desc("n"), "w").limit(CODES).collect()
+    return {r["w"]: _code(i) for i, r in enumerate(best)}
+
+
+def _escaped(lang: str) -> str:
+    """The language without blanks and line feeds."""
+    return lang.replace("\\", "\\\\").replace("\n", "\\n").replace(" ", "\\s")
+
+
+def _unescaped(lang: str) -> str:
+    return re.sub(r"\\(.)", lambda m: {"n": "\n", "s": " "}.get(m[1], m[1]), lang)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], longest: int, codes: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """(lang, t) in; (key, n) out: language, line feed, the words or their codes joined by blanks."""
     words: dict[str, _Words] = {}
     held: dict[str, list[np.ndarray]] = {}
     size = 0
@@ -96,13 +136,13 @@ def _windows(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Rec
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             columns, counts = _counted(np.concatenate(parts), longest)
-            known = [b"", *list(words[lang])[1:]]
-            vocabulary = pa.array(known, pa.binary()).cast(pa.string())
-            heads = pa.array([w + b"\n" + lang.encode() for w in known], pa.binary()).cast(pa.string())
+            known = ["", *[w.decode() for w in list(words[lang])[1:]]]
+            short = [codes.get(w, w) for w in known]
+            vocabulary, heads = pa.array(short, pa.string()), pa.array([f"{_escaped(lang)}\n{w}" for w in short], pa.string())
             for i in range(0, len(counts), CHUNK):
                 taken = [pa.array(c[i : i + CHUNK]) for c in columns]
-                out = [heads.take(taken[0]), *[vocabulary.take(t) for t in taken[1:]], pa.array(counts[i : i + CHUNK], pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                keys = pc.binary_join_element_wise(heads.take(taken[0]), *[vocabulary.take(t) for t in taken[1:]], " ")
+                yield pa.RecordBatch.from_arrays([keys, pa.array(counts[i : i + CHUNK], pa.int64())], names=["key", "n"])
         held.clear()
         words.clear()
 
@@ -130,16 +170,21 @@ def _new(columns: Sequence[pa.Array]) -> np.ndarray:
     return np.r_[True, changed]
 
 
-def _fold(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Sorted windows with partial counts in; windows with every prefix below ``least`` folded into a shorter one out.
+def _fold(batches: Iterator[pa.RecordBatch], longest: int, least: int, codes: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, n) in; windows (lang, w1, ..., n) with every prefix below ``least`` folded into a shorter one out.
 
     Each level, from whole windows up to first words, sums equal prefixes. A prefix of ``least`` occurrences gives out
     those that no longer one gave out before it; any other hands them to the padded prefix one word shorter. The last
     prefix of a level may go on in the next batch, so it waits: one row per level, however large its group.
     """
-    names = ["head", *[f"w{i}" for i in range(2, longest + 1)], "n"]
+    names = ["lang", *[f"w{i}" for i in range(1, longest + 1)], "n"]
+    plain = {code: word for word, code in codes.items()}
     waiting: list[tuple | None] = [None] * (longest + 1)
 
+    def spelled(column: pa.Array, change) -> pa.Array:
+        coded = column.dictionary_encode()
+        return pa.array([change(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
     def step(columns: list[pa.Array], total: np.ndarray, rest: np.ndarray, final: bool) -> Iterator[pa.RecordBatch]:
         for level in range(longest, 0, -1):
             if waiting[level] is not None:
@@ -161,28 +206,32 @@ def _fold(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterat
                 out &= (total >= least) & pc.not_equal(columns[level - 1], "").to_numpy(zero_copy_only=False)
             if out.any():
                 pick = pa.array(np.flatnonzero(out))
+                head, *later = [c.take(pick) for c in columns[:level]]
+                lang = spelled(head, lambda w: _unescaped(w.partition("\n")[0]))
+                first = spelled(head, lambda w: plain.get(w := w.partition("\n")[2], w))
+                later = [spelled(c, lambda w: plain.get(w, w)) for c in later]
                 pads = [pa.array([""] * len(pick), pa.string())] * (longest - level)
-                yield pa.RecordBatch.from_arrays([*[c.take(pick) for c in columns[:level]], *pads, pa.array(rest[out])], names=names)
+                yield pa.RecordBatch.from_arrays([lang, first, *later, *pads, pa.array(rest[out])], names=names)
                 rest = np.where(out, 0, rest)
 
     for batch in batches:
         if batch.num_rows:
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            yield from step([batch.column(c) for c in names[:-1]], n, n, False)
+            parts = pc.split_pattern(batch.column("key"), " ").flatten()  # longest parts each
+            place = np.arange(0, len(parts), longest)
+            yield from step([parts.take(pa.array(place + i)) for i in range(longest)], n, n, False)
     yield from step([pa.array([], pa.string())] * longest, np.zeros(0, np.int64), np.zeros(0, np.int64), True)
 
 
 def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10) -> DataFrame:
     """(lang, k, phrase, f): the phrases of k words that occur ``least`` times or more; k = 0 holds the number of words."""
     names = [f"w{i}" for i in range(1, longest + 1)]
-    kind = ", ".join(f"{c} string" for c in ("head", *names[1:])) + ", n long"
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).cast("binary").alias("t"))
-    windows = rows.mapInArrow(lambda b: _windows(b, longest), kind)
-    dealt = windows.repartition("head", *names[1:2]).sortWithinPartitions("head", *names[1:])
-    folded = dealt.mapInArrow(lambda b: _fold(b, longest, least), kind)
-    first = F.substring_index("head", "\n", 1)
-    after = F.substring(F.col("head"), F.length(first) + 2, F.length("head"))
-    split = folded.select(after.alias("lang"), first.alias("w1"), *names[1:], "n")
+    codes = _codes(rows)
+    windows = rows.mapInArrow(lambda b: _windows(b, longest, codes), "key string, n long")
+    group = F.when(F.contains("key", F.lit("\n" + MARK)), F.substring_index("key", " ", 2)).otherwise(F.substring_index("key", " ", 1))
+    dealt = windows.repartition(group).sortWithinPartitions("key")
+    split = dealt.mapInArrow(lambda b: _fold(b, longest, least, codes), ", ".join(f"{c} string" for c in ("lang", *names)) + ", n long")
     # level of the ROLLUP: 0 for whole windows, 1, 3, 7 ... for prefixes of one word less each
     summed = split.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     k = F.lit(None).cast("int")

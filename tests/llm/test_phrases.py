@@ -93,23 +93,30 @@ def test_slices_cut_no_word(monkeypatch):
 
 def test_folding_is_the_same_for_any_batches():
     rng = random.Random(9)
-    rows = sorted((rng.choice("ab"), *(w := (rng.choice(["", "x", "y", "z"]),)), rng.choice(["p", "q", "r"]) if w[0] else "", rng.randrange(1, 4)) for _ in range(60))
-    names = ["head", "w2", "w3", "n"]
+    codes = {"x": "\t!!", "b": "\t!#"}
+    rows = sorted((f"en\\n\\s\n{rng.choice(['a', codes['b']])} {(w := rng.choice(['', codes['x'], 'y', 'z']))} {rng.choice('pqr') if w else ''}", rng.randrange(1, 4)) for _ in range(60))
 
     def run(size):
         lots = [rows[i : i + size] for i in range(0, len(rows), size)]
-        out = _fold(iter([pa.RecordBatch.from_pydict({c: [r[j] for r in lot] for j, c in enumerate(names)}) for lot in lots]), 3, 12)
         got = Counter()
-        for b in out:
+        for b in _fold(iter([pa.RecordBatch.from_pydict({"key": [r[0] for r in lot], "n": [r[1] for r in lot]}) for lot in lots]), 3, 12, codes):
             for r in b.to_pylist():
-                got[r["head"], r["w2"], r["w3"]] += r["n"]
+                got[r["lang"], r["w1"], r["w2"], r["w3"]] += r["n"]
         return got
 
     whole = run(60)
-    assert sum(whole.values()) == sum(r[3] for r in rows)
+    assert sum(whole.values()) == sum(r[1] for r in rows) and {k[0] for k in whole} == {"en\n "}
+    assert {k[1] for k in whole} == {"a", "b"} and {k[2] for k in whole} <= {"", "x", "y", "z"}
     full = Counter()
-    for a, b, c, n in rows:
-        full[a, b, c] += n
-    assert all(whole[k] == n for k, n in full.items() if k[2] and n >= 12)
+    for key, n in rows:
+        full[tuple({v: k for k, v in codes.items()}.get(w, w) for w in key.partition("\n")[2].split(" "))] += n
+    assert all(whole[("en\n ", *k)] == n for k, n in full.items() if k[2] and n >= 12)
     for size in (1, 2, 3, 7):
         assert run(size) == whole
+
+
+def test_codes_are_different_and_languages_come_back():
+    codes = [phrases._code(i) for i in range(phrases.CODES)]
+    assert len(set(codes)) == len(codes) and not any(" " in c or "\n" in c for c in codes)
+    for lang in ("", "a b", "a\\sb\n", "\\n", "\\\\s ", "é"):
+        assert phrases._unescaped(phrases._escaped(lang)) == lang and not {" ", "\n"} & set(phrases._escaped(lang))
