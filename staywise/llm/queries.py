@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.llm.bpe import decode, encode
+from staywise.llm.centroids import cluster_vectors
 from staywise.llm.common import same, text_of
 from staywise.llm.decontaminate import contaminated
 from staywise.llm.exact_dedup import exact_dedup
@@ -154,6 +155,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # the vectors are read in each round; only the ids travel with the result
+    found = cluster_vectors(vectors, "vec_id", "embedding", dims=64, clusters=16, rounds=3, seed=1, keep=["vec_id"])
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 @_query
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_read(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
