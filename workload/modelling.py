@@ -11,10 +11,10 @@ LABEL = "price"
 DIMS = 64
 
 
-def sales_parts(t: Tables):
-    """Training and test rows, label in thousands."""
+def sales_parts(t: Tables, *more: str):
+    """Training and test rows, label in thousands; ``more`` are further columns."""
     rows = t.sales.withColumn(LABEL, F.col("l_extendedprice") / 1000)
-    parted = split.split_by_hash(rows, *KEYS).select(*FEATURES, LABEL, "p_type", "part")
+    parted = split.split_by_hash(rows, *KEYS).select(*FEATURES, LABEL, "p_type", *more, "part")
     return parted.filter(F.col("part") == "train"), parted.filter(F.col("part") == "test")
 
 
@@ -47,11 +47,6 @@ def grid_metrics(t, search):
     return models.regression_metrics(result.predict(test), LABEL, "prediction")
 
 
-@query()
-def grid_linear(t):
-    return grid_metrics(t, models.grid_linear)
-
-
 @query()
 def grid_robust_linear(t):
     return grid_metrics(t, models.grid_robust_linear)
@@ -67,12 +62,6 @@ def grid_gbt(t):
     return grid_metrics(t, models.grid_gbt)
 
 
-@query()
-def grid_scores(t):
-    train, _ = sales_parts(t)
-    return models.grid_linear(train, FEATURES, LABEL).scores
-
-
 @query()
 def feature_importance(t):
     train, _ = sales_parts(t)
