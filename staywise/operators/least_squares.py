@@ -9,6 +9,7 @@ Rows with a NULL or NaN feature or label enter no moment; they are counted as ``
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,8 +17,10 @@ from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from staywise.functions.codes import hash_unit
@@ -134,8 +137,6 @@ def _wide_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str], pair
             yield pa.RecordBatch.from_arrays(out, names=[*keys, "_place", "_sum"])
 
     fields = [rows.schema[c] for c in keys]
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = [to_arrow_type(f.dataType) for f in fields]
     schema = StructType([*fields, StructField("_place", IntegerType()), StructField("_sum", DoubleType())])
     added = rows.mapInArrow(run, schema).groupBy(*keys, "_place").agg(F.sum("_sum").alias("_sum"))
@@ -281,3 +282,7 @@ def with_lines(df: DataFrame, by: str, lines: Mapping[str, Line], features: Sequ
     for f, c in zip(features, cells[1:]):
         value = value + F.col(f).cast("double") * F.col(c)
     return joined.withColumn(name, value).drop("_s", *cells)
+
+
+# worker functions travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

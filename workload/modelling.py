@@ -52,23 +52,11 @@ def grid_robust_linear(t):
     return grid_metrics(t, models.grid_robust_linear)
 
 
-@query()
-def grid_random_forest(t):
-    return grid_metrics(t, models.grid_random_forest)
-
-
 @query()
 def grid_gbt(t):
     return grid_metrics(t, models.grid_gbt)
 
 
-@query()
-def feature_importance(t):
-    train, _ = sales_parts(t)
-    model = models.fit(train, FEATURES, RandomForestRegressor(labelCol=LABEL, numTrees=10, seed=models.SEED))
-    return models.feature_importance(model, FEATURES, train)
-
-
 @query()
 def grid_logistic(t):
     train, test = embedded(t)
@@ -90,16 +78,6 @@ def grid_rf_classifier(t):
     return models.classifier_scores(result.predict(test), "positive")
 
 
-TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-
-
-@query()
-def submodel_metrics(t):
-    train, test = sales_parts(t)
-    make = lambda: RandomForestRegressor(labelCol=LABEL, numTrees=5, seed=models.SEED)
-    return models.submodels(train, test, "p_type", TYPES, FEATURES, LABEL, make)
-
-
 @query()
 def split_model(t):
     train, test = sales_parts(t)
