@@ -63,6 +63,20 @@ def cut_points(df: DataFrame, features: Sequence[str], label: str, bins: int = B
     return Cuts(tuple(cut[:-1]), cut[-1])
 
 
+def value_cuts(df: DataFrame, features: Sequence[str], label: str, most: int = 1000) -> Cuts:
+    """A cut at every different value, for columns of at most ``most`` values: nothing is rounded."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate([*features, label])]))
+    rows = df.filter(_complete([*features, label])).select(each.alias("p")).select("p.*").distinct().limit(most * (len(features) + 1) + 1).collect()
+    found: list[list[float]] = [[] for _ in (*features, label)]
+    for r in rows:
+        found[r["i"]].append(r["v"])
+    for c, values in zip((*features, label), found):
+        if len(values) > most:
+            raise ValueError(f"{c} has more than {most} different values")
+    cut = [tuple(sorted(v)[:-1]) for v in found]
+    return Cuts(tuple(cut[:-1]), cut[-1])
+
+
 @dataclass
 class Tree:
     """Nodes in heap order: the children of node i are 2 i + 1 (bins up to ``bin``) and 2 i + 2."""

@@ -180,3 +180,10 @@ def test_importances_sum_to_one(spark):
     found = dict(tr.importances(tr.grow(rows, [tr.Model(frozenset({0}), "squared", s) for s in range(3)], cuts, 3), FEATURES))
     assert sum(found.values()) == pytest.approx(1) and min(found.values()) >= 0
     assert tr.importances([tr.Tree(2)], FEATURES) == [(f, 0.0) for f in FEATURES]
+
+
+def test_value_cuts(spark):
+    x, y = data(200)
+    assert tr.value_cuts(frame(spark, x, y), FEATURES, "y") == exact_cuts(x, y)
+    with pytest.raises(ValueError):
+        tr.value_cuts(frame(spark, x, y), FEATURES, "y", 5)

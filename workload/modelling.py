@@ -52,11 +52,6 @@ def grid_robust_linear(t):
     return grid_metrics(t, models.grid_robust_linear)
 
 
-@query()
-def grid_gbt(t):
-    return grid_metrics(t, models.grid_gbt)
-
-
 @query()
 def grid_logistic(t):
     train, test = embedded(t)
