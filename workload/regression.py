@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from staywise.operators import least_squares as ls
+from staywise.operators import support_vectors as svr
 from staywise.operators.metrics import regression_metrics
 from workload.base import query, with_sales
 from workload.modelling import LABEL, sales_parts
@@ -194,3 +195,22 @@ def fit_ridge_wide(t):
     line = ls.solve(ls.moments(rows, [*names, "label"])[()], ridge=1.0)
     out = [("(intercept)", line.intercept), *zip(names, line.coefficients)]
     return t.spark.createDataFrame(out, "feature string, coefficient double").withColumn("coefficient", F.bround("coefficient", 5))
+
+
+def _machines(train):
+    return svr.grid_svr(train, FEATURES, LABEL, ls.fold_of("fold", FOLDS, *KEYS), FOLDS, costs=(0.01, 1.0), gammas=(0.1,), size=20)
+
+
+@query()
+def svr_scores(t):
+    """Support vector regression: every kernel's and cost's score on every fold."""
+    train, _ = sales_parts(t, *KEYS)
+    return _machines(train).frame(train)
+
+
+@query()
+def grid_svr(t):
+    """Test metrics of the best support vector regression over kernel and cost."""
+    train, test = sales_parts(t, *KEYS)
+    predicted = test.select(LABEL, _machines(train).prediction.alias("prediction"))
+    return regression_metrics(predicted, LABEL, "prediction")
