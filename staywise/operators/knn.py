@@ -1,25 +1,30 @@
 """Exact k-nearest-neighbour regression without pairing every test row with every training row.
 
-Training rows are assigned to the nearest of a few pivots. The triangle
-inequality bounds, for each test row, the distance of its k-th neighbour, so
-only cells that can hold a neighbour are visited. Cells are cut into blocks of
-bounded size on both sides, whatever their share of the rows.
+A metric tree of two levels holds the training rows: each goes to the nearest
+top pivot, and there to the nearest leaf pivot. The number of leaves follows the
+number of rows. The triangle inequality bounds, for each test row, the distance
+of its k-th neighbour; whole branches, then leaves, that cannot hold a nearer row
+are left out. A leaf's rows go only to the batches of test rows that visit it,
+and both sides of a leaf are cut into blocks of bounded size, whatever their
+share of the rows.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.codes import hash_unit
 
-PIVOTS = 64
+LEAF_ROWS = 2048  # training rows per leaf, as far as MOST_LEAVES lets it
+MOST_LEAVES = 4096  # pivots that the driver and each task hold
 BLOCK_ROWS = 8192
 CHUNK_VALUES = 4_000_000  # numbers held at once while comparing a block
 
@@ -32,6 +37,68 @@ def _to_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+class MetricTree:
+    """Pivots in two levels, and what is known of the rows below each."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.tops = pivots[: math.isqrt(len(pivots) - 1) + 1]
+        home = _to_pivots(pivots, self.tops).argmin(axis=1)
+        self.children = [np.flatnonzero(home == t) for t in range(len(self.tops))]
+
+    def know(self, k: int, leaves: Iterable[tuple[int, float, float, float, Sequence[float]]]) -> None:
+        """Per leaf: radius about its pivot, least distance from it, radius about its top pivot, its k smallest distances."""
+        n = len(self.pivots)
+        self.k, self.radius, self.inner = k, np.full(n, -np.inf), np.full(n, np.inf)
+        self.top_radius, self.smallest = np.full(len(self.tops), -np.inf), np.full((n, k), np.inf)
+        top_of = np.zeros(n, int)
+        for t, own in enumerate(self.children):
+            top_of[own] = t
+        for leaf, radius, inner, top_radius, smallest in leaves:
+            self.radius[leaf], self.inner[leaf] = radius, inner
+            self.top_radius[top_of[leaf]] = max(self.top_radius[top_of[leaf]], top_radius)
+            self.smallest[leaf, : len(smallest)] = smallest
+
+    def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf of each vector, its distance from the leaf's pivot, and from the top pivot."""
+        far_top = _to_pivots(vectors, self.tops)
+        # a top pivot is its own child, so no branch is empty
+        home = far_top.argmin(axis=1)
+        leaf, far = np.zeros(len(vectors), int), np.zeros(len(vectors))
+        for t in np.unique(home):
+            rows, own = np.flatnonzero(home == t), self.children[t]
+            away = _to_pivots(vectors[rows], self.pivots[own])
+            leaf[rows], far[rows] = own[away.argmin(axis=1)], away.min(axis=1)
+        return leaf, far, far_top[np.arange(len(vectors)), home]
+
+    def visits(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) pairs that may hold one of the row's k nearest."""
+        n, slack = len(vectors), lambda b: b * (1 + 1e-9) + 1e-12
+        far_top = _to_pivots(vectors, self.tops)
+        reach = np.full((n, self.k), np.inf)  # k smallest upper bounds so far
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def look(t: int, rows: np.ndarray) -> None:
+            own = self.children[t]
+            away = _to_pivots(vectors[rows], self.pivots[own])
+            upper = (away[:, :, None] + self.smallest[None, own]).reshape(len(rows), -1)
+            reach[rows] = np.sort(np.concatenate([reach[rows], upper], axis=1), axis=1)[:, : self.k]
+            least = np.maximum(away - self.radius[None, own], self.inner[None, own] - away)
+            r, c = np.nonzero(np.isfinite(self.radius[own])[None, :] & (least <= slack(reach[rows, -1:])))
+            seen.append((rows[r], own[c], least[r, c]))
+
+        home = np.where(np.isfinite(self.top_radius)[None, :], far_top, np.inf).argmin(axis=1)
+        for t in np.unique(home):
+            look(t, np.flatnonzero(home == t))
+        for t in range(len(self.tops)):
+            rows = np.flatnonzero((home != t) & (far_top[:, t] - self.top_radius[t] <= slack(reach[:, -1])))
+            if len(rows) and np.isfinite(self.top_radius[t]):
+                look(t, rows)
+        rows, leaves, least = (np.concatenate(x) for x in zip(*seen))
+        need = least <= slack(reach[rows, -1])
+        return rows[need], leaves[need]
+
+
 def knn_regress(
     train: DataFrame,
     test: DataFrame,
@@ -39,7 +106,7 @@ def knn_regress(
     vector: str,
     label: str,
     k: int = 5,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``key`` and ``prediction``: mean label of the k nearest training rows, distance ties by key."""
@@ -49,58 +116,59 @@ def knn_regress(
     element = train.schema["v"].dataType.simpleString()
 
     # Pivots only steer the pruning; any choice gives the same result.
-    picked = train.orderBy(hash_unit("pivot", "id"), "id").limit(pivots).select("v").collect()
+    wanted = pivots or min(max(-(-train.count() // LEAF_ROWS), 64), MOST_LEAVES)
+    picked = train.orderBy(hash_unit("pivot", "id"), "id").limit(wanted).select("v").collect()
     if not picked:
         return test.select(F.col("id").alias(key), F.lit(None).cast("double").alias("prediction"))
-    centres = np.array([row["v"] for row in picked], dtype="float64")
+    tree = MetricTree(np.unique(np.array([row["v"] for row in picked], dtype="float64"), axis=0))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                far = _to_pivots(_matrix(batch["v"]), centres)
-                cell = far.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), far=far[np.arange(len(batch)), cell])
+                cell, far, far_top = tree.assign(_matrix(batch["v"]))
+                yield batch.assign(cell=cell.astype("int32"), far=far, far_top=far_top)
 
-    celled = train.mapInPandas(assign, f"id {kind}, v {element}, y double, cell int, far double")
-    # Per cell: size, radius and its k smallest pivot distances; one row per pivot reaches the driver.
+    celled = train.mapInPandas(assign, f"id {kind}, v {element}, y double, cell int, far double, far_top double")
+    # Per leaf: size, radii and its k smallest pivot distances; one row per leaf reaches the driver.
     nearest = Window.partitionBy("cell").orderBy("far", "id")
-    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    sizes = celled.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("far").alias("radius"), F.min("far").alias("inner"), F.max("far_top").alias("top_radius")
+    )
     close = (
         celled.select("cell", "far", F.row_number().over(nearest).alias("r")).filter(F.col("r") <= k)
         .groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("nearest"))
     )
     summary = sizes.join(close, "cell").collect()
-    radius = np.full(len(centres), -np.inf)
-    blocks = np.zeros(len(centres), dtype="int64")
-    smallest = np.full((len(centres), k), np.inf)
+    tree.know(k, [(r["cell"], r["radius"], r["inner"], r["top_radius"], r["nearest"]) for r in summary])
+    parts = np.ones(len(tree.pivots), dtype="int64")
     for row in summary:
-        radius[row["cell"]] = row["radius"]
-        blocks[row["cell"]] = -(-row["n"] // block_rows)
-        smallest[row["cell"], : len(row["nearest"])] = row["nearest"]
+        parts[row["cell"]] = -(-row["n"] // block_rows)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row per (test row, cell that may hold one of its neighbours)."""
+        """One row per (test row, leaf that may hold one of its neighbours)."""
         for batch in batches:
-            if not len(batch):
-                continue
-            far = _to_pivots(_matrix(batch["v"]), centres)
-            reach = (far[:, :, None] + smallest[None, :, :]).reshape(len(batch), -1)
-            bound = np.partition(reach, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
-            needed = (far - radius[None, :] <= bound[:, None]) & np.isfinite(radius)[None, :]
-            rows, cells = np.nonzero(needed)
-            yield pd.DataFrame(
-                {"id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows], "cell": cells.astype("int32")}
-            )
+            if len(batch):
+                rows, cells = tree.visits(_matrix(batch["v"]))
+                yield pd.DataFrame(
+                    {"id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows], "cell": cells.astype("int32")}
+                )
 
     visits = test.mapInPandas(visit, f"id {kind}, v {element}, cell int")
-    per_cell = F.create_map(*[x for c, b in enumerate(blocks) for x in (F.lit(c), F.lit(int(max(b, 1))))])
-    # Both sides of a cell are cut: training rows into `part`s, test rows into `batch`es.
-    batches = max(1, -(-test.count() // block_rows))
-    train_parts = celled.withColumn(
-        "part", F.floor(hash_unit("part", "id") * F.element_at(per_cell, F.col("cell"))).cast("int")
-    ).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    test_parts = visits.withColumn("batch", F.floor(hash_unit("batch", "id") * batches).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.element_at(per_cell, F.col("cell")) - 1))
+    # Test rows of a leaf are cut into `batch`es as their number asks; its training rows into `part`s. A leaf that no
+    # test row visits sends nothing.
+    batches = np.zeros(len(tree.pivots), dtype="int64")
+    for row in visits.groupBy("cell").count().collect():
+        batches[row["cell"]] = -(-row["count"] // block_rows)
+
+    def per_cell(counts: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell") + 1)
+
+    visited = celled.withColumn("_batches", per_cell(batches)).filter("_batches > 0")
+    train_parts = visited.withColumn("part", F.floor(hash_unit("part", "id") * per_cell(parts)).cast("int")).withColumn(
+        "batch", F.explode(F.sequence(F.lit(0), (F.col("_batches") - 1).cast("int")))
+    )
+    test_parts = visits.withColumn("batch", F.floor(hash_unit("batch", "id") * per_cell(batches)).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), (per_cell(parts) - 1).cast("int")))
     )
 
     def search(probes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
