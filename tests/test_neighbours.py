@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from staywise.operators import knn
+from staywise.operators import knn, lsh
+from tests.conftest import SMALL
 
 
 def clustered(n, rng, spread=0.05):
@@ -51,3 +52,57 @@ def test_small_and_repeated_pivots():
     tree, leaf = grown(np.zeros((9, 3)), 4, 2)
     assert len(tree.pivots) == 1 and leaf.tolist() == [0] * 9
     assert tree.visits(np.ones((2, 3)))[1].tolist() == [0, 0]
+
+
+def vectors(spark, x, labels=None, start=0):
+    rows = [(start + i, v.tolist(), float(0 if labels is None else labels[i])) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, v array<double>, y double").repartition(3)
+
+
+def test_lsh_meets_nine_in_ten_neighbours(spark):
+    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    train, test = df.filter("vec_id % 3 > 0"), df.filter("vec_id % 3 = 0")
+    found = lsh.lsh_regress(train, test, "vec_id", "embedding", "label", 5)
+    assert found.recall >= 0.9
+    a, b = (np.array([r["embedding"] for r in x.orderBy("vec_id").collect()], float) for x in (train, test))
+    gaps = ((b[:, None] - a[None]) ** 2).sum(axis=2)
+    if found.tables:
+        projections = lsh.Projections(64, found.tables, np.cov(a.T, bias=True))
+        nearest = [a[np.argsort(g)[:5]] for g in gaps]
+        assert lsh.recall(projections, found.probes, b, nearest) >= 0.85  # all rows, cells of another width
+    got = {r["vec_id"]: r["prediction"] for r in found.frame.collect()}
+    exact = {r["vec_id"]: r["prediction"] for r in knn.knn_regress(train, test, "vec_id", "embedding", "label", 5).collect()}
+    assert got.keys() == exact.keys()
+    assert np.mean([abs(got[i] - exact[i]) for i in got]) < 0.3
+
+
+def test_lsh_on_clusters_compares_few_rows(spark):
+    rng = np.random.default_rng(6)
+    both = clustered(1200, rng, 0.02)
+    train, test = both[:1000], both[1000:]
+    found = lsh.lsh_regress(vectors(spark, train, train[:, 0]), vectors(spark, test, start=5000), "id", "v", "y", 5)
+    assert found.recall >= 0.9 and (found.tables, found.probes) <= (8, 27)
+    projections = lsh.Projections(6, found.tables, np.cov(train.T, bias=True))
+    asked, held = projections.probes(test, found.probes), projections.buckets(train)
+    met = (asked[:, None] == held[None, :, :, None]).any(axis=(2, 3))
+    assert met.mean() < 0.5
+    got = {r["id"]: r["prediction"] for r in found.frame.collect()}
+    assert sorted(got) == list(range(5000, 5200))
+    want = [train[np.argsort(((train - t) ** 2).sum(axis=1))[:5], 0].mean() for t in test]
+    assert np.mean(np.abs(np.array([got[5000 + i] for i in range(200)]) - want)) < 0.02
+
+
+def test_lsh_few_rows(spark):
+    train, test = vectors(spark, np.eye(3), [1, 2, 6]), vectors(spark, np.eye(3), start=10)
+    assert {r["prediction"] for r in lsh.lsh_regress(train, test, "id", "v", "y", 5).frame.collect()} == {3.0}
+    assert lsh.lsh_regress(train, test.limit(0), "id", "v", "y").frame.count() == 0
+    assert [r["prediction"] for r in lsh.lsh_regress(train.limit(0), test, "id", "v", "y").frame.collect()] == [None] * 3
+
+
+def test_probes_start_at_home_and_are_different():
+    rng = np.random.default_rng(1)
+    projections = lsh.Projections(6, 4, np.eye(6))
+    x = rng.normal(0, 1, (50, 6))
+    asked = projections.probes(x, 27)
+    assert (asked[:, :, 0] == projections.buckets(x)).all()
+    assert all(len(set(keys.tolist())) == 27 for row in asked for keys in row)

@@ -3,7 +3,7 @@
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from staywise.operators import knn, models, split
+from staywise.operators import knn, lsh, models, split
 from workload.base import Tables, query, with_sales
 from workload.preparation import FEATURES, KEYS, unit_sql
 
@@ -141,3 +141,13 @@ def knn_regress(t):
     parted = split.split_by_hash(t.embeddings, "vec_id")
     train, test = parted.filter(F.col("part") == "train"), parted.filter(F.col("part") == "test")
     return knn.knn_regress(train, test, "vec_id", "embedding", "label", 5)
+
+
+@query()
+def knn_lsh(t):
+    """The same by hashed buckets: recall of the sample's exact neighbours, tables and probes beside each prediction."""
+    parted = split.split_by_hash(t.embeddings, "vec_id")
+    train, test = parted.filter(F.col("part") == "train"), parted.filter(F.col("part") == "test")
+    found = lsh.lsh_regress(train, test, "vec_id", "embedding", "label", 5)
+    extra = {"recall": F.lit(found.recall), "tables": F.lit(found.tables), "probes": F.lit(found.probes)}
+    return found.frame.withColumns(extra)
