@@ -1,9 +1,11 @@
 """Models, grids, selections and clustering over line items and embeddings."""
 
+import numpy as np
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from staywise.operators import knn, lsh, models, split
+from staywise.functions.codes import hash_unit
+from staywise.operators import clusters, knn, lsh, models, split
 from workload.base import Tables, query, with_sales
 from workload.preparation import FEATURES, KEYS, unit_sql
 
@@ -117,17 +119,47 @@ def pca_variance(t):
 
 @query()
 def select_kmeans_silhouette(t):
-    train, _ = sales_parts(t)
-    chosen = models.select_kmeans_silhouette(train, FEATURES, "l_quantity", 3)
-    rows = [(i + 1, name, None if score != score else float(score)) for i, (name, score) in enumerate(chosen)]
-    return t.spark.createDataFrame(rows, "step int, feature string, silhouette double")
+    """Columns grown by the best silhouette of a 2-means clustering, all candidates of a step in shared passes."""
+    train, _ = sales_parts(t, *KEYS)
+    chosen = clusters.select_by_silhouette(train, FEATURES, "l_quantity", 3, KEYS, rounds=8, anchors=200)
+    rows = [(i + 1, name, score, error) for i, (name, score, error) in enumerate(chosen)]
+    return t.spark.createDataFrame(rows, "step int, feature string, silhouette double, std_error double")
 
 
 @query()
 def silhouette(t):
-    train, _ = embedded(t)
-    score = models.silhouette(train, DIM_NAMES, 2)
-    return t.spark.createDataFrame([(2, float(score))], "clusters int, silhouette double")
+    """Euclidean silhouette of a 2-means clustering of the vectors."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return _two_means(rows)
+
+
+def _two_means(rows):
+    packed = rows.select(hash_unit("anchor", "vec_id").alias("u"), F.col("v").alias("x")).cache()
+    starts = np.array([r["x"] for r in packed.orderBy("u", "x").limit(2).collect()])
+    width = starts.shape[1]
+    (centres,) = clusters.lloyd(packed, [tuple(range(width))], starts)
+
+    def own(batch):
+        x = clusters._points(batch)
+        return [(clusters.nearest_centre(x, centres), x)]
+
+    (found,) = clusters.silhouettes(packed, own, 1, 2)
+    packed.unpersist()
+    return rows.sparkSession.createDataFrame([(2, found.n_rows, found.score, found.error)], "clusters int, n_rows long, silhouette double, std_error double")
+
+
+@query(
+    "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), "
+    "d AS (SELECT a.vec_id, a.label AS own, b.label AS other, avg(list_distance(a.e, b.e)) AS far FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), "
+    "s AS (SELECT vec_id, max(CASE WHEN own = other THEN far END) AS near, min(CASE WHEN own <> other THEN far END) AS away FROM d GROUP BY vec_id) "
+    "SELECT count(*) AS n_rows, round_even(avg(coalesce((away - near) / greatest(away, near), 0)), 6) AS silhouette FROM s"
+)
+def silhouette_by_label(t):
+    """Euclidean silhouette of the vectors grouped by their label."""
+    numbers = t.embeddings.agg(F.max("label")).first()[0] + 1
+    found = clusters.silhouette_of(t.embeddings, F.col("embedding"), F.col("label"), ["vec_id"], numbers, anchors=10_000)
+    out = t.spark.createDataFrame([(found.n_rows, found.score)], "n_rows long, silhouette double")
+    return out.withColumn("silhouette", F.bround("silhouette", 6))
 
 
 @query(
