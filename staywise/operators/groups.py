@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 @dataclass(frozen=True)
@@ -169,17 +164,69 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-@F.pandas_udf(DoubleType())
-def similarity(token: pd.Series, word: pd.Series) -> pd.Series:
-    """``difflib`` ratio of a token against a keyword (the keyword is the second sequence)."""
-    matchers: dict[str, difflib.SequenceMatcher] = {}
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def ratio(text: str, keyword: str) -> float:
-        matcher = matchers.setdefault(keyword, difflib.SequenceMatcher(b=keyword))
-        matcher.set_seq1(text)
-        return matcher.ratio()
 
-    return pd.Series([ratio(t, w) for t, w in zip(token, word)], dtype="float64")
+def matched_length(a: Column, b: Column) -> Column:
+    """Characters in the matching blocks of two strings, as an expression: the longest common run (the first in ``a``,
+    then in ``b``), then the same left and right of it."""
+    span = "struct<al:int,ah:int,bl:int,bh:int>"
+
+    def longest(x: Column, y: Column) -> Column:
+        """Length and negated start of the longest run of ``x`` that occurs in ``y``."""
+        sizes = lambda i: F.size(F.filter(F.sequence(F.lit(1), F.length(x) - i + 1), lambda n: _locate(x.substr(i, n), y) > 0))
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.struct(sizes(i).alias("n"), (-i).alias("i"))))
+
+    def step(state: Column, _: Column) -> Column:
+        def split(top: Column) -> Column:
+            x = a.substr(top["al"] + 1, top["ah"] - top["al"])
+            y = b.substr(top["bl"] + 1, top["bh"] - top["bl"])
+
+            def apart(best: Column) -> Column:
+                n, i = best["n"], -best["i"] - 1
+                j = _locate(x.substr(i + 1, n), y) - 1
+                halves = F.array(
+                    _span(top["al"], top["al"] + i, top["bl"], top["bl"] + j), _span(top["al"] + i + n, top["ah"], top["bl"] + j + n, top["bh"])
+                )
+                open_ = F.filter(halves, lambda h: (h["al"] < h["ah"]) & (h["bl"] < h["bh"]))
+                rest = F.slice(state["todo"], F.lit(1), F.size(state["todo"]) - 1)
+                return F.struct(F.when(n > 0, F.concat(rest, open_)).otherwise(rest).alias("todo"), (state["m"] + n).alias("m"))
+
+            return _bind(longest(x, y), apart)
+
+        return F.when(F.size(state["todo"]) == 0, state).otherwise(_bind(F.element_at(state["todo"], -1), split))
+
+    whole = F.filter(F.array(_span(F.lit(0), F.length(a), F.lit(0), F.length(b))), lambda h: (h["ah"] > 0) & (h["bh"] > 0))
+    start = F.struct(whole.cast(f"array<{span}>").alias("todo"), F.lit(0).alias("m"))
+    steps = F.sequence(F.lit(1), 2 * F.least(F.length(a), F.length(b)) + 1)
+    return F.aggregate(steps, start, step, lambda s: s["m"])
+
+
+def _span(al: Column, ah: Column, bl: Column, bh: Column) -> Column:
+    return F.struct(al.cast("int").alias("al"), ah.cast("int").alias("ah"), bl.cast("int").alias("bl"), bh.cast("int").alias("bh"))
+
+
+def _locate(part: Column, text: Column) -> Column:
+    return F.call_function("locate", part, text)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Twice the matched characters over all characters (``difflib``'s ratio for keywords below 200 characters)."""
+    n = F.length(a) + F.length(b)
+    return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * matched_length(a, b) / n)
+
+
+def _grams(text: Column) -> Column:
+    """Characters with their number of occurrence so far: equal for what two strings share, repeats included."""
+    chars = F.split(text, "")
+    nth = lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))
+    return F.transform(chars, lambda c, i: F.concat(c, nth(c, i).cast("string")))
+
+
+def _word_grams(word: str) -> list[str]:
+    return [f"{c}{word[: i + 1].count(c)}" for i, c in enumerate(word)]
 
 
 def fuzzy_tokens(
@@ -187,22 +234,32 @@ def fuzzy_tokens(
 ) -> DataFrame:
     """Distinct tokens close to any keyword.
 
-    Each distinct token meets each keyword of the fixed list once. ``ratio`` is
-    the ``difflib`` similarity; ``edits`` stays in the JVM: edit distance
-    <= (1 - cutoff) x longer length.
+    An inverted index of the fixed list's characters gives the pairs that share enough of them; only those are compared.
+    ``ratio`` is the similarity by matching blocks; ``edits`` is edit distance <= (1 - cutoff) x longer length. Both
+    are expressions.
     """
     vocabulary = df.select(F.explode(tokens(text)).alias("token")).distinct()
-    met = vocabulary.select("token", F.explode(F.array(*[F.lit(w) for w in keywords])).alias("word"))
-    a, b = F.length("token"), F.length("word")
-    edits = F.levenshtein(F.col("token"), F.col("word"))
-    if method == "ratio":
-        # A ratio r needs 2 min(a, b) >= r (a + b) and matches M >= r (a + b) / 2, hence at most
-        # a + b - 2 M <= (1 - r)(a + b) edits: exact sieves in the JVM, so few pairs reach Python.
-        met = met.filter(2 * F.least(a, b) >= F.lit(cutoff - 1e-9) * (a + b))
-        met = met.filter(edits <= F.lit(1 - cutoff + 1e-9) * (a + b))
-        close = met.filter(similarity("token", "word") >= cutoff)
-    else:
-        close = met.filter(edits <= F.bround((1 - cutoff) * F.greatest(a, b), 6))
+    if method != "ratio":
+        met = vocabulary.select("token", F.explode(F.array(*[F.lit(w) for w in keywords])).alias("word"))
+        a, b = F.length("token"), F.length("word")
+        close = met.filter(F.levenshtein(F.col("token"), F.col("word")) <= F.bround((1 - cutoff) * F.greatest(a, b), 6))
+        return close.select("token").distinct()
+    # A ratio r needs matches M >= r (a + b) / 2: as many shared characters, and at most a + b - 2 M <= (1 - r)(a + b)
+    # edits. Both sieves are exact, so few pairs reach the ratio.
+    index = [(g, w, len(w)) for w in dict.fromkeys(keywords) for g in _word_grams(w)]
+    words = df.sparkSession.createDataFrame(index, "gram string, word string, b int")
+    least, most = min(map(len, keywords)) * cutoff / (2 - cutoff), max(map(len, keywords)) * (2 - cutoff) / cutoff
+    sized = vocabulary.filter(F.length("token").between(least - 1e-9, most + 1e-9))
+    shared = (
+        sized.select("token", F.length("token").alias("a"), F.explode(_grams(F.col("token"))).alias("gram"))
+        .join(F.broadcast(words), "gram")
+        .groupBy("token", "word", "a", "b")
+        .agg(F.count("*").alias("shared"))
+    )
+    size = F.col("a") + F.col("b")
+    met = shared.filter(2 * F.col("shared") >= F.lit(cutoff - 1e-9) * size)
+    met = met.filter(F.levenshtein(F.col("token"), F.col("word")) <= F.lit(1 - cutoff + 1e-9) * size)
+    close = met.filter(similarity(F.col("token"), F.col("word")) >= cutoff)
     return close.select("token").distinct()
 
 
@@ -215,7 +272,3 @@ def fuzzy_rows(
         hits, "token", "left_semi"
     )
     return df.join(keys.select(key).distinct(), key, "left_semi")
-
-
-# the functions go to the workers by value: executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
