@@ -94,6 +94,16 @@ def boxcox(t):
     return test.select(*KEYS, "lam", F.bround(scaling.boxcox("l_quantity", F.col("lam")), 6).alias("quantity_bc"))
 
 
+REFINED = ("l_quantity", "p_size", "l_extendedprice", "p_retailprice")
+
+
+@query()
+def boxcox_refined(t):
+    """The most likely Box-Cox exponent of several columns at once, to three decimals (M5)."""
+    found = scaling.fit_boxcox(train_rows(t), REFINED)
+    return t.spark.createDataFrame([(c, round(v, 3)) for c, v in found.items()], "feature string, lam double")
+
+
 CHI2_FEATURES = ("l_quantity", "l_discount", "l_tax")
 
 
