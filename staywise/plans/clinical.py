@@ -48,13 +48,15 @@ def clinical_flags(
     end: str = "stay_out",
     fill: bool = True,
     hot: HotKeys = NO_HOT_KEYS,
+    lab_hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``surg``, ``abnormal_lab`` and the procedure columns; no match gives 0 when ``fill``."""
     with_service = event_in_span(
         stays, services, service_by, start, end, service_time, service_tie, name="surg", hot=hot
     )
     with_lab = asof_latest(
-        with_service, labs, lab_by, end, lab_time, {"abnormal_lab": F.col(abnormal)}, tie=lab_tie, hot=hot
+        with_service, labs, lab_by, end, lab_time, {"abnormal_lab": F.col(abnormal)}, tie=lab_tie,
+        hot=hot if lab_hot is None else lab_hot,
     )
     out = with_lab.join(procedures, list(procedure_keys), "left")
     added = ["surg", "abnormal_lab", *[c for c in procedures.columns if c not in procedure_keys]]

@@ -91,6 +91,8 @@ def episode_dataset(
         described, surgery, labs, operations,
         service_by=keys, lab_by=keys, service_time="transfertime", service_tie="curr_service",
         lab_time="charttime", lab_tie="lab_tie", abnormal="abnormal", procedure_keys=keys, hot=hot,
+        # lab events are another table: an entity may hold many of them and few transfers
+        lab_hot=find_hot_keys(labs, "entity_id", "charttime"),
     )
     if codes:
         coded = _keyed(tables["drgcodes"]).select(

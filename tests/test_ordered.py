@@ -51,6 +51,40 @@ def test_segments_hold_equal_rows_however_dense_the_times(spark):
     assert len(sizes) >= 10 and max(sizes) <= 120
 
 
+@pytest.mark.parametrize("ties", [["id"], ["u", "id"]])
+def test_rows_of_one_instant_are_cut_by_their_ties(spark, ties):
+    rng = random.Random(8)
+    one = [(i, 7, START, rng.choice([None, 1]), rng.choice(["a", "é", None])) for i in range(500)]
+    more = [(1000 + i, 7, START + dt.timedelta(minutes=rng.randrange(-50, 50)), 2, "b") for i in range(200)]
+    two = [(2000 + i, 8, START + dt.timedelta(days=i % 2), 1, None) for i in range(300)]
+    df = spark.createDataFrame([*one, *more, *two, (5000, 9, START, 1, "x"), (5001, None, START, 1, "x"), (5002, 7, None, 1, "x")], "id long, k long, at timestamp_ntz, x int, u string").repartition(4)
+    hot = find_hot_keys(df, "k", "at", rows=60)
+    assert {(k, n) for k, _, n, _ in hot.instants} == {(7, 500 + sum(r[2] == START for r in more)), (8, 150)}
+    sizes = [r["count"] for r in _segmented(df, "at", hot, ties).filter("_segment is not null").groupBy("k", "_segment").count().collect()]
+    assert max(sizes) <= 120
+
+    def added(by):
+        return ordered(
+            df, ["k"], "at", ties, previous={"p": F.col("id")}, following={"f": F.col("id")}, running={"r": F.lit(1)},
+            latest={"l": F.col("u")}, totals={"t": F.lit(1)}, hot=by,
+        )
+
+    assert rows(added(hot)) == rows(added(NO_HOT_KEYS))
+
+
+def test_many_hot_keys_are_joined(spark):
+    df = skewed(spark)
+    hot = find_hot_keys(df, "k", "at", rows=10, few=3)
+    assert hot and not hot.entries and hot.table.count() > 3
+    assert rows(all_columns(df, hot)) == rows(all_columns(df, NO_HOT_KEYS))
+
+
+def test_small_tables_are_only_counted(spark, monkeypatch):
+    df = skewed(spark)
+    monkeypatch.setattr(type(df), "groupBy", None)
+    assert find_hot_keys(df, "k", "at", rows=600) is NO_HOT_KEYS
+
+
 def test_hot_keys_are_few_by_share(spark):
     df = skewed(spark)
     hot = find_hot_keys(df, "k", "at", rows=1, share=5)
