@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staywise.functions import tails
-from staywise.operators import knn, resample, scaling, scores, split, stats
+from staywise.operators import knn, quantiles, resample, scaling, scores, split, stats
 from staywise.operators.quantiles import exact_quantiles
 from staywise.operators.ranks import running_totals
 
@@ -25,6 +25,34 @@ def sample(kind, n, rng):
     return [rng.gauss(0, 1) for _ in range(n)]
 
 
+@pytest.mark.parametrize("kind", ["ties", "heavy", "normal"])
+@pytest.mark.parametrize("by", [["g"], []])
+def test_wide_brackets_are_narrowed(spark, monkeypatch, kind, by):
+    rng = random.Random(4)
+    data = [("big", v) for v in sample(kind, 4000, rng)] + [("small", v) for v in sample(kind, 50, rng)] + [(None, 1.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    rounds = []
+    once = quantiles.reliable_checkpoint
+    monkeypatch.setattr(quantiles, "reliable_checkpoint", lambda d: rounds.append(1) or once(d))
+    # a sketch of this accuracy leaves a tenth of the rows inside a bracket
+    found = exact_quantiles(df, "v", PROBS, NAMES, by, 40, bracket_rows=20)
+    frame = pd.DataFrame(data, columns=["g", "v"])
+    for r in found.collect():
+        values = frame if not by else frame[frame.g.isna()] if r["g"] is None else frame[frame.g == r["g"]]
+        assert [r[n] for n in NAMES] == pytest.approx(list(np.quantile(values.v, PROBS)), rel=1e-12)
+    assert 1 <= len(rounds) <= 6
+
+
+def test_brackets_that_miss_move(spark):
+    values = [float(i) for i in range(1000)]
+    data = spark.createDataFrame([(0, v) for v in values], "_g0 int, _v double")
+    wrong = spark.createDataFrame([(0, 900.0, -5.0, 950.0, -1.0)], "_g0 int, _lo0 double, _lo1 double, _hi0 double, _hi1 double")
+    row = quantiles._narrowed(data, ["_g0"], wrong, [0.1, 0.9], 30, 10).first()
+    for i, rank in ((0, 99.9), (1, 899.1)):
+        assert row[f"_lo{i}"] <= math.floor(rank) and row[f"_hi{i}"] >= math.ceil(rank)
+        assert row[f"_hi{i}"] - row[f"_lo{i}"] <= 40
+
+
 @pytest.mark.parametrize("kind", ["ties", "heavy", "normal"])
 @pytest.mark.parametrize("accuracy,groups", [(100_000, 10_000), (40, 10_000), (40, 1)])
 def test_quantiles_are_exact(spark, kind, accuracy, groups):
