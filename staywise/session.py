@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one the session names in ``spark.checkpoint.dir``; a local one where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_folder()
+    return f"{top}/work-{uuid4().hex}"
+
+
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="run-")
