@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.aggregates import correlation
@@ -78,6 +78,21 @@ def top_features(scores: DataFrame, k: int) -> list[str]:
     return [row["feature"] for row in best.collect()]
 
 
+def selection(scores: DataFrame, k: int) -> DataFrame:
+    """Scores with their rank and whether the feature is among the ``k`` best; NULL scores rank last and are never kept.
+
+    One row per feature, so one task orders them.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc_nulls_last(), "feature")
+    ranked = scores.withColumn("rank", F.row_number().over(order))
+    return ranked.withColumn("kept", ((F.col("rank") <= k) & F.col("score").isNotNull()).cast("int"))
+
+
+def reduced(df: DataFrame, features: Sequence[str], chosen: Sequence[str]) -> DataFrame:
+    """``df`` without the features that were not chosen; all other columns stay, the chosen ones in the given order."""
+    return df.select(*[c for c in df.columns if c not in features or c in chosen])
+
+
 def score_variance(df: DataFrame, features: Sequence[str], threshold: float, places: int = 6) -> DataFrame:
     """Population variance per feature and whether it exceeds the threshold."""
     wide = df.agg(*[F.var_pop(c).alias(f"v_{c}") for c in features])

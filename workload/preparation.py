@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from staywise.operators import resample, scaling, scores, split
-from workload.base import Tables, query, with_sales
+from workload.base import ORACLES, Tables, query, with_sales
 
 FEATURES = ("l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice")
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -122,6 +122,17 @@ def score_chi2(t):
     return scores.score_chi2(t.lineitem, CHI2_FEATURES, "l_returnflag", places=5)
 
 
+@query(
+    f"SELECT feature, score, round_even(exp(-score / 2), 9) AS p_value, CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= 2 THEN 1 ELSE 0 END AS kept FROM "
+    f"(SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature) AS rank FROM ({ORACLES['score_chi2']}) s) r"
+)
+def score_chi2_table(t):
+    """Scores with p-values (two degrees of freedom: three classes), rank and the two best (M6)."""
+    scored = scores.score_chi2(t.lineitem, CHI2_FEATURES, "l_returnflag", places=5)
+    table = scores.with_chi2_p_values(scores.selection(scored, 2), t.lineitem, "l_returnflag")
+    return table.select("feature", "score", F.bround("p_value", 9).alias("p_value"), "rank", "kept")
+
+
 @query(
     with_sales(
         " UNION ALL ".join(
@@ -134,6 +145,39 @@ def score_f_regression(t):
     return scores.score_f_regression(t.sales, FEATURES, "l_extendedprice", places=5)
 
 
+F_TOP = 3
+F_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS feature, power(corr({c}, l_extendedprice), 2) / (1 - power(corr({c}, l_extendedprice), 2)) * (count(*) - 2) AS score FROM train"
+    for i, c in enumerate(FEATURES)
+)
+
+
+@query(
+    with_sales(
+        f"SELECT {KEYS_SQL}, chosen, list_transform(list_filter([{', '.join(f'{{place: {i}, v: CAST({c} AS DOUBLE)}}' for i, c in enumerate(FEATURES))}], "
+        "lambda s: list_contains(places, s.place)), lambda s: s.v) AS chosen_values FROM parted, "
+        "(SELECT string_agg(feature, ',' ORDER BY place) AS chosen, list(place) AS places FROM best) b WHERE part = 'test'",
+        PARTED_SQL,
+        f"best AS (SELECT place, feature FROM ({F_SQL}) q ORDER BY round_even(score, 6) DESC, feature LIMIT {F_TOP})",
+    )
+)
+def select_f_top_k(t):
+    """Test rows reduced to the features that score best on the training rows (M7)."""
+    train = train_rows(t)
+    best = scores.top_features(scores.score_f_regression(train, FEATURES, "l_extendedprice"), F_TOP)
+    kept = [c for c in FEATURES if c in best]
+    test = scores.reduced(parted(t).filter(F.col("part") == "test").select(*KEYS, *FEATURES), FEATURES, kept)
+    return test.select(*KEYS, F.lit(",".join(kept)).alias("chosen"), F.array(*[F.col(c).cast("double") for c in kept]).alias("chosen_values"))
+
+
+@query()
+def score_f_table(t):
+    """F scores with p-values, rank and the three best (M7)."""
+    train = train_rows(t)
+    table = scores.with_f_p_values(scores.selection(scores.score_f_regression(train, FEATURES, "l_extendedprice"), F_TOP), train)
+    return table.withColumn("p_value", F.bround("p_value", 6))
+
+
 @query(
     with_sales(
         " UNION ALL ".join(
