@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.aggregates import correlation
-from staywise.functions.tails import chi2_tail, f_tail
+from staywise.functions.tails import chi2_tail, chi2_tail_even, f_tail
 from staywise.operators.stats import long_form
 
 
@@ -68,8 +68,10 @@ def with_f_p_values(scores: DataFrame, rows: DataFrame) -> DataFrame:
 
 def with_chi2_p_values(scores: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     """Add the p-value of each chi-squared score; one degree of freedom less than there are classes."""
-    classes = rows.agg(F.count_distinct(label).cast("double").alias("n")).scalar()
-    return scores.withColumn("_d", classes - 1).withColumn("p_value", chi2_tail("score", "_d")).drop("_d")
+    freedom = rows.agg(F.count_distinct(label)).first()[0] - 1
+    if freedom >= 2 and freedom % 2 == 0:
+        return scores.withColumn("p_value", chi2_tail_even(F.col("score"), freedom))
+    return scores.withColumn("_d", F.lit(float(freedom))).withColumn("p_value", chi2_tail("score", "_d")).drop("_d")
 
 
 def top_features(scores: DataFrame, k: int) -> list[str]:
@@ -81,11 +83,12 @@ def top_features(scores: DataFrame, k: int) -> list[str]:
 def selection(scores: DataFrame, k: int) -> DataFrame:
     """Scores with their rank and whether the feature is among the ``k`` best; NULL scores rank last and are never kept.
 
-    One row per feature, so one task orders them.
+    There is one row per feature, so all of them fit an array.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc_nulls_last(), "feature")
-    ranked = scores.withColumn("rank", F.row_number().over(order))
-    return ranked.withColumn("kept", ((F.col("rank") <= k) & F.col("score").isNotNull()).cast("int"))
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("down"), F.col("feature").alias("feature"), F.struct("*").alias("row"))
+    ranked = scores.agg(F.array_sort(F.collect_list(place)).alias("all")).select(F.posexplode("all").alias("at", "p"))
+    rank = F.col("at") + 1
+    return ranked.select("p.row.*", rank.alias("rank"), ((rank <= k) & ~F.col("p.none")).cast("int").alias("kept"))
 
 
 def reduced(df: DataFrame, features: Sequence[str], chosen: Sequence[str]) -> DataFrame:

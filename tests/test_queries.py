@@ -14,7 +14,7 @@ MODELS = [n for n in QUERIES if n not in ORACLES]
 ONE_TASK_WINDOW = re.compile(r"windowspecdefinition\((?:\S+ (?:ASC|DESC)|specifiedwindowframe)")
 # these order bracketed values, or at most one slice of distinct values, in one task
 BOUNDED_ORDER = {
-    "basic_stats", "regression_metrics", "corr_spearman", "transfers_vs_readm", "transfers_vs_readm_daynight",
+    "basic_stats", "regression_metrics", "grid_linear", "corr_spearman", "transfers_vs_readm", "transfers_vs_readm_daynight",
     "roc_points", "roc_auc",
 }
 
@@ -45,12 +45,12 @@ def test_plan_has_no_product(spark, name):
         assert not ONE_TASK_WINDOW.search(plan)
 
 
-@pytest.mark.parametrize("name", ["fit_linear_svc", "model_scoreboard", "grid_scores", "pca_variance", "silhouette", "split_model", "fuzzy_group_ratio"])
+@pytest.mark.parametrize("name", ["fit_linear_svc", "model_scoreboard", "forest_scores", "boost_scores", "svr_scores", "pca_variance", "silhouette", "split_model", "fuzzy_group_ratio"])
 def test_model_queries_give_rows(spark, name):
     assert name in MODELS
     first = QUERIES[name](spark, SMALL).collect()
     assert first
-    if name in ("grid_scores", "pca_variance"):
+    if name in ("forest_scores", "svr_scores", "pca_variance"):
         assert sorted(map(str, QUERIES[name](spark, SMALL).collect())) == sorted(map(str, first))
 
 

@@ -1,5 +1,9 @@
 """Ranked scores and reduced columns."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from staywise.functions import tails
 from staywise.operators import scores
 
 
@@ -14,3 +18,14 @@ def test_unknown_scores_rank_last_and_are_not_kept(spark):
 def test_reduced_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "id int, a int, b int, y int")
     assert scores.reduced(df, ["a", "b"], ["b"]).columns == ["id", "b", "y"]
+
+
+def test_even_tail_equals_the_general_one(spark):
+    df = spark.createDataFrame([(0.0,), (0.3,), (2.5,), (40.0,), (300.0,), (None,)], "x double")
+    for freedom in (2, 4, 10, 60):
+        got = df.select(tails.chi2_tail_even(F.col("x"), freedom).alias("a"), tails.chi2_tail("x", F.lit(float(freedom))).alias("b")).collect()
+        for r in got[:-1]:
+            assert r["a"] == pytest.approx(r["b"], rel=1e-9, abs=1e-300)
+        assert got[-1]["a"] is None
+    with pytest.raises(ValueError):
+        tails.chi2_tail_even(F.lit(1.0), 3)
