@@ -19,7 +19,7 @@ prefix. In the shuffle the ``CODES`` words that are most frequent in a sample of
 three or four bytes, and windows that begin with one are dealt by their first two words; those that begin with any
 other word, which is rare, by that word. The sample decides sizes only, never a count. The joins of phrases with the
 counts of their parts are sort-merge joins, which adaptive execution splits where a part is hot. The best phrases of
-a language are found in salted groups first.
+a language are found in salted groups first, in rounds of ever fewer groups.
 
 Results: the ``top`` phrases of each language by score, count and bytes of the phrase. score is the least over the
 cuts into two parts of ``scale * a * a / (l * r)``, floored, in decimals of 38 digits (exact while the counts stay
@@ -30,6 +30,7 @@ ignored; an empty table gives no rows. Long texts are cut into slices for the to
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -271,9 +272,11 @@ def collocations(
     kept = judged.filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside)).select("lang", "phrase", "a", "worst.l", "worst.r", "worst.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
-    best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    best, salt = kept.withColumn("rank", F.lit(0)), F.pmod(F.xxhash64("phrase"), F.lit(parts))
+    # each round leaves the best of fewer, larger groups, so the last task of a language reads at most sqrt(parts) * top rows
+    for group in (salt, F.pmod(salt, F.lit(math.isqrt(parts))), F.lit(0)):
+        ranks = Window.partitionBy("lang", "salt").orderBy(*order)
+        best = best.withColumn("salt", group).withColumn("rank", F.row_number().over(ranks).cast("long")).filter(F.col("rank") <= top)
     totals = counts.filter("k = 0").select(F.col("lang").alias("_lang"), F.col("f").alias("n"))
     return best.join(totals, F.col("lang") == F.col("_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
