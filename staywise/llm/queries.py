@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm.bpe import decode, encode
+from staywise.llm.bpe import encode
 from staywise.llm.centroids import cluster_vectors
 from staywise.llm.common import same, text_of
 from staywise.llm.decontaminate import contaminated
@@ -68,8 +68,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
     """Encode and decode the texts; digests of both beside the other columns."""
-    path = public_tokenizers.path(TOKENIZER)
-    coded = decode(encode(documents, path, public_tokenizers.PATTERN), path)
+    coded = encode(documents, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, decoded="decoded")
     return coded.select(
         *[c for c in documents.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")],
         F.size("ids").cast("long").alias("n_tokens"),

@@ -97,6 +97,29 @@ def test_bpe(docs):
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
 
 
+def test_bpe_of_long_words_and_long_texts():
+    """Words above the bound of the shared index, and texts whose words are not listed, agree with tiktoken."""
+    path, whole = tokenizer()
+    draw = random.Random(5)
+    pieces = ["a", "b", "ab", "the", " ", "  ", "\n", "1", "é", "中文", "ss", "aa", "!", ".."]
+    texts = ["".join(draw.choice(pieces) for _ in range(n)) for n in (0, 1, 63, 64, 65, 66, 3000, 400_000)]
+    texts += ["a" * n for n in (63, 64, 65, 66, 5000)] + ["ab" * 20_000, "中" * 2000, ""]
+    ids, at = Encoder(path, public_tokenizers.PATTERN).encode(texts)
+    for text, start, stop in zip(texts, at, at[1:]):
+        assert ids[start:stop].tolist() == whole.encode_ordinary(text)
+
+
+def test_bpe_round_trip_in_one_worker(spark):
+    path, _ = tokenizer()
+    rows = [(1, "Hello  world, 123", b"x"), (2, None, None), (3, "", b""), (3, "", b"")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded binary")
+    both = encode(df, path, public_tokenizers.PATTERN, decoded="decoded")
+    apart = decode(encode(df, path, public_tokenizers.PATTERN), path)
+    assert both.columns == apart.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert both.filter("false").count() == 0
+
+
 def test_bpe_on_random_words():
     path, own = tokenizer()
     draw, encoder = random.Random(5), Encoder(path, public_tokenizers.PATTERN)
