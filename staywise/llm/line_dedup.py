@@ -17,7 +17,9 @@ join. The texts of what is left are fetched and verified: one bit per diagonal o
 the band, one word per number of edits, moved along the line by an aggregate.
 
 Scale: equal lines are combined on the map side, so a line that a third of all
-texts share costs one row per task. Segment and probe rows hold two longs and an
+texts share costs one row per task. Two bit sets of fixed size, one of the segments'
+keys and one of the keys that can meet, keep out of the shuffle and the join what has
+no partner; a fuller set lets more rows through, never fewer. Segment and probe rows hold two longs and an
 int, never text; hashes and counts are computed once, into a shared table. Lines
 are fetched, and occurrences joined, behind a bit set of fixed size. Texts that
 lose no line are not shuffled.
@@ -39,6 +41,8 @@ MIN_CHARS = 10
 LETTERS = "eainrtoshdlucmpg"
 SPACE = " \t\r\x0b\x0c"
 WIDE = 4  # bytes of a character in UTF-32
+KEY_BITS = 1 << 27  # of a set of segment keys: 16 MB, whatever the input
+WORDS_A_ROW = 4  # 64-bit words in a row of such a set
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,6 +52,36 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("k", "d", "at", F.btrim("raw", F.lit(SPACE)).alias("line")).filter("line != ''")
 
 
+def _names(kind: str) -> list[str]:
+    return [f"{kind}{j}" for j in range(WORDS_A_ROW)]
+
+
+def _slot(key: Column) -> tuple[Column, Column, Column]:
+    """Row, word in the row and bit of a key, which is a hash already."""
+    return F.shiftright(key, 8).bitwiseAND(KEY_BITS // 256 - 1), F.shiftright(key, 6).bitwiseAND(WORDS_A_ROW - 1), key.bitwiseAND(63)
+
+
+def _key_bits(rows: DataFrame) -> DataFrame:
+    """(w, any0.., more0..): bit sets of the slots that some key, and that several keys, fall into; at most KEY_BITS / 256 rows."""
+    slots = rows.groupBy(F.col("key").bitwiseAND(KEY_BITS - 1).alias("key")).agg(F.count("*").alias("n"))
+    w, word, bit = _slot(F.col("key"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    none = F.lit(0).cast("long")
+    sets = [F.bit_or(F.when(word == j, one).otherwise(none)).alias(f"any{j}") for j in range(WORDS_A_ROW)]
+    sets += [F.bit_or(F.when((word == j) & (F.col("n") > 1), one).otherwise(none)).alias(f"more{j}") for j in range(WORDS_A_ROW)]
+    return slots.groupBy(w.alias("w")).agg(*sets)
+
+
+def _with_bit(rows: DataFrame, bits: DataFrame, kind: str) -> DataFrame:
+    """The rows whose key is in a set; its broadcast has a fixed bound, and a fuller set only lets more rows through."""
+    w, word, bit = _slot(F.col("key"))
+    held = F.col(f"{kind}0")
+    for j in range(1, WORDS_A_ROW):
+        held = F.when(word == j, F.col(f"{kind}{j}")).otherwise(held)
+    found = rows.join(F.broadcast(bits.select("w", *_names(kind))), w == F.col("w"))
+    return found.filter(F.call_function("shiftright", held, bit.cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def _digest(line: str = "line") -> list[Column]:
     """128 bits that tell lines apart; the first half alone is the handle of a line among candidates."""
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
@@ -148,11 +182,17 @@ def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
     rows = wide.select(*_digest(), *[column.alias(name) for name, column in facts.items()])
     told = stored(rows.groupBy("h1", "h2").agg(*[F.first(name).alias(name) for name in facts]).withColumnRenamed("h1", "id"))
     segments, probes = (F.array(*[name for name in facts if name[0] == kind]) for kind in "sp")
-    left = told.select("id", "c", F.explode(segments).alias("key"))
-    alike = left.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("key").alias("key2"))
-    shifted = told.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.explode(probes).alias("key2"))
-    meet = (F.col("key") == F.col("key2")) & _can_match(F.col("c"), F.col("c2"), most)
-    met = left.join(alike, meet & (F.col("id") < F.col("id2"))).unionByName(left.join(shifted, meet & (F.col("id") != F.col("id2"))))
+    left, shifted = (told.select("id", "c", F.explode(keys).alias("key")) for keys in (segments, probes))
+    # a probe needs a segment with its key; a segment a probe, or another segment, with its own
+    held = checkpoint(_key_bits(left))
+    shifted = stored(_with_bit(shifted, held, "any"))
+    wanted = held.select("w", *[F.col(f"more{j}").alias(f"any{j}") for j in range(WORDS_A_ROW)]).unionByName(_key_bits(shifted).select("w", *_names("any")))
+    wanted = checkpoint(wanted.groupBy("w").agg(*[F.bit_or(name).alias(name) for name in _names("any")]))
+    left = stored(_with_bit(left, wanted, "any"))
+    others = left.withColumn("own", F.lit(True)).unionByName(shifted.withColumn("own", F.lit(False)))
+    others = others.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("key").alias("key2"), "own")
+    once = F.when(F.col("own"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
+    met = left.join(others, (F.col("key") == F.col("key2")) & once & _can_match(F.col("c"), F.col("c2"), most))
     candidates = checkpoint(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
 
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id"))
@@ -197,7 +237,9 @@ def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text", most: int
     whole = marked.filter("not _maybe").select("row", "t", F.lit(None).cast("array<int>").alias("gone"))
     facts = gone.select(F.col("k").alias("_k"), F.col("d").alias("_d"), "gone")
     hit = marked.filter("_maybe").join(facts, same([F.col("k"), F.col("d")], [F.col("_k"), F.col("_d")]), "left")
-    parts = F.split("t", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    cut = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    # a one-element array binds the lines, so that a text is split once
+    bound = F.array(F.struct(F.split("t", "\n").alias("lines"), F.col("gone")))
+    kept = F.transform(bound, lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]))
+    bound = F.transform(F.arrays_zip(bound.alias("b"), kept.alias("kept")), lambda z: F.array_join(F.transform(z["kept"], lambda i: F.get(z["b"]["lines"], i)), "\n"))
+    cut = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.get(bound, F.lit(0)))
     return whole.unionByName(hit.select("row", cut.alias("t"), "gone"))
