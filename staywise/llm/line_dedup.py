@@ -13,16 +13,17 @@ with its segments and with the other substrings of itself that can match a segme
 of a line of its own length or up to ``most`` shorter. A probe meets a segment by
 an equi-join on the hash; both rows carry counts of sixteen common letters (mod
 16), and a pair whose counts cannot come from ``most`` edits is dropped inside the
-join. The texts of what is left are fetched and verified: one bit per diagonal of
-the band, one word per number of edits, moved along the line by an aggregate.
+join. The texts of the pairs left are verified: one bit per diagonal of the band,
+one word per number of edits, moved along the line by an aggregate.
 
 Scale: equal lines are combined on the map side, so a line that a third of all
-texts share costs one row per task. Two bit sets of fixed size, one of the segments'
-keys and one of the keys that can meet, keep out of the shuffle and the join what has
-no partner; a fuller set lets more rows through, never fewer. Segment and probe rows hold two longs and an
-int, never text; hashes and counts are computed once, into a shared table. Lines
-are fetched, and occurrences joined, behind a bit set of fixed size. Texts that
-lose no line are not shuffled.
+texts share costs one row per task. Segment and probe rows hold two longs, never
+text. Two bit sets of fixed size, of the segments' keys and of the keys that can meet,
+keep out of the join what has no partner; texts are fetched, letters counted and
+occurrences joined behind such sets too. A fuller set lets more rows through, never
+fewer: above some 30 million distinct lines they let most
+through, and the join and the fetch then see every line once per key. Texts that lose
+no line are not shuffled.
 
 NULL and empty texts have no lines to drop. A NULL key ranks after all others.
 Rows that repeat a key are told apart by their text; fully equal rows lose the
@@ -41,8 +42,8 @@ MIN_CHARS = 10
 LETTERS = "eainrtoshdlucmpg"
 SPACE = " \t\r\x0b\x0c"
 WIDE = 4  # bytes of a character in UTF-32
-KEY_BITS = 1 << 27  # of a set of segment keys: 16 MB, whatever the input
-WORDS_A_ROW = 4  # 64-bit words in a row of such a set
+KEY_ROWS = 1 << 19  # of a set of segment keys
+WORDS_A_ROW = 4  # 64-bit words in a row: 16 MB, whatever the input
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -56,30 +57,30 @@ def _names(kind: str) -> list[str]:
     return [f"{kind}{j}" for j in range(WORDS_A_ROW)]
 
 
-def _slot(key: Column) -> tuple[Column, Column, Column]:
-    """Row, word in the row and bit of a key, which is a hash already."""
-    return F.shiftright(key, 8).bitwiseAND(KEY_BITS // 256 - 1), F.shiftright(key, 6).bitwiseAND(WORDS_A_ROW - 1), key.bitwiseAND(63)
+def _slot(key: Column) -> tuple[Column, list[Column]]:
+    """The row of a key, which is a hash already, and its bit in each word of that row."""
+    bits = [F.shiftright(key, 6 * j).bitwiseAND(63).cast("int") for j in range(WORDS_A_ROW)]
+    return F.shiftright(key, 6 * WORDS_A_ROW).bitwiseAND(KEY_ROWS - 1), bits
 
 
 def _key_bits(rows: DataFrame) -> DataFrame:
-    """(w, any0.., more0..): bit sets of the slots that some key, and that several keys, fall into; at most KEY_BITS / 256 rows."""
-    slots = rows.groupBy(F.col("key").bitwiseAND(KEY_BITS - 1).alias("key")).agg(F.count("*").alias("n"))
-    w, word, bit = _slot(F.col("key"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
-    none = F.lit(0).cast("long")
-    sets = [F.bit_or(F.when(word == j, one).otherwise(none)).alias(f"any{j}") for j in range(WORDS_A_ROW)]
-    sets += [F.bit_or(F.when((word == j) & (F.col("n") > 1), one).otherwise(none)).alias(f"more{j}") for j in range(WORDS_A_ROW)]
+    """(w, any0.., more0..): sets of the keys, and of the keys of several rows, four bits a key; at most KEY_ROWS rows."""
+    slots = rows.groupBy(F.col("key").bitwiseAND(KEY_ROWS * 64**WORDS_A_ROW - 1).alias("key")).agg(F.count("*").alias("n"))
+    w, bits = _slot(F.col("key"))
+    ones = [F.call_function("shiftleft", F.lit(1).cast("long"), bit) for bit in bits]
+    several = [F.when(F.col("n") > 1, one).otherwise(F.lit(0).cast("long")) for one in ones]
+    sets = [F.bit_or(c).alias(name) for c, name in zip([*ones, *several], [*_names("any"), *_names("more")])]
     return slots.groupBy(w.alias("w")).agg(*sets)
 
 
-def _with_bit(rows: DataFrame, bits: DataFrame, kind: str) -> DataFrame:
+def _with_bit(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """The rows whose key is in a set; its broadcast has a fixed bound, and a fuller set only lets more rows through."""
-    w, word, bit = _slot(F.col("key"))
-    held = F.col(f"{kind}0")
-    for j in range(1, WORDS_A_ROW):
-        held = F.when(word == j, F.col(f"{kind}{j}")).otherwise(held)
-    found = rows.join(F.broadcast(bits.select("w", *_names(kind))), w == F.col("w"))
-    return found.filter(F.call_function("shiftright", held, bit.cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
+    w, bits_of = _slot(F.col("key"))
+    found = rows.join(F.broadcast(bits.select("w", *_names("any"))), w == F.col("w"))
+    held = F.lit(1).cast("long")
+    for name, bit in zip(_names("any"), bits_of):
+        held = held.bitwiseAND(F.call_function("shiftright", F.col(name), bit))
+    return found.filter(held == 1).select(*rows.columns)
 
 
 def _digest(line: str = "line") -> list[Column]:
@@ -175,31 +176,33 @@ def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
     """(line_a, line_b, first_a, first_b) for each pair of different lines within ``most`` edits, once."""
     long_lines = lines.filter(F.char_length("line") >= min_chars)
     wide = long_lines.select("line", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
-    facts = {"c": _counts(F.col("line"))}
+    facts = {}
     for kind, own in (("s", True), ("p", False)):
         facts |= {f"{kind}{i}": key for i, key in enumerate(_keys(F.col("wide"), F.col("n"), most, own))}
     # one row of numbers per distinct line: they are shuffled, its text is not
     rows = wide.select(*_digest(), *[column.alias(name) for name, column in facts.items()])
     told = stored(rows.groupBy("h1", "h2").agg(*[F.first(name).alias(name) for name in facts]).withColumnRenamed("h1", "id"))
     segments, probes = (F.array(*[name for name in facts if name[0] == kind]) for kind in "sp")
-    left, shifted = (told.select("id", "c", F.explode(keys).alias("key")) for keys in (segments, probes))
+    left, shifted = (told.select("id", F.explode(keys).alias("key")) for keys in (segments, probes))
     # a probe needs a segment with its key; a segment a probe, or another segment, with its own
     held = checkpoint(_key_bits(left))
-    shifted = stored(_with_bit(shifted, held, "any"))
-    wanted = held.select("w", *[F.col(f"more{j}").alias(f"any{j}") for j in range(WORDS_A_ROW)]).unionByName(_key_bits(shifted).select("w", *_names("any")))
+    shifted = stored(_with_bit(shifted, held))
+    repeated = held.select("w", *[F.col(more).alias(name) for more, name in zip(_names("more"), _names("any"))])
+    wanted = repeated.unionByName(_key_bits(shifted).select("w", *_names("any")))
     wanted = checkpoint(wanted.groupBy("w").agg(*[F.bit_or(name).alias(name) for name in _names("any")]))
-    left = stored(_with_bit(left, wanted, "any"))
+    left = stored(_with_bit(left, wanted))
+
+    # texts, places and letter counts of what is left
+    bits = checkpoint(bit_table(left.select("id").unionByName(shifted.select("id")), F.col("id")))
+    place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
+    likely = split_by_bits(long_lines.withColumn("id", F.xxhash64("line")), bits, F.col("id")).filter("_maybe")
+    texts = stored(likely.groupBy("id", "line").agg(F.min(place).alias("first")).withColumn("c", _counts(F.col("line"))))
+    left, shifted = (rows.join(texts.select("id", "c"), "id") for rows in (left, shifted))
     others = left.withColumn("own", F.lit(True)).unionByName(shifted.withColumn("own", F.lit(False)))
     others = others.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("key").alias("key2"), "own")
     once = F.when(F.col("own"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
     met = left.join(others, (F.col("key") == F.col("key2")) & once & _can_match(F.col("c"), F.col("c2"), most))
     candidates = checkpoint(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = checkpoint(bit_table(ends, F.col("id")))
-    place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
-    likely = split_by_bits(long_lines.withColumn("id", F.xxhash64("line")), bits, F.col("id")).filter("_maybe")
-    texts = checkpoint(likely.groupBy("id", "line").agg(F.min(place).alias("first")))
     sides = [texts.select(F.col("id").alias(f"id_{s}"), F.col("line").alias(f"line_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab"]
     both = candidates.join(sides[0], F.col("a") == F.col("id_a")).join(sides[1], F.col("b") == F.col("id_b"))
     return both.filter(within(F.col("line_a"), F.col("line_b"), most)).select("line_a", "line_b", "first_a", "first_b")
