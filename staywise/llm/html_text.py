@@ -1,15 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node belongs to its root-to-leaf tag path. Per path the text length,
-the punctuation and the number of nodes are summed over the page; text per node
-and punctuation per node are fused into the path's ratio. Ratios are smoothed
+Every block of text belongs to its root-to-leaf tag path, which ends with its last
+block-level element: inline elements follow the block they stand in. Per path the text
+length, the punctuation and the number of blocks are summed over the page; text per
+block and punctuation per block are fused into the path's ratio. Ratios are smoothed
 along the page (neighbouring nodes share part of theirs) and up the tree (a path
 shares the ratio of the container it lies in), because headings and short
 paragraphs belong to the text around them. Paths above a threshold relative to
-the best path are content; all their nodes are returned in page order. On a page
-that marks no article, so is every other text in the container that holds most of
-the content (in the body only between content), unless the list, table or block it
-lies in is mostly links.
+the best path are content; all their blocks are returned in page order. So is every
+other text inside a marked article or, on a page that marks none, in the container
+that holds most of the content (in the body only between content), unless the list,
+table or block it lies in is mostly links.
 
 What a page marks as something else is no candidate: elements of navigation,
 headers and footers of the page, asides, forms, scripts and styles, hidden
@@ -17,7 +18,9 @@ elements, and elements whose class, id or role names an advert, menu, notice,
 comment section and the like by a whole word of that name. A form, or an element so
 named, is a candidate nevertheless where it holds most of the page's text, or the
 only marked article; comment sections and the like never are. A page that marks its article (``article``,
-``main`` or the matching role or itemprop) has its candidates inside it.
+``main`` or the matching role or itemprop) has its candidates inside it; of several
+articles those count that stand beside the longest one, under the same parent, so
+that reader comments marked as articles elsewhere do not.
 
 Blocks: block-level elements bound a block, inline elements and ``br`` do not.
 White space inside a block becomes one space; blocks are joined by ``\\n\\n``.
@@ -33,6 +36,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,6 +100,7 @@ class _Page(HTMLParser):
         self.block = 0
         self.tags: list[str] = []
         self.never: set[int] = set()  # numbers of those that are never candidates
+        self.articles: set[int] = set()  # numbers of the elements that are articles
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -125,6 +130,8 @@ class _Page(HTMLParser):
         number = len(self.tags)
         self.tags.append(tag)
         marked = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
+        if tag == "article" or given.get("role") == "article":
+            self.articles.add(number)
         if marked and not noise:
             inside = True
         elif not skipped:
@@ -188,21 +195,46 @@ class _Page(HTMLParser):
                 free = free or not doubtful
                 article.update(doubtful)
         wrapper = {n for n, size in held.items() if n not in self.never and (size > MOST * total or (not free and n in article))}
-        return [n for n in nodes if wrapper.issuperset(n[5])]
+        return self._beside_longest([n for n in nodes if wrapper.issuperset(n[5])])
 
+    def _beside_longest(self, nodes: list[tuple]) -> list[tuple]:
+        """The nodes without those of articles that stand elsewhere than the longest one."""
+        tops = [next((at for at, number in enumerate(n[6]) if number in self.articles), None) for n in nodes]
+        held, parent = defaultdict(int), {}
+        for n, at in zip(nodes, tops):
+            if at is not None:
+                held[n[6][at]] += len(n[4].strip())
+                parent[n[6][at]] = n[6][at - 1] if at else -1
+        if len(set(parent.values())) < 2:
+            return nodes
+        where = parent[max(held, key=held.get)]
+        return [n for n, at in zip(nodes, tops) if at is None or parent[n[6][at]] == where]
 
-def _ratios(nodes: list[tuple[tuple[str, ...], int, str]], upward: float) -> dict[tuple[str, ...], float]:
+
+class _Block:
+    """One block: its path and element numbers up to the last block-level one, its text, and how much of it is links."""
+
+    def __init__(self, tags: list[str], nodes: list[tuple]):
+        first = nodes[0]
+        depth = max((at + 1 for at, number in enumerate(first[6]) if tags[number] not in INLINE), default=0)
+        self.path, self.numbers = first[0][:depth], first[6][:depth]
+        self.text = " ".join("".join(n[4] for n in nodes).split())
+        self.size = sum(len(n[4].strip()) for n in nodes)
+        self.links = sum(len(n[4].strip()) for n in nodes if any(tags[number] == "a" for number in n[6]))
+
+
+def _ratios(nodes: list[tuple[tuple[str, ...], str]], upward: float) -> dict[tuple[str, ...], float]:
     """Fused, smoothed ratio of each path."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, text in nodes:
+    for path, text in nodes:
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
     own = {p: math.sqrt(length[p] / count[p] * (1 + marks[p]) / count[p]) for p in count}
     # along the page
-    line = [own[path] for path, _, _ in nodes]
+    line = [own[path] for path, _ in nodes]
     near = defaultdict(list)
-    for i, (path, _, _) in enumerate(nodes):
+    for i, (path, _) in enumerate(nodes):
         before, after = line[max(i - 1, 0)], line[min(i + 1, len(line) - 1)]
         near[path].append((1 - 2 * SMOOTH) * line[i] + SMOOTH * (before + after))
     # up the tree: the container's ratio over all text below it
@@ -225,38 +257,41 @@ def _ratios(nodes: list[tuple[tuple[str, ...], int, str]], upward: float) -> dic
     return fused
 
 
-def _with_container(tags: list[str], nodes: list[tuple[tuple[int, ...], str]], content: list[bool]) -> list[bool]:
+def _menus(tags: list[str], blocks: list[_Block], container: int | None = None) -> list[bool]:
+    """Per block whether the list, table or block it lies in, below the container, is mostly links."""
+
+    def group(at: int, numbers: tuple[int, ...]) -> int:
+        below = numbers[numbers.index(container) + 1 :] if container in numbers else numbers
+        return next((n for n in reversed(below) if tags[n] in GROUPS), -1 - at)
+
+    groups = [group(at, b.numbers) for at, b in enumerate(blocks)]
+    size, links = defaultdict(int), defaultdict(int)
+    for at, b in zip(groups, blocks):
+        size[at] += b.size
+        links[at] += b.links
+    return [links[at] > LINKS * size[at] for at in groups]
+
+
+def _with_container(tags: list[str], blocks: list[_Block], content: list[bool]) -> list[bool]:
     """The content and what else its container holds, without lists, tables and blocks of mostly links."""
     if all(content):
         return content
-    chosen = [i for i, (_, text) in enumerate(nodes) if content[i] and text.strip()]
+    chosen = [i for i, wanted in enumerate(content) if wanted]
     held, depth = defaultdict(int), {}
     for i in chosen:
-        for level, number in enumerate(nodes[i][0]):
+        for level, number in enumerate(blocks[i].numbers):
             if tags[number] not in LEAVES:
-                held[number] += len(nodes[i][1])
+                held[number] += blocks[i].size
                 depth[number] = level
-    total = sum(len(nodes[i][1]) for i in chosen)
+    total = sum(blocks[i].size for i in chosen)
     container = max((n for n, size in held.items() if size >= CONTAINER * total), key=depth.get, default=None)
-    within = range(len(nodes))
+    within = range(len(blocks))
     if container is None or tags[container] in ("html", "body"):
         within = range(chosen[0], chosen[-1])
-
-    def group(numbers: tuple[int, ...], i: int) -> int:
-        below = numbers[numbers.index(container) + 1 :] if container in numbers else numbers
-        return next((n for n in reversed(below) if tags[n] in GROUPS), -1 - i)
-
-    size, links, groups = defaultdict(int), defaultdict(int), []
-    for i, (numbers, text) in enumerate(nodes):
-        at = group(numbers, i)
-        groups.append(at)
-        size[at] += len(text.strip())
-        if any(tags[n] == "a" for n in numbers):
-            links[at] += len(text.strip())
-    out = list(content)
+    out, menus = list(content), _menus(tags, blocks, container)
     for i in within:
-        if not out[i] and (container is None or container in nodes[i][0]):
-            out[i] = links[groups[i]] <= LINKS * size[groups[i]]
+        if container is None or container in blocks[i].numbers:
+            out[i] = out[i] or not menus[i]
     return out
 
 
@@ -265,22 +300,20 @@ def main_text(html: str) -> str:
     page.feed(html)
     page.close()
     usable = page.usable()
-    marked = [n for n in usable if n[3] and n[4].strip()]
-    pool = [(n[0], n[1], n[4]) for n in usable if n[3] or not marked]
-    shown = [n for n in pool if n[2].strip()]
-    if not shown:
+    marked = any(n[3] and n[4].strip() for n in usable)
+    runs = groupby((n for n in usable if n[3] or not marked), key=lambda n: n[1])
+    blocks = [b for b in (_Block(page.tags, list(nodes)) for _, nodes in runs) if b.text]
+    if not blocks:
         return ""
     upward, least = MARKED if marked else OPEN
-    fused = _ratios(shown, upward)
+    fused = _ratios([(b.path, b.text) for b in blocks], upward)
     least *= max(fused.values())
-    content = [fused.get(path, least) >= least for path, _, _ in pool]
-    if not marked:
-        content = _with_container(page.tags, [(n[6], n[4]) for n in usable], content)
-    blocks: dict[int, list[str]] = {}
-    for (_, block, text), wanted in zip(pool, content):
-        if wanted:
-            blocks.setdefault(block, []).append(text)
-    return "\n\n".join(filter(None, (" ".join("".join(parts).split()) for parts in blocks.values())))
+    content = [fused[b.path] >= least for b in blocks]
+    if marked:
+        content = [wanted or not menu for wanted, menu in zip(content, _menus(page.tags, blocks))]
+    else:
+        content = _with_container(page.tags, blocks, content)
+    return "\n\n".join(b.text for b, wanted in zip(blocks, content) if wanted)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
