@@ -172,8 +172,8 @@ def within(a: Column, b: Column, most: int) -> Column:
     )
 
 
-def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line_a, line_b, first_a, first_b) for each pair of different lines within ``most`` edits, once."""
+def _keys_that_meet(lines: DataFrame, most: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of the segments and of the probes that can have a partner."""
     long_lines = lines.filter(F.char_length("line") >= min_chars)
     wide = long_lines.select("line", F.encode("line", "UTF-32").alias("wide"), F.char_length("line").alias("n"))
     facts = {}
@@ -192,12 +192,24 @@ def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
     wanted = checkpoint(wanted.groupBy("w").agg(*[F.bit_or(name).alias(name) for name in _names("any")]))
     left = stored(_with_bit(left, wanted))
 
-    # texts, places and letter counts of what is left
-    bits = checkpoint(bit_table(left.select("id").unionByName(shifted.select("id")), F.col("id")))
+    return left, shifted
+
+
+def _facts(lines: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, line, first, n) per line that occurs more than once or may be among the ids; the text only of the latter."""
+    bits = checkpoint(bit_table(ids, F.col("id")))
     place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
-    likely = split_by_bits(long_lines.withColumn("id", F.xxhash64("line")), bits, F.col("id")).filter("_maybe")
-    texts = stored(likely.groupBy("id", "line").agg(F.min(place).alias("first")).withColumn("c", _counts(F.col("line"))))
-    left, shifted = (rows.join(texts.select("id", "c"), "id") for rows in (left, shifted))
+    marked = split_by_bits(lines.select("k", "d", "at", "line", *_digest()), bits, F.col("h1"))
+    text = F.when(F.col("_maybe") & (F.char_length("line") >= min_chars), F.col("line"))
+    found = marked.groupBy("h1", "h2", text.alias("line")).agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    return stored(found.filter("n > 1 or line is not null"))
+
+
+def near_pairs(left: DataFrame, shifted: DataFrame, facts: DataFrame, most: int = MOST) -> DataFrame:
+    """(line_a, line_b, first_a, first_b) for each pair of different lines within ``most`` edits, once."""
+    texts = facts.filter("line is not null").select(F.col("h1").alias("id"), "line", "first")
+    counts = checkpoint(texts.select("id", _counts(F.col("line")).alias("c")))
+    left, shifted = (rows.join(counts, "id") for rows in (left, shifted))
     others = left.withColumn("own", F.lit(True)).unionByName(shifted.withColumn("own", F.lit(False)))
     others = others.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("key").alias("key2"), "own")
     once = F.when(F.col("own"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
@@ -211,12 +223,12 @@ def near_pairs(lines: DataFrame, most: int = MOST, min_chars: int = MIN_CHARS) -
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k, d, gone): per text that loses lines, their numbers (from 0), ascending."""
     lines = _lines(df, key, text)
-    pairs = near_pairs(lines, most, min_chars)
+    left, shifted = _keys_that_meet(lines, most, min_chars)
+    known = _facts(lines, left.select("id").unionByName(shifted.select("id")), min_chars)
+    pairs = near_pairs(left, shifted, known, most)
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("line_b")).otherwise(F.col("line_a"))
     near = pairs.select(later.alias("line")).distinct()
-    place = F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
-    small = lines.select("k", "d", "at", *_digest())
-    repeated = small.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    repeated = known.filter("n > 1").select("h1", "h2", "first", "n")
     # all occurrences of a line that has an earlier near one go; of others all but the first
     none = F.lit(None).cast(repeated.schema["first"].dataType)
     marked = near.select(*_digest(), none.alias("first"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("near"))
@@ -226,6 +238,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", most:
     facts = checkpoint(facts)
     total = facts.agg(F.sum("n")).first()[0] or 0
     bits = checkpoint(bit_table(facts, F.col("h1"), F.col("h2")))
+    small, place = lines.select("k", "d", "at", *_digest()), F.struct(F.col("k").isNull().alias("none"), "k", "d", "at")
     likely = split_by_bits(small, bits, F.col("h1"), F.col("h2")).filter("_maybe").drop("_maybe")
     gone = join_facts(likely, facts, ["h1", "h2"], "n", total).filter(F.col("near") | (F.col("first") != place))
     return gone.groupBy("k", "d").agg(F.sort_array(F.collect_set("at")).alias("gone"))
