@@ -43,7 +43,7 @@ from staywise.llm import suffix_sort
 from staywise.llm.common import bit_table, checkpoint, same, ship, split_by_bits, text_of
 
 SPAN, GRAM = 100, 32
-STEP = 1 << 20  # window starts looked at together
+STEP = 1 << 16  # window starts looked at together: few enough for a core's cache
 BITS = 1 << 27  # of the set of repeated anchors: 16 MB, whatever the input
 SEEN_BYTES = 32 << 20  # segments a task remembers, to send equal ones once
 SORT_BYTES = 2 << 20  # bytes sorted together
