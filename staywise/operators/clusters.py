@@ -28,7 +28,9 @@ from staywise.operators.support_vectors import standardised
 
 ROUNDS = 20
 ANCHORS = 1000  # rows per cluster that stand for it; the driver and each task hold them
-LOT = 512  # rows whose distances to all anchors are held at once
+LOT = 512  # rows whose distances to a cluster's anchors are held at once
+PAIRS = 1 << 20  # pairs of a row and an anchor that a task holds at a time
+CLOSE = 1e-6  # squared distances below this share of the vectors' squares are taken from the differences
 
 
 def _points(batch: pa.RecordBatch) -> np.ndarray:
@@ -85,6 +87,22 @@ class Silhouette:
     n_rows: int
 
 
+def _distances(x: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Euclidean distances from each row to each anchor; memory for the pairs, whatever the number of columns.
+
+    The squares come from a product of matrices; where that would cost digits, from the differences.
+    """
+    squares = (x**2).sum(axis=1)[:, None] + (anchors**2).sum(axis=1)
+    d = x @ (-2 * anchors.T)
+    d += squares
+    step = max(1, PAIRS // max(x.shape[1], 1))
+    rows, cols = np.nonzero(~(d > CLOSE * squares))
+    for i in range(0, len(rows), step):
+        r, c = rows[i : i + step], cols[i : i + step]
+        d[r, c] = ((x[r] - anchors[c]) ** 2).sum(axis=1)
+    return np.sqrt(d, out=d)
+
+
 def _silhouettes(x: np.ndarray, own: np.ndarray, is_anchor: np.ndarray, anchors: Sequence[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Silhouette of each row and the variance of its own and its nearest other cluster's mean distance, relative to the score."""
     k = len(anchors)
@@ -92,7 +110,7 @@ def _silhouettes(x: np.ndarray, own: np.ndarray, is_anchor: np.ndarray, anchors:
     for c, a in enumerate(anchors):
         if not len(a):
             continue
-        d = np.sqrt(np.maximum(((x[:, None, :] - a[None]) ** 2).sum(axis=2), 0))
+        d = _distances(x, a)
         n = len(a) - ((own == c) & is_anchor)  # a row is no neighbour of itself
         mean[:, c] = np.divide(d.sum(axis=1), n, out=np.full(len(x), np.inf), where=n > 0)
         if sizes[c] > len(a):
@@ -152,8 +170,9 @@ def silhouettes(rows: DataFrame, cluster, count: int, most: int, anchors: int =
                 continue
             u = batch.column("u").to_numpy(zero_copy_only=False)
             for s, (own, x) in enumerate(cluster(batch)):
-                for i in range(0, len(x), LOT):
-                    part = slice(i, i + LOT)
+                lot = max(1, min(LOT, PAIRS // max(1, *(len(a) for a in near[s]))))
+                for i in range(0, len(x), lot):
+                    part = slice(i, i + lot)
                     value, var = _silhouettes(x[part], own[part], u[part] < share[s, own[part]], near[s], size[s])
                     sums[s] += [len(value), value.sum(), np.sqrt(var).sum()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), *[pa.array(c) for c in sums.T.copy()]], names=["s", "n", "v", "e"])

@@ -1,5 +1,7 @@
 """Silhouettes and simultaneous k-means against plain loops over all pairs of rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,26 @@ def test_anchors_estimate_within_their_error(spark):
     assert 0 < got.error < 0.1 and abs(got.score - want) < 4 * got.error
 
 
+def test_memory_follows_the_pairs_not_the_columns():
+    rng = np.random.default_rng(8)
+    x, anchors = rng.normal(0, 1, (100, 64)), rng.normal(0, 1, (2000, 64))
+    tracemalloc.start()
+    score, _ = cl._silhouettes(x, np.zeros(100, int), np.zeros(100, bool), [anchors, anchors + 1], np.array([2000, 2000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 100 x 2000 pairs x 64 columns are 102 MB
+    a, b = (np.sqrt(((x[:, None] - c[None]) ** 2).sum(axis=2)).mean(axis=1) for c in (anchors, anchors + 1))
+    np.testing.assert_allclose(score, (b - a) / np.maximum(a, b), rtol=1e-10)
+
+
+def test_distances_of_copies_are_zero():
+    x = np.random.default_rng(9).normal(1000, 1, (50, 8))
+    got = cl._distances(x, np.r_[x, x[:5] + 1e-6])
+    want = np.sqrt(((x[:, None] - np.r_[x, x[:5] + 1e-6][None]) ** 2).sum(axis=2))
+    np.testing.assert_allclose(got, want, rtol=1e-6)
+    assert (np.diag(got) == 0).all()
+
+
 def test_no_rows(spark):
     assert measured(frame(spark, np.zeros((1, 2)), [0]).limit(0), 2) == cl.Silhouette(None, 0.0, 0)
 
