@@ -4,9 +4,10 @@ A metric tree of two levels holds the training rows: each goes to the nearest
 top pivot, and there to the nearest leaf pivot. The number of leaves follows the
 number of rows. The triangle inequality bounds, for each test row, the distance
 of its k-th neighbour; whole branches, then leaves, that cannot hold a nearer row
-are left out. A leaf's rows go only to the batches of test rows that visit it,
-and both sides of a leaf are cut into blocks of bounded size, whatever their
-share of the rows.
+are left out. A test row travels once to each branch it visits, with the numbers
+of the leaves to look at there; a branch's rows go only to the batches of test rows
+that visit it. Both sides of a branch are cut into blocks of bounded size, whatever
+their share of the rows, and a worker sees a bounded lot of pairs at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from staywise.functions.codes import hash_unit
 
 LEAF_ROWS = 2048  # training rows per leaf, as far as MOST_LEAVES lets it
 MOST_LEAVES = 4096  # pivots that the driver and each task hold
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 CHUNK_VALUES = 4_000_000  # numbers held at once while comparing a block
+LOT_PAIRS = 1 << 18  # (row, leaf) pairs held at once while looking for the leaves to visit
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -37,6 +39,51 @@ def _to_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+def _gaps(wanted: np.ndarray, vectors: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of the given pairs."""
+    step = max(1, CHUNK_VALUES // max(vectors.shape[1], 1))
+    parts = [((wanted[rows[i : i + step]] - vectors[cols[i : i + step]]) ** 2).sum(axis=1) for i in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def best_pairs(rows: np.ndarray, cols: np.ndarray, gaps: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest gaps of each row, ties by column; in the order of the rows."""
+    order = np.lexsort((cols, gaps, rows))
+    first = np.r_[True, np.diff(rows[order]) != 0] if len(order) else np.empty(0, bool)
+    start = np.flatnonzero(first)
+    nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    return order[nth < k]
+
+
+def nearest(wanted: np.ndarray, vectors: np.ndarray, k: int, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, squared distance) of each wanted row's k nearest vectors, ties by column.
+
+    A product of matrices tells which pairs may be among them, with a margin above its rounding; only those are
+    measured. ``met`` (row, column): the pairs that count, all by default.
+    """
+    # about the middle of the vectors, so that far ones do not cost digits
+    middle = vectors.mean(axis=0) if np.isfinite(vectors).all() else np.zeros(vectors.shape[1])
+    w, v = wanted - middle, vectors - middle
+    norms, own = (v**2).sum(axis=1), (w**2).sum(axis=1)
+    margin = 1e-12 * (own + norms.max(initial=0.0))
+    gap = w @ (-2 * v.T)
+    gap += own[:, None]
+    gap += norms
+    if met is not None:
+        gap[~met] = np.inf
+    if len(vectors) > k:
+        last = np.partition(gap, k - 1, axis=1)[:, k - 1] + margin
+        may = ~(gap > last[:, None])
+    else:
+        may = np.ones(gap.shape, bool)
+    if met is not None:
+        may &= met
+    rows, cols = np.nonzero(may)
+    gaps = _gaps(wanted, vectors, rows, cols)
+    best = best_pairs(rows, cols, gaps, k)
+    return rows[best], cols[best], gaps[best]
+
+
 class MetricTree:
     """Pivots in two levels, and what is known of the rows below each."""
 
@@ -130,74 +177,88 @@ def knn_regress(
 
     celled = train.mapInPandas(assign, f"id {kind}, v {element}, y double, cell int, far double, far_top double")
     # Per leaf: size, radii and its k smallest pivot distances; one row per leaf reaches the driver.
-    nearest = Window.partitionBy("cell").orderBy("far", "id")
+    outward = Window.partitionBy("cell").orderBy("far", "id")
     sizes = celled.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("far").alias("radius"), F.min("far").alias("inner"), F.max("far_top").alias("top_radius")
     )
     close = (
-        celled.select("cell", "far", F.row_number().over(nearest).alias("r")).filter(F.col("r") <= k)
+        celled.select("cell", "far", F.row_number().over(outward).alias("r")).filter(F.col("r") <= k)
         .groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("nearest"))
     )
     summary = sizes.join(close, "cell").collect()
     tree.know(k, [(r["cell"], r["radius"], r["inner"], r["top_radius"], r["nearest"]) for r in summary])
-    parts = np.ones(len(tree.pivots), dtype="int64")
+    top_of = np.zeros(len(tree.pivots), "int32")
+    for t, own in enumerate(tree.children):
+        top_of[own] = t
+    held = np.zeros(len(tree.tops), dtype="int64")
     for row in summary:
-        parts[row["cell"]] = -(-row["n"] // block_rows)
+        held[top_of[row["cell"]]] += row["n"]
+    parts = np.maximum(-(-held // block_rows), 1)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row per (test row, leaf that may hold one of its neighbours)."""
+        """One row per (test row, branch that may hold one of its neighbours), with the leaves to look at."""
+        lot = max(1, LOT_PAIRS // len(tree.pivots))
         for batch in batches:
-            if len(batch):
-                rows, cells = tree.visits(_matrix(batch["v"]))
+            for i in range(0, len(batch), lot):
+                some = batch.iloc[i : i + lot]
+                rows, cells = tree.visits(_matrix(some["v"]))
+                order = np.lexsort((cells, top_of[cells], rows))
+                rows, cells = rows[order], cells[order].astype("int32")
+                tops = top_of[cells]
+                start = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(tops) != 0)]) if len(rows) else np.empty(0, int)
                 yield pd.DataFrame(
-                    {"id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows], "cell": cells.astype("int32")}
+                    {
+                        "id": some["id"].to_numpy()[rows[start]], "v": some["v"].to_numpy()[rows[start]],
+                        "top": tops[start], "cells": pd.Series(np.split(cells, start[1:]) if len(start) else [], dtype=object),
+                    }
                 )
 
-    visits = test.mapInPandas(visit, f"id {kind}, v {element}, cell int")
-    # Test rows of a leaf are cut into `batch`es as their number asks; its training rows into `part`s. A leaf that no
-    # test row visits sends nothing.
-    batches = np.zeros(len(tree.pivots), dtype="int64")
-    for row in visits.groupBy("cell").count().collect():
-        batches[row["cell"]] = -(-row["count"] // block_rows)
+    visits = test.mapInPandas(visit, f"id {kind}, v {element}, top int, cells array<int>")
+    # Test rows of a branch are cut into `batch`es as their number asks; its training rows into `part`s. A branch that
+    # no test row visits sends nothing.
+    batches = np.zeros(len(tree.tops), dtype="int64")
+    for row in visits.groupBy("top").count().collect():
+        batches[row["top"]] = -(-row["count"] // block_rows)
 
-    def per_cell(counts: np.ndarray) -> Column:
-        return F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell") + 1)
+    def per_top(counts: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(int(c)) for c in counts]), F.col("top") + 1)
 
-    visited = celled.withColumn("_batches", per_cell(batches)).filter("_batches > 0")
-    train_parts = visited.withColumn("part", F.floor(hash_unit("part", "id") * per_cell(parts)).cast("int")).withColumn(
+    branch = F.element_at(F.array(*[F.lit(int(t)) for t in top_of]), F.col("cell") + 1)
+    visited = celled.withColumn("top", branch).withColumn("_batches", per_top(batches)).filter("_batches > 0")
+    train_parts = visited.withColumn("part", F.floor(hash_unit("part", "id") * per_top(parts)).cast("int")).withColumn(
         "batch", F.explode(F.sequence(F.lit(0), (F.col("_batches") - 1).cast("int")))
     )
-    test_parts = visits.withColumn("batch", F.floor(hash_unit("batch", "id") * per_cell(batches)).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), (per_cell(parts) - 1).cast("int")))
+    test_parts = visits.withColumn("batch", F.floor(hash_unit("batch", "id") * per_top(batches)).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), (per_top(parts) - 1).cast("int")))
     )
 
     def search(probes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """The k best of one block for each of its test rows."""
-        if not len(probes) or not len(rows):
-            return pd.DataFrame({"id": [], "gap": [], "other": [], "y": []})
-        rows = rows.sort_values("id")
+        """The k best of one block for each of its test rows, leaf by leaf."""
+        rows = rows.sort_values("id", kind="stable")
         vectors, ids, labels = _matrix(rows["v"]), rows["id"].to_numpy(), rows["y"].to_numpy()
-        wanted, step = _matrix(probes["v"]), max(1, CHUNK_VALUES // vectors.size)
-        gaps, order = [], []
-        for i in range(0, len(wanted), step):
-            gap = ((wanted[i : i + step, None, :] - vectors[None, :, :]) ** 2).sum(axis=2)
-            best = np.argsort(gap, axis=1, kind="stable")[:, :k]
-            gaps.append(np.take_along_axis(gap, best, axis=1))
-            order.append(best)
-        best = np.concatenate(order)
-        return pd.DataFrame(
-            {
-                "id": np.repeat(probes["id"].to_numpy(), best.shape[1]),
-                "gap": np.concatenate(gaps).ravel(),
-                "other": ids[best].ravel(),
-                "y": labels[best].ravel(),
-            }
-        )
-
-    block = ["cell", "part", "batch"]
+        wanted, cell = _matrix(probes["v"]), rows["cell"].to_numpy()
+        looks = probes["cells"].to_numpy()
+        who = np.repeat(np.arange(len(looks)), [len(c) for c in looks])
+        leaf = np.concatenate(looks) if len(looks) else np.empty(0, int)
+        best = np.empty(0, int), np.empty(0, int), np.empty(0)
+        for c in np.unique(cell):
+            own, asking = np.flatnonzero(cell == c), who[leaf == c]
+            step = max(1, CHUNK_VALUES // len(own))
+            found = [best]
+            for i in range(0, len(asking), step):
+                r, j, gap = nearest(wanted[asking[i : i + step]], vectors[own], k)
+                found.append((asking[i + r], own[j], gap))
+            if len(found) > 1:
+                r, j, gap = (np.concatenate(x) for x in zip(*found))
+                take = best_pairs(r, j, gap, k)
+                best = r[take], j[take], gap[take]
+        r, j, gap = best
+        return pd.DataFrame({"id": probes["id"].to_numpy()[r], "gap": gap, "other": ids[j], "y": labels[j]})
+
+    block = ["top", "part", "batch"]
     candidates = (
-        test_parts.select("id", "v", *block).groupBy(*block)
-        .cogroup(train_parts.select("id", "v", "y", *block).groupBy(*block))
+        test_parts.select("id", "v", "cells", *block).groupBy(*block)
+        .cogroup(train_parts.select("id", "v", "y", "cell", *block).groupBy(*block))
         .applyInPandas(search, f"id {kind}, gap double, other {kind}, y double")
     )
     order = Window.partitionBy("id").orderBy("gap", "other")

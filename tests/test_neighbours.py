@@ -99,6 +99,39 @@ def test_lsh_few_rows(spark):
     assert [r["prediction"] for r in lsh.lsh_regress(train.limit(0), test, "id", "v", "y").frame.collect()] == [None] * 3
 
 
+@pytest.mark.parametrize("kind", ["flat", "ties", "far", "nan"])
+def test_nearest_equals_brute_force(kind):
+    rng = np.random.default_rng(8)
+    train, test = rng.normal(0, 1, (300, 6)), rng.normal(0, 1, (40, 6))
+    if kind == "ties":
+        train, test = train.round(), test.round()
+    if kind == "far":
+        train, test = train * 1e-3 + 1e6, test * 1e-3 + 1e6
+    if kind == "nan":
+        train[::3, 0] = np.nan
+    gaps = ((test[:, None] - train[None]) ** 2).sum(axis=2)
+    rows, cols, got = knn.nearest(test, train, 5)
+    want = np.argsort(gaps, axis=1, kind="stable")[:, :5]
+    assert (rows.reshape(-1, 5) == np.arange(40)[:, None]).all() and (cols.reshape(-1, 5) == want).all()
+    assert (got.reshape(-1, 5) == np.take_along_axis(gaps, want, axis=1)).all()
+    met = rng.random(gaps.shape) < 0.1
+    rows, cols, _ = knn.nearest(test, train, 5, met)
+    for i in range(40):
+        own = np.flatnonzero(met[i])
+        assert cols[rows == i].tolist() == own[np.argsort(gaps[i, own], kind="stable")[:5]].tolist()
+
+
+def test_rows_travel_once_per_branch(spark):
+    rng = np.random.default_rng(9)
+    train, test = vectors(spark, rng.normal(0, 1, (600, 6))), vectors(spark, rng.normal(0, 1, (50, 6)), start=9000)
+    frame = knn.knn_regress(train, test, "id", "v", "y", 5, pivots=64)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    # a test row is sent to the 8 branches at most, not to each of the 64 leaves
+    cogroup = next(line for line in plan.splitlines() if "FlatMapCoGroupsInPandas" in line)
+    assert "top" in cogroup and "cell#" not in cogroup.split("search")[0]
+    assert frame.count() == 50
+
+
 def test_probes_start_at_home_and_are_different():
     rng = np.random.default_rng(1)
     projections = lsh.Projections(6, 4, np.eye(6))
