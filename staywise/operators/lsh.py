@@ -1,9 +1,10 @@
 """Approximate k-nearest-neighbour regression by bucketed random projections with multi-probe (R4 at scale).
 
 Each of ``tables`` hash tables projects a vector on a few seeded directions and cuts the projections into cells; the
-cells name its bucket. A test row looks into its own bucket and into the buckets whose borders are nearest to it. Test
-and training rows meet in an equi-join on the bucket, so the work follows the buckets' sizes; adaptive execution
-splits a bucket that holds many rows. Distances of the pairs that met are exact.
+cells name its bucket. A test row looks into its own bucket and into the buckets whose borders are nearest to it. Both
+sides are dealt into blocks of bounded size; every pair of blocks meets in one task, which names the buckets of its
+rows, joins the two sides on them and measures the pairs that met. A vector travels once per block of the other side,
+not once per table and probe, and no pair is shuffled: k rows per test row and pair of blocks are. Distances are exact.
 
 The numbers of tables and probes are chosen per run: for a bounded sample of test rows the exact neighbours are found
 by a scan, and the smallest setting whose probes meet at least ``target`` of them is taken and reported with its
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.codes import hash_unit
-from staywise.operators.knn import _matrix, knn_regress
+from staywise.operators.knn import BLOCK_ROWS, CHUNK_VALUES, _gaps, _matrix, best_pairs, knn_regress, nearest
+from staywise.session import reliable_checkpoint
 
 DIRECTIONS = 3  # projections per table
 TABLES = (4, 8, 16, 32)
 SAMPLE = 64  # test rows whose exact neighbours choose the setting
 NEAR = 1000  # training rows from which the cells' width is taken
+FEW = 0.05  # share of a block's pairs up to which they are measured one by one
 
 
 class Projections:
@@ -46,7 +49,8 @@ class Projections:
         self.steps, self.down, self.up = steps, (steps == -1).astype(float), (steps == 1).astype(float)
 
     def _cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.einsum("nd,tmd->ntm", vectors, self.directions) / self.width + self.offsets
+        tables, directions, dims = self.directions.shape
+        place = (vectors @ self.directions.reshape(-1, dims).T).reshape(-1, tables, directions) / self.width + self.offsets
         cells = np.floor(place)
         return cells.astype(np.int64), place - cells
 
@@ -114,6 +118,44 @@ def recall(projections: Projections, probes: int, sample: np.ndarray, nearest: S
     return hits / total if total else 1.0
 
 
+def _met(held: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """(row, column) pairs that share a bucket: ``held`` (column, table), ``asked`` (row, table, probe). Rows stand as bits."""
+    met = np.zeros((len(held), -(-len(asked) // 8)), np.uint8)
+    rows = np.arange(len(asked))[:, None]
+    for t in range(held.shape[1]):
+        names, code = np.unique(held[:, t], return_inverse=True)
+        at = np.searchsorted(names, asked[:, t]).clip(max=len(names) - 1)
+        looks = np.zeros((len(names), len(asked)), bool)
+        hit = names[at] == asked[:, t]
+        looks[at[hit], np.broadcast_to(rows, at.shape)[hit]] = True
+        met |= np.packbits(looks, axis=1)[code]
+    return np.unpackbits(met, axis=1, count=len(asked)).T.astype(bool)
+
+
+def _search(projections: Projections, probes: int, wanted: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, squared distance) of the k nearest ids that each wanted row meets; ``ids`` ascend, a repeated one counts once."""
+    code = pd.factorize(ids, use_na_sentinel=False)[0]
+    most = k * int(np.bincount(code).max())  # places that k different ids can take
+    held, step = projections.buckets(vectors), max(8, CHUNK_VALUES // len(vectors) // 8 * 8)
+    found = []
+    for i in range(0, len(wanted), step):
+        some = wanted[i : i + step]
+        met = _met(held, projections.probes(some, probes))
+        if met.mean() <= FEW:
+            r, j = np.nonzero(met)
+            gap = _gaps(some, vectors, r, j)
+        else:
+            r, j, gap = nearest(some, vectors, most, met)
+        if most > k:
+            order = np.lexsort((j, gap, code[j], r))
+            r, j, gap = r[order], j[order], gap[order]
+            once = np.r_[True, (np.diff(r) != 0) | (np.diff(code[j]) != 0)] if len(r) else np.empty(0, bool)
+            r, j, gap = r[once], j[once], gap[once]
+        take = best_pairs(r, j, gap, k)
+        found.append((i + r[take], j[take], gap[take]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def lsh_regress(
     train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, target: float = 0.9, seed: int = 2
 ) -> Approximate:
@@ -138,30 +180,30 @@ def lsh_regress(
     if chosen is None:
         return Approximate(knn_regress(train, test, key, vector, label, k), 1.0, 0, 0)
     projections, tables, count, reached = chosen
-    kind, vectors = rows.schema["id"].dataType.simpleString(), "array<double>"
-
-    def spreaded(keys, extra: Sequence[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    found = keys(_matrix(batch["v"])).reshape(len(batch), -1)
-                    at = np.repeat(np.arange(len(batch)), found.shape[1])
-                    out = batch[["id", "v", *extra]].iloc[at].reset_index(drop=True)
-                    yield out.assign(bucket=found.ravel())
-
-        return run
-
-    held = rows.mapInPandas(spreaded(projections.buckets, ["y"]), f"id {kind}, v {vectors}, y double, bucket long")
-    asked = asks.mapInPandas(spreaded(lambda v: projections.probes(v, count), []), f"id {kind}, v {vectors}, bucket long")
-    gap = F.lit(0.0)
-    for i in range(sample.shape[1]):  # compiled, unlike a fold over the arrays
-        gap = gap + (F.col("v")[i] - F.col("w")[i]) * (F.col("v")[i] - F.col("w")[i])
-    other = held.select("bucket", F.col("id").alias("other"), F.col("v").alias("w"), "y")
-    met = asked.join(other, "bucket").select("id", "other", "y", gap.alias("gap"))
-    pairs = met.groupBy("id", "other").agg(F.first("y").alias("y"), F.min("gap").alias("gap"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def search(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        """The k best of one pair of blocks for each of its test rows."""
+        if not len(ask) or not len(have):
+            return pd.DataFrame({"id": [], "other": [], "y": [], "gap": []})
+        have = have.sort_values("id", kind="stable")
+        ids = have["id"].to_numpy()
+        r, j, gap = _search(projections, count, _matrix(ask["v"]), _matrix(have["v"]), ids, k)
+        return pd.DataFrame({"id": ask["id"].to_numpy()[r], "other": ids[j], "y": have["y"].to_numpy()[j], "gap": gap})
+
+    # rows of one id share a block, so that a block's k best are different ids
+    parts, batches = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (rows, asks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = train.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).cast("double").alias("y"))
+    held = held.withColumn("part", F.floor(hash_unit("part", "id") * parts).cast("int")).withColumn("batch", numbers(batches))
+    asked = test.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    asked = asked.withColumn("batch", F.floor(hash_unit("batch", "id") * batches).cast("int")).withColumn("part", numbers(parts))
+    candidates = asked.groupBy("part", "batch").cogroup(held.groupBy("part", "batch")).applyInPandas(search, f"id {kind}, other {kind}, y double, gap double")
+    pairs = candidates.groupBy("id", "other").agg(F.first("y").alias("y"), F.min("gap").alias("gap"))
     order = Window.partitionBy("id").orderBy("gap", "other")
     best = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
     predicted = best.groupBy("id").agg(F.avg("y").alias("prediction"), F.count("*").alias("n"))
+    predicted = reliable_checkpoint(predicted)  # one row per test row, read by what is left and by the result
     enough = predicted.filter(F.col("n") >= k).select(F.col("id").alias(key), "prediction")
     few = test.join(enough.select(key), key, "left_anti")
     rest = knn_regress(train, few, key, vector, label, k)

@@ -132,6 +132,37 @@ def test_rows_travel_once_per_branch(spark):
     assert frame.count() == 50
 
 
+def lsh_brute(train, test, projections, probes, k):
+    """Mean label per test id by the rule: the k nearest ids that share a bucket, a repeated id at its nearest."""
+    a, b = (np.array([v for _, v, *_ in side]) for side in (train, test))
+    met = (projections.probes(b, probes)[:, None] == projections.buckets(a)[None, :, :, None]).any(axis=(2, 3))
+    gaps, out = ((b[:, None] - a[None]) ** 2).sum(axis=2), {}
+    for i, (q, _) in enumerate(test):
+        best = out.setdefault(q, {})
+        for j in np.flatnonzero(met[i]):
+            best[train[j][0]] = min(best.get(train[j][0], (np.inf, 0)), (gaps[i, j], train[j][2]))
+    return {q: np.mean([y for _, y in sorted(best.values())[:k]]) for q, best in out.items() if len(best) >= k}
+
+
+def test_lsh_blocks_hold_the_bucket_join(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    both = clustered(700, rng, 0.05)
+    train = [(i // 2, v, float(i // 2 % 7)) for i, v in enumerate(both[:600])]  # every id twice
+    test = [(5000 + i, v) for i, v in enumerate(both[600:])]
+    rows = spark.createDataFrame([(i, v.tolist(), y) for i, v, y in train], "id long, v array<double>, y double").repartition(3)
+    asks = spark.createDataFrame([(i, v.tolist()) for i, v in test], "id long, v array<double>").repartition(2)
+    monkeypatch.setattr(lsh, "BLOCK_ROWS", 64)
+    made = []
+    once = lsh.Projections
+    monkeypatch.setattr(lsh, "Projections", lambda *a, **k: made.append(once(*a, **k)) or made[-1])
+    found = lsh.lsh_regress(rows, asks, "id", "v", "y", 5)
+    # vectors meet in blocks: none is copied per probe, no pair of rows is shuffled
+    assert "bucket" not in found.frame._jdf.queryExecution().optimizedPlan().toString()
+    want = lsh_brute(train, test, made[-1], found.probes, 5)
+    got = {r["id"]: r["prediction"] for r in found.frame.collect()}
+    assert len(want) > 50 and all(got[q] == pytest.approx(want[q], rel=1e-12) for q in want) and len(got) == 100
+
+
 def test_probes_start_at_home_and_are_different():
     rng = np.random.default_rng(1)
     projections = lsh.Projections(6, 4, np.eye(6))
