@@ -8,7 +8,8 @@ absolute errors of the round). Steps are scaled by the learning rate.
 
 Quantiles are exact (linear interpolation between neighbours) and need no sort: per group a bracket is cut into
 ``SLOTS`` parts, one pass counts them with the smallest and largest value of each, and the part that holds the wanted
-rank is the next bracket, until the rank's value is alone. A task holds groups times slots numbers.
+rank is the next bracket, until the rank's value is alone or all brackets together hold ``FINISH`` values, which are
+fetched. A task holds groups times slots numbers.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.storagelevel import StorageLevel
 from staywise.operators.trees import Cuts, Model, Tree, _arrays, binned, cut_points, grow
 
 SLOTS = 256
+FINISH = 200_000  # values in all open brackets that are fetched rather than counted again
 LOSSES = ("ls", "lad", "huber", "quantile")
 
 
@@ -89,36 +91,58 @@ class Boosted:
 Values = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
-def grouped_quantiles(rows: DataFrame, values: Values, shares: Sequence[float]) -> list[float | None]:
-    """The exact quantile of each group's values; None for a group without rows."""
+def grouped_quantiles(rows: DataFrame, values: Values, shares: Sequence[float], span: tuple[Sequence[float], Sequence[float]] | None = None) -> list[float | None]:
+    """The exact quantile of each group's values; None for a group without rows. ``span``: bounds of each group's values, where known."""
     n = len(shares)
 
+    def inside(batches: Iterator[pa.RecordBatch], low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = np.isinf(low).all() and (high == np.inf).all()
+        for _, g, bins, y in (block for batch in batches for block in _arrays(batch)):
+            for group, value in values(g, bins, y):
+                if not whole:
+                    within = np.flatnonzero((value >= low[group]) & (value <= high[group]))
+                    group, value = group[within], value[within]
+                yield group, value
+
     def run(batches: Iterator[pa.RecordBatch], low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
         count = np.zeros(n * SLOTS, np.int64)
         least, most = np.full(n * SLOTS, np.inf), np.full(n * SLOTS, -np.inf)
         width = np.where(np.isfinite(high - low) & (high > low), high - low, 1.0)
-        for batch in batches:
-            _, g, bins, y = _arrays(batch)
-            for group, value in values(g, bins, y):
-                inside = (value >= low[group]) & (value <= high[group])
-                group, value = group[inside], value[inside]
-                if np.isinf(low).all():
-                    slot = np.zeros(len(group), int)
-                else:
-                    slot = np.clip((value - low[group]) / width[group] * SLOTS, 0, SLOTS - 1).astype(int)
-                code = group * SLOTS + slot
-                count += np.bincount(code, minlength=len(count))
-                np.minimum.at(least, code, value)
-                np.maximum.at(most, code, value)
+        flat = np.isinf(low).all()
+        for group, value in inside(batches, low, high):
+            if flat:
+                slot = 0
+            else:
+                slot = np.clip((value - low[group]) / width[group] * SLOTS, 0, SLOTS - 1).astype(int)
+            code = group.astype(int) * SLOTS + slot
+            count += np.bincount(code, minlength=len(count))
+            np.minimum.at(least, code, value)
+            np.maximum.at(most, code, value)
         full = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(a[full]) for a in (np.arange(len(count)), count, least, most)], names=["code", "n", "lo", "hi"])
 
+    def fetch(batches: Iterator[pa.RecordBatch], low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for group, value in inside(batches, low, high):
+            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array(value, pa.float64())], names=["g", "v"])
+
     low, high = np.full(n, -np.inf), np.full(n, np.inf)
+    if span is not None and n and np.isfinite(span).all():
+        low, high = (np.array(s, float) for s in span)
     below, size = np.zeros(n, np.int64), None
+    held = np.zeros(n, np.int64)  # values in the open brackets
     found: list[float | None] = [None] * n
     open_ = set(range(n))
     while open_:
         bounds = low.copy(), high.copy()
+        if size is not None and held.sum() <= FINISH:
+            left: list[list[float]] = [[] for _ in range(n)]
+            for r in rows.mapInArrow(lambda b: fetch(b, *bounds), "g long, v double").collect():  # noqa: B023
+                left[r["g"]].append(r["v"])
+            for g in open_:
+                rank, own = shares[g] * (size[g] - 1), sorted(left[g])
+                a, b = (own[at(rank) - int(below[g])] for at in (floor, ceil))
+                found[g] = a + (b - a) * (rank - floor(rank))
+            break
         parts = rows.mapInArrow(lambda b: run(b, *bounds), "code long, n long, lo double, hi double")  # noqa: B023
         counted = parts.groupBy("code").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
         slots: dict[int, list] = {}
@@ -126,6 +150,7 @@ def grouped_quantiles(rows: DataFrame, values: Values, shares: Sequence[float])
             slots.setdefault(r["code"] // SLOTS, []).append(r)
         if size is None:
             size = {g: sum(r["n"] for r in own) for g, own in slots.items()}
+            low[[g for g in open_ if g not in size]] = np.inf
             open_ &= set(size)
         for g in sorted(open_):
             rank = shares[g] * (size[g] - 1)
@@ -142,34 +167,52 @@ def grouped_quantiles(rows: DataFrame, values: Values, shares: Sequence[float])
             elif a["lo"] == a["hi"]:
                 found[g] = a["lo"]
             else:
-                low[g], high[g], below[g] = a["lo"], a["hi"], start
+                low[g], high[g], below[g], held[g] = a["lo"], a["hi"], start, a["n"]
                 continue
             open_.discard(g)
-            low[g], high[g] = np.inf, -np.inf  # nothing more to count
+            low[g], high[g], held[g] = np.inf, -np.inf, 0  # nothing more to count
     return found
 
 
-def _member(model: Boosted, g: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.isin(g, list(model.groups)))
+def _member(model: Boosted, g: np.ndarray) -> bool:
+    """Whether a block's rows, all of one group, are among those the model is fitted on."""
+    return len(g) > 0 and int(g[0]) in model.groups
 
 
-def _starts(rows: DataFrame, models: Sequence[Boosted]) -> None:
-    """The constant that fits each loss best."""
+def _starts(rows: DataFrame, models: Sequence[Boosted]) -> tuple[float, float]:
+    """Give each model the constant that fits its loss best; the least and the largest label."""
 
     def labels(g, bins, y):
         for m, model in enumerate(models):
-            take = _member(model, g)
-            yield np.full(len(take), m), y[take]
-
-    quantiles = grouped_quantiles(rows, labels, [m.loss.share for m in models])
-    means = {r["g"]: (r["n"], r["s"]) for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()}
+            if _member(model, g):
+                yield np.full(len(y), m), y
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = [(int(g[0]), len(y), y.sum(), y.min(), y.max()) for batch in batches for _, g, _, y in _arrays(batch)]
+        kinds = (pa.int32(), pa.int64(), *[pa.float64()] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["g", "n", "s", "lo", "hi"])
+
+    facts = rows.mapInArrow(sums, "g int, n long, s double, lo double, hi double").groupBy("g")
+    means = {r["g"]: r for r in facts.agg(*[f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "s"), (F.min, "lo"), (F.max, "hi"))]).collect()}
+    low, high = min((r["lo"] for r in means.values()), default=0.0), max((r["hi"] for r in means.values()), default=0.0)
+    quantiles = grouped_quantiles(rows, labels, [m.loss.share for m in models], ([low] * len(models), [high] * len(models)))
     for model, quantile in zip(models, quantiles):
         own = [means[g] for g in model.groups if g in means]
-        mean = sum(s for _, s in own) / sum(n for n, _ in own) if own else 0.0
+        mean = sum(r["s"] for r in own) / sum(r["n"] for r in own) if own else 0.0
         model.start = mean if model.loss.kind == "ls" else quantile if quantile is not None else 0.0
+    return low, high
+
+
+def _error_span(model: Boosted, labels: tuple[float, float]) -> tuple[float, float]:
+    """Bounds of a model's errors, from those of the labels and of its trees' steps."""
+    steps = [model.rate * tree.value[_leaves(tree)] for tree in model.trees]
+    low = labels[0] - model.start - sum(s.max() for s in steps)
+    high = labels[1] - model.start - sum(s.min() for s in steps)
+    slack = 1e-6 * (1 + max(abs(low), abs(high)) + abs(model.start) + max(map(abs, labels)))  # above the sums' rounding
+    return low - slack, high + slack
 
 
-def _clips(rows: DataFrame, models: Sequence[Boosted]) -> None:
+def _clips(rows: DataFrame, models: Sequence[Boosted], labels: tuple[float, float]) -> None:
     """The size at which huber clips the errors of this round."""
     which = [m for m in models if m.loss.kind == "huber"]
     if not which:
@@ -177,14 +220,15 @@ def _clips(rows: DataFrame, models: Sequence[Boosted]) -> None:
 
     def sizes(g, bins, y):
         for i, model in enumerate(which):
-            take = _member(model, g)
-            yield np.full(len(take), i), np.abs(y[take] - model.predict(bins[take]))
+            if _member(model, g):
+                yield np.full(len(y), i), np.abs(y - model.predict(bins))
 
-    for model, delta in zip(which, grouped_quantiles(rows, sizes, [m.loss.alpha for m in which])):
+    most = [max(map(abs, _error_span(m, labels))) for m in which]
+    for model, delta in zip(which, grouped_quantiles(rows, sizes, [m.loss.alpha for m in which], ([0.0] * len(which), most))):
         model.delta = delta if delta is not None else np.inf
 
 
-def _steps(rows: DataFrame, models: Sequence[Boosted], grown: Sequence[Tree]) -> None:
+def _steps(rows: DataFrame, models: Sequence[Boosted], grown: Sequence[Tree], labels: tuple[float, float]) -> None:
     """Give the leaves of new trees the steps of their losses."""
     leaves = [(m, int(i)) for m, tree in enumerate(grown) if models[m].loss.kind != "ls" for i in _leaves(tree)]
     if not leaves:
@@ -195,11 +239,12 @@ def _steps(rows: DataFrame, models: Sequence[Boosted], grown: Sequence[Tree]) ->
 
     def errors(g, bins, y):
         for m, model in enumerate(models):
-            if model.loss.kind != "ls":
-                take = _member(model, g)
-                yield place[m][grown[m].leaf(bins[take])], y[take] - model.predict(bins[take])
+            if model.loss.kind != "ls" and _member(model, g):
+                yield np.full(len(y), grown[m]._spread(bins, place[m])), y - model.predict(bins)
 
-    quantiles = grouped_quantiles(rows, errors, [models[m].loss.share for m, _ in leaves])
+    spans = [_error_span(model, labels) for model in models]
+    span = tuple([spans[m][side] for m, _ in leaves] for side in range(2))
+    quantiles = grouped_quantiles(rows, errors, [models[m].loss.share for m, _ in leaves], span)
     for (m, i), q in zip(leaves, quantiles):
         grown[m].value[i] = 0.0 if q is None else q
     if not any(model.loss.kind == "huber" for model in models):
@@ -207,15 +252,13 @@ def _steps(rows: DataFrame, models: Sequence[Boosted], grown: Sequence[Tree]) ->
 
     def clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, len(leaves)))
-        for batch in batches:
-            _, g, bins, y = _arrays(batch)
+        for _, g, bins, y in (block for batch in batches for block in _arrays(batch)):
             for m, model in enumerate(models):
-                if model.loss.kind == "huber":
-                    take = _member(model, g)
-                    node = grown[m].leaf(bins[take])
-                    away = y[take] - model.predict(bins[take]) - grown[m].value[node]
-                    sums[0] += np.bincount(place[m][node], minlength=len(leaves))
-                    sums[1] += np.bincount(place[m][node], np.clip(away, -model.delta, model.delta), len(leaves))
+                if model.loss.kind == "huber" and _member(model, g):
+                    at = np.full(len(y), grown[m]._spread(bins, place[m]))
+                    away = y - model.predict(bins) - grown[m].predict(bins)
+                    sums[0] += np.bincount(at, minlength=len(leaves))
+                    sums[1] += np.bincount(at, np.clip(away, -model.delta, model.delta), len(leaves))
         full = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[0, full]), pa.array(sums[1, full])], names=["at", "n", "s"])
 
@@ -237,12 +280,12 @@ def _leaves(tree: Tree) -> np.ndarray:
 
 def boost(rows: DataFrame, models: Sequence[Boosted], rounds: int, depth: int) -> None:
     """Grow ``rounds`` trees for every model: per round ``depth`` passes and a few for the quantiles, whatever the number of models."""
-    _starts(rows, models)
+    labels = _starts(rows, models)
     for _ in range(rounds):
-        _clips(rows, models)
+        _clips(rows, models, labels)
         gradient = lambda m, bins, y: models[m].loss.gradient(y - models[m].predict(bins), models[m].delta)
         grown = grow(rows, [Model(m.groups) for m in models], models[0].cuts, depth, gradient)
-        _steps(rows, models, grown)
+        _steps(rows, models, grown, labels)
         for model, tree in zip(models, grown):
             model.trees.append(tree)
 
@@ -252,15 +295,15 @@ def loss_trace(rows: DataFrame, models: Sequence[Boosted], rounds: int) -> list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((len(models), rounds + 1)), np.zeros(len(models))
-        for batch in batches:
-            _, g, bins, y = _arrays(batch)
+        for _, g, bins, y in (block for batch in batches for block in _arrays(batch)):
             for m, model in enumerate(models):
-                take = _member(model, g)
-                n[m] += len(take)
-                now = np.full(len(take), model.start)
+                if not _member(model, g):
+                    continue
+                n[m] += len(y)
+                now = np.full(len(y), model.start)
                 for r in range(rounds + 1):
-                    now = now + model.rate * model.trees[r - 1].predict(bins[take]) if r else now
-                    sums[m, r] += model.loss.value(y[take] - now, model.delta).sum()
+                    now = now + model.rate * model.trees[r - 1].predict(bins) if r else now
+                    sums[m, r] += model.loss.value(y - now, model.delta).sum()
         m, r = (a.ravel() for a in np.indices(sums.shape))
         yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(r), pa.array(sums.ravel()), pa.array(np.repeat(n, rounds + 1))], names=["m", "r", "s", "n"])
 
@@ -303,12 +346,11 @@ def grid_boost(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(models), 4))
-        for batch in batches:
-            _, g, bins, y = _arrays(batch)
+        for _, g, bins, y in (block for batch in batches for block in _arrays(batch)):
             for m, model in enumerate(models):
-                take = np.flatnonzero(g == m % (folds + 1))
-                e = y[take] - model.predict(bins[take])
-                sums[m] += [len(take), y[take].sum(), (y[take] ** 2).sum(), (e**2).sum()]
+                if int(g[0]) == m % (folds + 1):
+                    e = y - model.predict(bins)
+                    sums[m] += [len(y), y.sum(), (y**2).sum(), (e**2).sum()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), *[pa.array(c) for c in sums.T.copy()]], names=["m", "n", "s", "q", "e"])
 
     try:

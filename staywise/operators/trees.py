@@ -36,6 +36,7 @@ from staywise.operators.least_squares import _complete
 
 BINS, LEVELS = 32, 32
 CELLS = 1 << 22  # cells of weights and sums that a task holds at a time; more models than that grow in lots
+BLOCK = 1 << 15  # rows of one group that a block of binned rows holds at most
 ACCURACY = 10_000  # of the quantiles at which features are cut
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])  # Poisson(1), cumulated
 
@@ -49,7 +50,7 @@ class Cuts:
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         """The bin of each value: bin b holds values up to cut b."""
-        return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(self.features)], axis=1)
+        return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(self.features)]).T
 
 
 def cut_points(df: DataFrame, features: Sequence[str], label: str, bins: int = BINS, levels: int = LEVELS) -> Cuts:
@@ -92,19 +93,19 @@ class Tree:
         self.feature, self.bin = np.full(size, -1), np.zeros(size, int)
         self.value, self.gain = np.zeros(size), np.zeros(size)
 
+    def _spread(self, bins: np.ndarray, values: np.ndarray, i: int = 0):
+        """The value of the node each row of bins ends in: one comparison per inner node, column by column."""
+        if self.feature[i] < 0:
+            return values[i]
+        down = bins[:, self.feature[i]] > self.bin[i]
+        return np.where(down, self._spread(bins, values, 2 * i + 2), self._spread(bins, values, 2 * i + 1))
+
     def leaf(self, bins: np.ndarray) -> np.ndarray:
         """The node each row of bins ends in."""
-        node, rows = np.zeros(len(bins), int), np.arange(len(bins))
-        for _ in range(self.depth):
-            f = self.feature[node]
-            down = f >= 0
-            if not down.any():
-                break
-            node = np.where(down, 2 * node + 1 + (bins[rows, f] > self.bin[node]), node)
-        return node
+        return np.full(len(bins), self._spread(bins, np.arange(len(self.feature))))
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
-        return self.value[self.leaf(bins)]
+        return np.full(len(bins), self._spread(bins, self.value))
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,10 @@ def draw(keys: np.ndarray, seed: int | None) -> np.ndarray:
 
 
 def binned(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], cuts: Cuts, group: Column | None = None) -> DataFrame:
-    """(h, g, b, y): row hash, group, bins and label of the complete rows."""
+    """(g, n, h, b, y): blocks of ``n`` complete rows of one group, their hashes, bins and labels as bytes.
+
+    A pass over blocks costs what its sums cost: no row is turned into an Arrow row again.
+    """
     rows = df.filter(_complete([*features, label])).select(
         F.xxhash64(*keys).alias("h"),
         (F.lit(0) if group is None else group).cast("int").alias("g"),
@@ -136,19 +140,39 @@ def binned(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[st
         F.col(label).cast("double").alias("y"),
     )
 
+    def packed(g: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, b, y = (np.concatenate(a, axis=-1) for a in zip(*parts))
+        out = [pa.array([g], pa.int32()), pa.array([len(h)], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (h, b, y)]]
+        return pa.RecordBatch.from_arrays(out, names=["g", "n", "h", "b", "y"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
-            flat = cuts.bins(x).astype(np.int16).ravel()
-            b = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(features), dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), b, batch.column("y")], names=["h", "g", "b", "y"])
+            bins = cuts.bins(x).T.astype(np.int16)
+            h, g, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "y"))
+            for group in np.unique(g).tolist():
+                own = np.flatnonzero(g == group)
+                if size.get(group, 0) + len(own) > BLOCK:
+                    yield packed(group, held.pop(group))
+                    size[group] = 0
+                held.setdefault(group, []).append((h[own], bins[:, own], y[own]))
+                size[group] = size.get(group, 0) + len(own)
+        for group, parts in held.items():
+            yield packed(group, parts)
 
-    return rows.mapInArrow(run, "h long, g int, b array<short>, y double")
+    return rows.mapInArrow(run, "g int, n int, h binary, b binary, y binary")
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    b = batch.column("b").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g")), b, batch.column("y").to_numpy(zero_copy_only=False))
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, groups, bins (row, feature) and labels of each block; a block's rows are of one group."""
+    for g, n, *parts in zip(*(batch.column(c) for c in ("g", "n", "h", "b", "y"))):
+        n = n.as_py()
+        h, b, y = (np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, (np.int64, np.int16, np.float64)))
+        yield h, np.broadcast_to(np.int32(g.as_py()), n), b.reshape(-1, n).T, y
 
 
 #: Target of a model, given its number, the bins and the labels: the label itself, or a gradient.
@@ -240,23 +264,26 @@ def _splits(rows: DataFrame, models: Sequence[Model], trees: Sequence[Tree], cut
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = {m: width if models[m].criterion == "absolute" else 1 for m in own}
         held = {m: np.zeros((2, len(places) * features * b * levels[m])) for m, places in own.items()}
-        for batch in batches:
-            h, g, bins, y = _arrays(batch)
+        for h, g, bins, y in (block for batch in batches for block in _arrays(batch)):
             for m, places in own.items():
-                weight = draw(h, models[m].seed) * np.isin(g, list(models[m].groups))
-                node = trees[m].leaf(bins)
+                if int(g[0]) not in models[m].groups:
+                    continue
                 slot = np.full(len(trees[m].feature), -1)
                 slot[[i for i, _ in places]] = np.arange(len(places))
-                slot = slot[node]
-                take = np.flatnonzero((slot >= 0) & (weight > 0))
-                if not len(take):
-                    continue
-                wanted = target(m, bins[take], y[take])
-                w, s = weight[take], weight[take] * wanted
-                level = np.searchsorted(cuts.levels, wanted, side="left") if levels[m] > 1 else np.zeros(len(take), int)
+                slot = np.full(len(y), trees[m]._spread(bins, slot))
+                weight, x, t = draw(h, models[m].seed), bins, y
+                if models[m].seed is not None or (slot < 0).any():
+                    take = np.flatnonzero((slot >= 0) & (weight > 0))
+                    if not len(take):
+                        continue
+                    slot, weight, t = slot[take], weight[take], y[take]
+                    x = np.stack([bins[take, f] for f in range(features)]).T
+                wanted = target(m, x, t)
+                s = weight * wanted
+                level = np.searchsorted(cuts.levels, wanted, side="left") if levels[m] > 1 else 0
                 for f in range(features):
-                    code = ((slot[take] * features + f) * b + bins[take, f]) * levels[m] + level
-                    for i, weights in enumerate((w, s)):
+                    code = ((slot * features + f) * b + x[:, f]) * levels[m] + level
+                    for i, weights in enumerate((weight, s)):
                         held[m][i] += np.bincount(code, weights, held[m].shape[1])
         for m, places in own.items():
             full = np.flatnonzero(held[m][0])
@@ -381,17 +408,15 @@ def grid_forest(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            _, g, bins, y = _arrays(batch)
+        for _, g, bins, y in (block for batch in batches for block in _arrays(batch)):
+            f = int(g[0])
             for c in range(len(criteria)):
-                for f in np.unique(g).tolist():
-                    take = g == f
-                    at = (c * (folds + 1) + f) * most
-                    upto = np.cumsum([t.predict(bins[take]) for t in grown[at : at + most]], axis=0)
-                    for n in sizes:
-                        e, own = y[take] - upto[n - 1] / n, y[take]
-                        add = np.array([len(own), own.sum(), (own**2).sum(), (e**2).sum()])
-                        sums[c, f, n] = sums.get((c, f, n), 0) + add
+                at = (c * (folds + 1) + f) * most
+                upto = np.cumsum([t.predict(bins) for t in grown[at : at + most]], axis=0)
+                for n in sizes:
+                    e = y - upto[n - 1] / n
+                    add = np.array([len(y), y.sum(), (y**2).sum(), (e**2).sum()])
+                    sums[c, f, n] = sums.get((c, f, n), 0) + add
         out = [pa.array([k[i] for k in sums], pa.int32()) for i in range(3)] + [pa.array([float(v[i]) for v in sums.values()]) for i in range(4)]
         yield pa.RecordBatch.from_arrays(out, names=["c", "f", "t", "n", "s", "q", "e"])
 

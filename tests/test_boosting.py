@@ -95,6 +95,22 @@ def test_grouped_quantiles(spark, kind):
     assert got[:5] == pytest.approx([np.quantile(y[i::5], s) for i, s in enumerate(shares[:5])], rel=1e-12)
 
 
+def test_quantiles_take_few_passes_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = rng.normal(0, 1, 20_000)
+    cuts = tr.Cuts(((), (), ()), ())
+    rows = tr.binned(frame(spark, np.zeros((20_000, 3)), y, np.arange(20_000) % 2).coalesce(2), FEATURES, "y", ["id"], cuts, F.col("g")).cache()
+    assert rows.count() == 4  # one row per task and group, not per row
+    passes = []
+    kind = type(rows)
+    once = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: passes.append(1) or once(self, *a, **k))
+    monkeypatch.setattr(bo, "FINISH", 500)
+    got = bo.grouped_quantiles(rows, lambda g, bins, v: iter([(g, v)]), [0.5, 0.9], ([-10.0, -10.0], [10.0, 10.0]))
+    assert got == pytest.approx([np.quantile(y[0::2], 0.5), np.quantile(y[1::2], 0.9)], rel=1e-12)
+    assert len(passes) == 2  # one that counts, one that fetches what is left
+
+
 def test_grid(spark):
     x, y = data(400, 12)
     df = frame(spark, x, y, np.arange(400) % 3)

@@ -187,3 +187,18 @@ def test_value_cuts(spark):
     assert tr.value_cuts(frame(spark, x, y), FEATURES, "y") == exact_cuts(x, y)
     with pytest.raises(ValueError):
         tr.value_cuts(frame(spark, x, y), FEATURES, "y", 5)
+
+
+def test_leaves_by_columns():
+    rng = np.random.default_rng(12)
+    tree, bins = tr.Tree(4), rng.integers(0, 6, (500, 3))
+    tree.feature[:15] = rng.integers(-1, 3, 15)
+    tree.feature[0], tree.bin[:15], tree.value[:] = 1, rng.integers(0, 6, 15), rng.normal(0, 1, 31)
+    want = []
+    for row in bins:
+        i = 0
+        while tree.feature[i] >= 0:
+            i = 2 * i + 1 + (row[tree.feature[i]] > tree.bin[i])
+        want.append(i)
+    assert tree.leaf(bins).tolist() == want and tree.predict(np.asfortranarray(bins)).tolist() == tree.value[want].tolist()
+    assert tr.Tree(2).leaf(bins).tolist() == [0] * 500
