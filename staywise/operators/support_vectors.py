@@ -29,6 +29,8 @@ from pyspark.storagelevel import StorageLevel
 from staywise.operators.least_squares import _complete, moments
 
 SMOOTH = 1e-3
+BLOCK = 1 << 14  # rows of one group that are packed together
+LOT = 512  # rows whose weighted products are made at once
 STEPS, CLOSE = 60, 1e-4  # passes at most; fewer once no model's objective falls by this share
 
 
@@ -36,11 +38,15 @@ def standardised(features: Sequence[str], mean: Sequence[float], std: Sequence[f
     return [(F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(s) if s > 0 else 1.0) for f, m, s in zip(features, mean, std)]
 
 
+def fourier_draw(columns: int, gamma: float, size: int, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies (cosine, column) and phases of ``size`` random cosines."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, sqrt(2 * gamma), (size, columns)), rng.uniform(0, 2 * pi, size)
+
+
 def fourier_map(columns: Sequence[Column], gamma: float, size: int, seed: int = 2) -> list[Column]:
     """``size`` random cosines whose products approach the Gaussian kernel."""
-    rng = np.random.default_rng(seed)
-    frequency = rng.normal(0, sqrt(2 * gamma), (size, len(columns)))
-    phase = rng.uniform(0, 2 * pi, size)
+    frequency, phase = fourier_draw(len(columns), gamma, size, seed)
     out = []
     for w, p in zip(frequency.tolist(), phase.tolist()):
         angle = F.lit(p)
@@ -65,30 +71,92 @@ class Machine:
         return out
 
 
-def _sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray, groups: Sequence[frozenset[int]], epsilon: float, smooth: float) -> Iterator[pa.RecordBatch]:
+#: Frequencies and phases of random cosines, see :func:`fourier_draw`; None leaves the features as they are.
+Cosines = tuple[np.ndarray, np.ndarray] | None
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(g, n, z, y) blocks of rows (g, z, y): ``n`` rows of one group, their features and targets as bytes."""
+
+    def block(g: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        z, y = (np.concatenate(a) for a in zip(*parts))
+        out = [pa.array([g], pa.int32()), pa.array([len(y)], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (z, y)]]
+        return pa.RecordBatch.from_arrays(out, names=["g", "n", "z", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            g, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "y"))
+            for group in np.unique(g).tolist():
+                own = np.flatnonzero(g == group)
+                if sum(len(p[1]) for p in held.get(group, [])) + len(own) > BLOCK and group in held:
+                    yield block(group, held.pop(group))
+                held.setdefault(group, []).append((z[own], y[own]))
+        for group, parts in held.items():
+            yield block(group, parts)
+
+    return rows.select("g", "z", "y").mapInArrow(run, "g int, n int, z binary, y binary")
+
+
+def _lots(batches: Iterator[pa.RecordBatch], cosines: Cosines) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, features behind a column of ones, targets) of a few rows at a time."""
+    for batch in batches:
+        for g, n, z, y in zip(*(batch.column(c) for c in ("g", "n", "z", "y"))):
+            z, y = (np.frombuffer(c.as_buffer(), np.float64) for c in (z, y))
+            z = z.reshape(n.as_py(), -1)
+            for i in range(0, len(y), LOT):
+                x = z[i : i + LOT]
+                if cosines is not None:
+                    frequency, phase = cosines
+                    x = np.cos(x @ frequency.T + phase) * sqrt(2 / len(phase))
+                yield g.as_py(), np.c_[np.ones(len(x)), x], y[i : i + LOT]
+
+
+def _sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray, groups: Sequence[frozenset[int]], epsilon: float, smooth: float, cosines: Cosines = None) -> Iterator[pa.RecordBatch]:
     """Per model the products of the weighted rows, those with the targets, and the sum of the losses."""
     models, k = weights.shape
     products, targets, losses = np.zeros((models, k, k)), np.zeros((models, k)), np.zeros(models)
-    for batch in batches:
-        if not batch.num_rows:
+    own = {}
+    for g, x, t in _lots(batches, cosines):
+        if g not in own:
+            own[g] = np.array([m for m in range(models) if g in groups[m]], int)
+        mine = own[g]
+        if not len(mine):
             continue
-        z = np.c_[np.ones(batch.num_rows), batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)]
-        g, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "y"))
-        for m in range(models):
-            take = np.isin(g, list(groups[m]))
-            x, t = z[take], y[take]
-            r = t - x @ weights[m]
-            losses[m] += np.maximum(np.abs(r) - epsilon, 0).sum()
-            a, b = 1 / np.maximum(np.abs(r - epsilon), smooth), 1 / np.maximum(np.abs(r + epsilon), smooth)
-            weighted = x * ((a + b) / 2)[:, None]
-            products[m] += weighted.T @ x
-            targets[m] += weighted.T @ (t - epsilon * (a - b) / (a + b))
-    flat = np.concatenate([products.reshape(models, -1), targets, losses[:, None]], axis=1).ravel()
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
+        r = t - weights[mine] @ x.T
+        losses[mine] += np.maximum(np.abs(r) - epsilon, 0).sum(axis=1)
+        a, b = 1 / np.maximum(np.abs(r - epsilon), smooth), 1 / np.maximum(np.abs(r + epsilon), smooth)
+        # the products of all models from one product of matrices
+        weighted = x.T * ((a + b) / 2)[:, None, :]
+        products[mine] += (weighted.reshape(-1, len(t)) @ x).reshape(len(mine), k, k)
+        targets[mine] += (((a + b) * t - epsilon * (a - b)) / 2) @ x
+    flat = np.concatenate([products.reshape(models, -1), targets, losses[:, None]], axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(models)), pa.array([row.tobytes() for row in flat], pa.binary())], names=["m", "v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model's sums over the tasks, each task's numbers in one value."""
+    m, total = None, 0.0
+    for batch in batches:
+        for m, v in zip(batch.column("m"), batch.column("v")):
+            total = total + np.frombuffer(v.as_buffer())
+    yield pa.RecordBatch.from_arrays([pa.array([m.as_py()]), pa.array([total.tobytes()], pa.binary())], names=["m", "v"])
 
 
 def fit_machines(rows: DataFrame, models: Sequence[tuple[float, frozenset[int]]], features: int, epsilon: float, spread: float) -> list[Machine]:
     """One machine per (cost, groups of rows) over rows (g, z, y); ``spread`` is the label's standard deviation."""
+    blocks = packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(blocks, models, features, epsilon, spread)
+    finally:
+        blocks.unpersist()
+
+
+def _fit(blocks: DataFrame, models: Sequence[tuple[float, frozenset[int]]], features: int, epsilon: float, spread: float, cosines: Cosines = None) -> list[Machine]:
+    """The machines over packed rows, their features mapped in the passes: what is kept does not grow with the map."""
     k = features + 1
     weights = np.zeros((len(models), k))
     traces: list[list[float]] = [[] for _ in models]
@@ -97,10 +165,10 @@ def fit_machines(rows: DataFrame, models: Sequence[tuple[float, frozenset[int]]]
     penalty = np.diag(np.r_[0.0, np.ones(features)])
     for _ in range(STEPS):
         now = weights.copy()
-        parts = rows.mapInArrow(lambda b: _sums(b, now, [g for _, g in models], epsilon, smooth), "at long, v double")  # noqa: B023
+        parts = blocks.mapInArrow(lambda b: _sums(b, now, [g for _, g in models], epsilon, smooth, cosines), "m long, v binary")  # noqa: B023
         sums = np.zeros((len(models), k * k + k + 1))
-        for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():
-            sums.flat[r["at"]] = r["v"]
+        for r in parts.groupBy("m").applyInArrow(_added, "m long, v binary").collect():
+            sums[r["m"]] = np.frombuffer(r["v"])
         falls = False
         for m, (cost, _) in enumerate(models):
             value = float(now[m, 1:] @ now[m, 1:] / 2 + cost * sums[m, -1])
@@ -149,16 +217,18 @@ def grid_svr(
     complete = train.filter(_complete([*features, label]))
     everything = frozenset(range(folds))
     models = [(c, everything - {f}) for c in costs for f in range(folds + 1)]
-    scores, fitted = [], {}
-    for kernel, gamma in [("linear", None), *[("rbf", float(g)) for g in gammas]]:
+    scores, fitted, trained = [], {}, []
+    rows = complete.select(fold.cast("int").alias("g"), F.array(*z).alias("z"), F.col(label).cast("double").alias("y"))
+    blocks = packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for kernel, gamma in [("linear", None), *[("rbf", float(g)) for g in gammas]]:
+            cosines = None if gamma is None else fourier_draw(len(z), gamma, size, seed)
+            machines = _fit(blocks, models, len(z) if gamma is None else size, epsilon, float(std[-1]), cosines)
+            trained.append((kernel, gamma, machines, _errors(blocks, machines, folds, cosines)))
+    finally:
+        blocks.unpersist()
+    for kernel, gamma, machines, added in trained:
         mapped = z if gamma is None else fourier_map(z, gamma, size, seed)
-        rows = complete.select(fold.cast("int").alias("g"), F.array(*mapped).alias("z"), F.col(label).cast("double").alias("y"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            machines = fit_machines(rows, models, len(mapped), epsilon, float(std[-1]))
-            added = _errors(rows, machines, folds)
-        finally:
-            rows.unpersist()
         for i, cost in enumerate(costs):
             fitted[kernel, gamma, cost] = machines[i * (folds + 1) + folds], mapped
             own = []
@@ -177,24 +247,19 @@ def grid_svr(
     return MachineGrid(scores, dict(zip(("kernel", "gamma", "cost"), best)), machine.column(mapped), machine.trace)
 
 
-def _errors(rows: DataFrame, machines: Sequence[Machine], folds: int) -> dict[int, tuple[float, ...]]:
+def _errors(blocks: DataFrame, machines: Sequence[Machine], folds: int, cosines: Cosines) -> dict[int, tuple[float, ...]]:
     """Per machine: rows, sum, sum of squares and squared errors of the fold it was not fitted on; one pass."""
     weights = np.array([m.weights for m in machines])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(weights), 4))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = np.c_[np.ones(batch.num_rows), batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)]
-            g, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "y"))
+        for g, z, t in _lots(batches, cosines):
             for m, w in enumerate(weights):
-                take = g == m % (folds + 1)
-                t = y[take]
-                sums[m] += [len(t), t.sum(), (t**2).sum(), ((t - z[take] @ w) ** 2).sum()]
+                if g == m % (folds + 1):
+                    sums[m] += [len(t), t.sum(), (t**2).sum(), ((t - z @ w) ** 2).sum()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights))), *[pa.array(c) for c in sums.T.copy()]], names=["m", "n", "s", "q", "e"])
 
-    added = rows.mapInArrow(run, "m long, n double, s double, q double, e double").groupBy("m").agg(*[F.sum(c).alias(c) for c in "nsqe"])
+    added = blocks.mapInArrow(run, "m long, n double, s double, q double, e double").groupBy("m").agg(*[F.sum(c).alias(c) for c in "nsqe"])
     return {r["m"]: (r["n"], r["s"], r["q"], r["e"]) for r in added.collect() if r["n"]}
 
 

@@ -94,3 +94,19 @@ def test_no_rows_and_flat_labels(spark):
     machine, none = sv.fit_machines(rows_of(spark, x, np.full(30, 4.0)), [(1.0, frozenset({0})), (1.0, frozenset({9}))], 3, 0.1, 0.0)
     assert objective(x, np.full(30, 4.0), machine, 0.1) < 1e-6
     assert none.weights.tolist() == [0.0] * 4
+
+
+def test_passes_read_blocks_and_map_them_like_the_columns(spark, monkeypatch):
+    x, y = data(500, 4, "curve")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    plain = rows_of(spark, z, y, np.arange(500) % 2)
+    blocks = sv.packed(plain)
+    assert blocks.count() == 3 * 2  # a row per task and group
+    columns = [F.col("z")[i] for i in range(3)]
+    mapped = plain.select("g", F.array(*sv.fourier_map(columns, 0.3, 20)).alias("z"), "y").cache()
+    models = [(1.0, frozenset({0})), (10.0, frozenset({0, 1}))]
+    want = sv.fit_machines(mapped, models, 20, 0.1, y.std())
+    monkeypatch.setattr(sv, "LOT", 64)
+    got = sv._fit(blocks, models, 20, 0.1, y.std(), sv.fourier_draw(3, 0.3, 20))
+    for a, b in zip(got, want):
+        np.testing.assert_allclose(a.trace, b.trace, rtol=1e-9)
