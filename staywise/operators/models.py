@@ -245,13 +245,22 @@ def submodels(
 def split_model(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str, threshold: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Short labels by regression, long ones by classification (R12): two metric frames."""
+    """Short labels by regression, long ones by classification (R12): two metric frames of one row.
+
+    Both sides are made once and kept for the many passes, which would each join, and broadcast, anew.
+    """
     short = F.col(label) <= threshold
-    regressor = fit(train.filter(short), features, LinearRegression(labelCol=label))
-    errors = regression_metrics(regressor.transform(test.filter(short)), label, "prediction")
-    flag = (~short).cast("double").alias("is_long")
-    classifier = fit(train.select("*", flag), features, LogisticRegression(labelCol="is_long", maxIter=50))
-    rates = classifier_scores(classifier.transform(test.select("*", flag)), "is_long")
+    train, test = (rows.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK) for rows in (train, test))
+    try:
+        regressor = fit(train.filter(short), features, LinearRegression(labelCol=label))
+        errors = regression_metrics(regressor.transform(test.filter(short)), label, "prediction")
+        flag = (~short).cast("double").alias("is_long")
+        classifier = fit(train.select("*", flag), features, LogisticRegression(labelCol="is_long", maxIter=50))
+        rates = classifier_scores(classifier.transform(test.select("*", flag)), "is_long")
+        errors, rates = (train.sparkSession.createDataFrame(f.collect(), f.schema) for f in (errors, rates))
+    finally:
+        train.unpersist()
+        test.unpersist()
     return errors, rates
 
 
