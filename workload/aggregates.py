@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from staywise.functions import codes
 from staywise.operators import stats, stays, transitions
-from workload.base import Tables, query, with_fx, with_sales
+from workload.base import Tables, dealt, query, with_fx, with_sales
 from workload.filters import CODE_FLAGS_SQL, CODE_RULES
 
 ORDER_BINS = (("urgent", ("urgent",)), ("high", ("high", "medium")), ("low", ("low",)))
@@ -414,7 +414,8 @@ def tail_compare(t):
 def union_branches(t):
     from staywise.functions.times import age_in_years
 
-    ages = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines, orders = dealt(t.lineitem, "l_orderkey", t.orders, "o_orderkey")
+    ages = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", age_in_years("o_orderdate", "l_shipdate").alias("age")
     )
     young = ages.filter(F.col("age") <= 5)

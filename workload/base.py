@@ -137,6 +137,17 @@ class Tables:
         )
 
 
+TASK_ROWS = 1_000_000  # of both sides of a join that one task sorts
+
+
+def dealt(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by key, over more partitions than the session's where a task would sort more than ``TASK_ROWS`` rows."""
+    wanted = -(-(left.count() + right.count()) // TASK_ROWS)
+    if wanted <= int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return left, right
+    return left.repartition(wanted, left_key), right.repartition(wanted, right_key)
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a function of :class:`Tables` under its own name."""
 
@@ -153,6 +164,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 __all__ = [
-    "EXCLUDED", "HANDOFF_UNITS", "ORACLES", "QUERIES", "Tables", "UNITS", "UNIT_CODES", "WINDOW_DAYS", "query",
+    "EXCLUDED", "HANDOFF_UNITS", "ORACLES", "QUERIES", "Tables", "UNITS", "UNIT_CODES", "WINDOW_DAYS", "dealt", "query",
     "with_fx", "with_sales",
 ]
