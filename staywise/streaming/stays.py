@@ -1,6 +1,7 @@
 """Stays from a stream of unit events: a stateful sessionisation behind a watermark.
 
-Events may arrive in any order within ``delay``. Per entity the state holds the events that the watermark has not
+Events may arrive in any order within ``delay``. Entities are dealt into ``BUCKETS`` groups, whose state holds that of
+their entities: a batch starts a worker function per group, not per entity. Per entity the state holds the events that the watermark has not
 passed, so at most those of one delay, and of the open stay its sums: nothing grows with the length of a stay or the
 number of stays. Once the watermark passes an event it is taken in the order of (time, event) and either goes on with
 the open stay or closes it. A stay whose gap the watermark has passed is closed by a timeout, without a further event.
@@ -26,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "entity_id long, admission_id long, stay_id long, stay_in long, stay_out long, n_transfers long, sum_value double, n_values long"
 HOUR = 3_600_000_000  # microseconds
+BUCKETS = 2048
 
 
 class OpenStay:
@@ -70,38 +72,46 @@ class OpenStay:
 
 def stays_from_stream(events: DataFrame, delay: str = "1 hour", stay_hours: float = 12, admission_hours: float = 24) -> DataFrame:
     """Closed stays of a stream of (event_id, entity_id, ts, unit, value); a unit of '' or NULL is none."""
+    bucket = F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)).alias("bucket")
     clean = events.filter("entity_id is not null and ts is not null").select(
-        "entity_id", "event_id", "ts", F.unix_micros("ts").alias("at"), (F.coalesce("unit", F.lit("")) != "").alias("unit"), F.col("value").cast("double").alias("value")
+        bucket, "entity_id", "event_id", "ts", F.unix_micros("ts").alias("at"), (F.coalesce("unit", F.lit("")) != "").alias("unit"), F.col("value").cast("double").alias("value")
     )
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"wait": [], "open": None}
-        wait = [tuple(e) for e in kept["wait"]]
+        entities = {e: (wait, now) for e, wait, now in json.loads(state.get[0])} if state.exists else {}
+        new: dict[int, list] = {}
         for part in parts:
-            for at, event, unit, value in zip(part["at"], part["event_id"], part["unit"], part["value"]):
-                wait.append((int(at), int(event), bool(unit), None if pd.isna(value) else float(value)))
-        passed = state.getCurrentWatermarkMs() * 1000
-        wait.sort(key=lambda e: e[:2])
-        stay, rows = OpenStay(stay_hours, admission_hours, kept["open"]), []
-        ready = sum(e[0] < passed for e in wait)
-        for event in wait[:ready]:
-            rows.append(stay.add(*event))
-        wait, ends = wait[ready:], stay.ends()
-        if not wait and ends is not None and ends < passed:
-            rows.append(stay.close())
-            state.remove()
-        else:
-            state.update((json.dumps({"wait": wait, "open": stay.now}),))
+            for entity, at, event, unit, value in zip(*(part[c].tolist() for c in ("entity_id", "at", "event_id", "unit", "value"))):
+                new.setdefault(int(entity), []).append((int(at), int(event), bool(unit), None if pd.isna(value) else float(value)))
+        mark = state.getCurrentWatermarkMs()
+        passed, kept, rows, wake = mark * 1000, [], [], None
+        for entity in entities.keys() | new.keys():
+            wait, now = entities.get(entity, ([], None))
+            if entity in new:
+                wait = sorted([*map(tuple, wait), *new[entity]], key=lambda e: e[:2])
+            stay = OpenStay(stay_hours, admission_hours, now)
+            ready = sum(e[0] < passed for e in wait)
+            for event in wait[:ready]:
+                rows.append((entity, stay.add(*event)))
+            wait, ends = wait[ready:], stay.ends()
+            if not wait and ends is not None and ends < passed:
+                rows.append((entity, stay.close()))
+                continue
+            kept.append((entity, wait, stay.now))
             # wake when the watermark passes the first waiting event, or the end of what is open
-            wake = min([e[0] for e in wait[:1]] + [t for t in (ends,) if t is not None], default=passed)
-            state.setTimeoutTimestamp(max(wake // 1000, state.getCurrentWatermarkMs()) + 1)
-        rows = [(key[0], *r) for r in rows if r is not None]
+            wake = min([t for t in (wake, ends) if t is not None] + [e[0] for e in wait[:1]], default=None)
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(max((passed if wake is None else wake) // 1000, mark) + 1)
+        elif state.exists:
+            state.remove()
+        rows = [(entity, *r) for entity, r in rows if r is not None]
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     closed = (
         clean.withWatermark("ts", delay)
-        .groupBy("entity_id")
+        .groupBy("bucket")
         .applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout)
     )
     return closed.withColumns({c: F.timestamp_micros(c) for c in ("stay_in", "stay_out")})
@@ -121,9 +131,10 @@ def run_to_end(stays: DataFrame, folder: str) -> DataFrame:
     return stays.sparkSession.read.schema(stays.schema).parquet(out)
 
 
-def event_files(spark: SparkSession, folder: str, schema, files: int) -> DataFrame:
-    """The stream of a folder's Parquet files, ``files`` at a time in the order of their arrival."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+def event_files(spark: SparkSession, folder: str, schema, files: int | None = None) -> DataFrame:
+    """The stream of a folder's Parquet files, ``files`` at a time in the order of their arrival, or all there are."""
+    stream = spark.readStream.schema(schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(folder)
 
 
 # worker functions travel by value: executors need no copy of this package
