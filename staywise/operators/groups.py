@@ -8,6 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staywise.session import reliable_checkpoint
+
+MOST_HITS = 100_000  # close tokens that are sent to all tasks
+
 
 @dataclass(frozen=True)
 class KeywordGroup:
@@ -249,16 +253,22 @@ def fuzzy_tokens(
     index = [(g, w, len(w)) for w in dict.fromkeys(keywords) for g in _word_grams(w)]
     words = df.sparkSession.createDataFrame(index, "gram string, word string, b int")
     least, most = min(map(len, keywords)) * cutoff / (2 - cutoff), max(map(len, keywords)) * (2 - cutoff) / cutoff
-    sized = vocabulary.filter(F.length("token").between(least - 1e-9, most + 1e-9))
+    lengths = [(a, w, len(w)) for a in range(int(least), int(most) + 2) for w in dict.fromkeys(keywords) if 2 * min(a, len(w)) >= (cutoff - 1e-9) * (a + len(w))]
+    fitting = df.sparkSession.createDataFrame(lengths, "a int, word string, b int")
+    # the edits of a pair cost far less than a token's characters, so they sift first
+    near = vocabulary.select("token", F.length("token").alias("a")).join(F.broadcast(fitting), "a").filter(
+        F.levenshtein(F.col("token"), F.col("word")) <= F.lit(1 - cutoff + 1e-9) * (F.col("a") + F.col("b"))
+    )
     shared = (
-        sized.select("token", F.length("token").alias("a"), F.explode(_grams(F.col("token"))).alias("gram"))
-        .join(F.broadcast(words), "gram")
+        near.select("token", "a", "word", F.explode(_grams(F.col("token"))).alias("gram"))
+        .join(F.broadcast(words), ["gram", "word"])
         .groupBy("token", "word", "a", "b")
         .agg(F.count("*").alias("shared"))
     )
     size = F.col("a") + F.col("b")
     met = shared.filter(2 * F.col("shared") >= F.lit(cutoff - 1e-9) * size)
-    met = met.filter(F.levenshtein(F.col("token"), F.col("word")) <= F.lit(1 - cutoff + 1e-9) * size)
+    # written first: the optimizer would move the ratio, which only reads the keys, below the count that sifts the pairs
+    met = reliable_checkpoint(met.select("token", "word"))
     close = met.filter(similarity(F.col("token"), F.col("word")) >= cutoff)
     return close.select("token").distinct()
 
@@ -266,8 +276,13 @@ def fuzzy_tokens(
 def fuzzy_rows(
     df: DataFrame, key: str, text: str, keywords: Sequence[str], cutoff: float = 0.8, method: str = "ratio"
 ) -> DataFrame:
-    """Rows with a token close to any keyword; the hit list joins back by token."""
-    hits = fuzzy_tokens(df, text, keywords, cutoff, method)
+    """Rows with a token close to any keyword; the hit list joins back by token.
+
+    The list is made once; while it is short it goes to the rows, so that no token of a text is shuffled.
+    """
+    hits = reliable_checkpoint(fuzzy_tokens(df, text, keywords, cutoff, method))
+    if hits.limit(MOST_HITS + 1).count() <= MOST_HITS:
+        hits = F.broadcast(hits)
     keys = df.select(key, F.explode(F.array_distinct(tokens(text))).alias("token")).join(
         hits, "token", "left_semi"
     )
