@@ -7,18 +7,25 @@ scores them all, so a step costs as many passes as Lloyd's rounds take, whatever
 The silhouette uses plain Euclidean distances. The mean distance from a row to a cluster is taken over the cluster's
 anchors: all of its rows while it has at most ``anchors`` of them, so the result is exact; else the rows whose hash
 falls below the share that leaves about that many. The estimate's standard error is reported beside it.
+
+Without anchors (``anchors=None``) the silhouette of a given clustering counts every pair of rows, whatever the sizes:
+rows are sorted by cluster and cut into blocks of bounded size, and each pair of blocks meets in one task, which
+measures its distances once for both sides. A few numbers per row leave the task, however many clusters there are: the
+least mean distance to the clusters that lie whole in the other block, and the sums to those that blocks share.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from math import ceil, fsum, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -31,6 +38,9 @@ ANCHORS = 1000  # rows per cluster that stand for it; the driver and each task h
 LOT = 512  # rows whose distances to a cluster's anchors are held at once
 PAIRS = 1 << 20  # pairs of a row and an anchor that a task holds at a time
 CLOSE = 1e-6  # squared distances below this share of the vectors' squares are taken from the differences
+BLOCK_VALUES = 1 << 21  # numbers in a block of rows at most; a task holds two blocks
+LEAST_ROWS = 512  # rows per block below which blocks are not made smaller
+TASKS = 4  # pairs of blocks per core that are wanted at least
 
 
 def _points(batch: pa.RecordBatch) -> np.ndarray:
@@ -87,14 +97,22 @@ class Silhouette:
     n_rows: int
 
 
-def _distances(x: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+def _ready(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_distances`` makes of the anchors first, for use with many lots of rows."""
+    return (anchors**2).sum(axis=1), -2 * anchors.T
+
+
+def _distances(x: np.ndarray, anchors: np.ndarray, ready: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Euclidean distances from each row to each anchor; memory for the pairs, whatever the number of columns.
 
     The squares come from a product of matrices; where that would cost digits, from the differences.
     """
-    squares = (x**2).sum(axis=1)[:, None] + (anchors**2).sum(axis=1)
-    d = x @ (-2 * anchors.T)
+    own, turned = ready or _ready(anchors)
+    squares = (x**2).sum(axis=1)[:, None] + own
+    d = x @ turned
     d += squares
+    if d.size and d.min() > CLOSE * squares.max():
+        return np.sqrt(d, out=d)
     step = max(1, PAIRS // max(x.shape[1], 1))
     rows, cols = np.nonzero(~(d > CLOSE * squares))
     for i in range(0, len(rows), step):
@@ -120,11 +138,16 @@ def _silhouettes(x: np.ndarray, own: np.ndarray, is_anchor: np.ndarray, anchors:
     mean[rows, own] = np.inf
     other = mean.argmin(axis=1)
     b, b_var = mean[rows, other], var[rows, other]
+    score, alone, top = _score(a, b)
+    return score, np.where(alone, 0.0, a_var + b_var) / top**2
+
+
+def _score(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Silhouettes from the mean distances to the own and the nearest other cluster, which rows have none, and what they are divided by."""
     alone = ~np.isfinite(a) | ~np.isfinite(b)  # the only row of its cluster, or the only cluster
     top = np.where(alone, 1.0, np.maximum(a, b))
     top = np.where(top > 0, top, 1.0)
-    score = np.where(alone, 0.0, (np.where(alone, 0, b) - np.where(alone, 0, a)) / top)
-    return score, np.where(alone, 0.0, a_var + b_var) / top**2
+    return np.where(alone, 0.0, (np.where(alone, 0, b) - np.where(alone, 0, a)) / top), alone, top
 
 
 def silhouettes(rows: DataFrame, cluster, count: int, most: int, anchors: int = ANCHORS) -> list[Silhouette]:
@@ -183,8 +206,16 @@ def silhouettes(rows: DataFrame, cluster, count: int, most: int, anchors: int =
     return [Silhouette(out[s]["v"] / out[s]["n"], out[s]["e"] / out[s]["n"], int(out[s]["n"])) if s in out else Silhouette(None, 0.0, 0) for s in range(count)]
 
 
-def silhouette_of(df: DataFrame, features: Column, cluster: Column, keys: Sequence[str], clusters: int, anchors: int = ANCHORS) -> Silhouette:
-    """Silhouette of a given clustering, numbers from 0 on, over an array column."""
+def silhouette_of(
+    df: DataFrame, features: Column, cluster: Column, keys: Sequence[str], clusters: int | None, anchors: int | None = ANCHORS
+) -> Silhouette:
+    """Silhouette of a given clustering, numbers from 0 on, over an array column.
+
+    ``anchors`` None: exact, from all pairs of rows; then any numbers do, ``clusters`` is not asked, and rows without a
+    cluster or a vector count 0.
+    """
+    if anchors is None:
+        return _of_all_pairs(df, features, cluster, keys)
     rows = df.select(hash_unit("anchor", *keys).alias("u"), features.cast("array<double>").alias("x"), cluster.cast("int").alias("c"))
 
     def own(batch: pa.RecordBatch):
@@ -193,6 +224,197 @@ def silhouette_of(df: DataFrame, features: Column, cluster: Column, keys: Sequen
     return silhouettes(rows, own, 1, clusters, anchors)[0]
 
 
+# --- all pairs ---------------------------------------------------------------
+
+
+@dataclass
+class Seen:
+    """What the clusters of another block are to the rows of this one.
+
+    ``shared``: rows of each cluster that several blocks share; all others lie whole in one block.
+    """
+
+    c: np.ndarray
+    shared: Mapping[int, int]
+    best: np.ndarray = field(init=False)
+    own: np.ndarray = field(init=False)
+    sums: dict[int, np.ndarray] = field(init=False)
+
+    def __post_init__(self):
+        self.best, self.own, self.sums = np.full(len(self.c), np.inf), np.zeros(len(self.c)), {}
+
+    def rows(self, part: slice, names: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> None:
+        """Some rows' sums of distances to all clusters of the other block, names ascending."""
+        whole = np.ones(len(names), bool)
+        for at in {0, len(names) - 1}:  # only the first and the last can be shared
+            name = int(names[at])
+            if name in self.shared:
+                whole[at] = False
+                self.sums.setdefault(name, np.zeros(len(self.c)))[part] = sums[:, at]
+        if not whole.any():
+            return
+        mean = sums / sizes
+        mean[:, ~whole] = np.inf
+        at = np.searchsorted(names, self.c[part]).clip(max=len(names) - 1)
+        mine = np.flatnonzero((names[at] == self.c[part]) & whole[at])
+        self.own[part][mine] = sums[mine, at[mine]]
+        mean[mine, at[mine]] = np.inf
+        np.minimum(self.best[part], mean.min(axis=1), out=self.best[part])
+
+    def cluster(self, name: int, size: int, sums: np.ndarray) -> None:
+        """All rows' sums of distances to one cluster, none of whose rows lies here unless it is shared."""
+        if name in self.shared:
+            self.sums[name] = sums
+        else:
+            np.minimum(self.best, sums / size, out=self.best)
+
+
+def _first(c: np.ndarray) -> np.ndarray:
+    """Where each cluster's rows begin."""
+    return np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+
+
+def meet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, shared: Mapping[int, int]) -> tuple[Seen, Seen | None]:
+    """What two blocks (clusters ascending, vectors) are to each other, or a block to itself; each distance is measured once."""
+    c, x = a
+    to, y = b or a
+    mine, theirs = Seen(c, shared), Seen(to, shared) if b else None
+    starts, lot, ready = _first(to), max(1, PAIRS // len(to)), _ready(y)
+    names, sizes = to[starts], np.diff(np.r_[starts, len(to)])
+    now, size, added = None, 0, None  # a cluster goes on into the next lot
+    for i in range(0, len(c), lot):
+        part = slice(i, min(i + lot, len(c)))
+        d = _distances(x[part], y, ready)
+        mine.rows(part, names, sizes, np.add.reduceat(d, starts, axis=1))
+        if theirs is None:
+            continue
+        ends = np.r_[_first(c[part]), len(d)].tolist()
+        for start, stop in zip(ends, ends[1:]):
+            name, n, sums = int(c[i + start]), stop - start, d[start:stop].sum(axis=0)
+            if name == now:
+                size, added = size + n, added + sums
+                continue
+            if now is not None:
+                theirs.cluster(now, size, added)
+            now, size, added = name, n, sums
+    if theirs is not None:
+        theirs.cluster(now, size, added)
+    return mine, theirs
+
+
+def _of_all_pairs(df: DataFrame, features: Column, cluster: Column, keys: Sequence[str]) -> Silhouette:
+    c, x = cluster.cast("long"), features.cast("array<double>")
+    rows = df.select(c.alias("c"), x.alias("x"), F.xxhash64(*keys, x).alias("h"))
+    whole = F.col("c").isNotNull() & F.col("x").isNotNull()
+    facts = rows.agg(F.count("*").alias("all"), F.count_if(whole).alias("n"), F.max(F.size("x")).alias("width")).first()
+    if not facts["n"]:
+        return Silhouette(0.0 if facts["all"] else None, 0.0, facts["all"])
+    # more blocks than their size asks for, so that every core gets pairs; 1.25: ranges are only about equal
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    most = max(1, BLOCK_VALUES // max(facts["width"], 1))
+    parts = max(ceil(1.25 * facts["n"] / most), min(ceil(sqrt(2 * TASKS * cores)), ceil(facts["n"] / LEAST_ROWS)))
+    most = min(most, ceil(1.25 * facts["n"] / parts))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed() -> pa.RecordBatch:
+            c, x = (np.concatenate(a) for a in zip(*held))
+            out = [pa.array([v], pa.int64()) for v in (part, at, c[0], (c == c[0]).sum(), c[-1], (c == c[-1]).sum())]
+            return pa.RecordBatch.from_arrays([*out, *[pa.array([a.tobytes()], pa.binary()) for a in (c, x)]], names=kinds)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, x = batch.column("c").to_numpy(), _points(batch)
+            start = 0
+            while start < len(c):
+                stop = min(len(c), start + most - size)
+                held.append((c[start:stop], x[start:stop]))
+                size, start = size + stop - start, stop
+                if size == most:
+                    yield packed()
+                    at, held, size = at + 1, [], 0
+        if held:
+            yield packed()
+
+    kinds = ["p", "i", "low", "n_low", "high", "n_high", "c", "x"]
+    ranged = rows.filter(whole).repartitionByRange(parts, "c", "h").sortWithinPartitions("c", "h").select("c", "x")
+    blocks = ranged.mapInArrow(cut, ", ".join(f"{k} {'binary' if k in 'cx' else 'long'}" for k in kinds)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        edges = blocks.select(*kinds[:-2]).collect()
+        met = _met(blocks, edges)
+        scored = sorted((r["to"], r["n"], r["v"]) for r in met.collect())
+    finally:
+        blocks.unpersist()
+    if sum(n for _, n, _ in scored) != facts["n"]:
+        raise RuntimeError("the blocks do not hold all rows")
+    return Silhouette(fsum(v for _, _, v in scored) / facts["all"], 0.0, facts["all"])
+
+
+def _met(blocks: DataFrame, edges: Sequence[Row]) -> DataFrame:
+    """(to, n, v): rows and sum of silhouettes of each block."""
+    count = len(edges)
+    each = Counter(r["p"] for r in edges)
+    before = np.cumsum([0, *(each[p] for p in range(max(each) + 1))])[:-1].tolist()
+    held = [pair for r in edges for pair in {(r["low"], r["n_low"]), (r["high"], r["n_high"])}]
+    rows, times = Counter(), Counter(name for name, _ in held)
+    for name, n in held:
+        rows[name] += n
+    shared = {name: rows[name] for name, k in times.items() if k > 1}
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+        for batch in batches:
+            for task, b, c, x in zip(batch.column("task").to_pylist(), batch.column("b").to_pylist(), batch.column("c"), batch.column("x")):
+                own = np.frombuffer(c.as_buffer(), np.int64)
+                here = waiting.setdefault(task, [])
+                here.append((b, (own, np.frombuffer(x.as_buffer()).reshape(len(own), -1))))
+                alone = task == b * (b + 3) // 2  # the block and itself
+                if not alone and len(here) < 2:
+                    continue
+                (i, first), (j, second) = here[0], here[-1]
+                del waiting[task]
+                for to, other, seen in zip((i, j), (j, i), meet(first, None if alone else second, shared)):
+                    if seen is not None:
+                        out = [pa.array([to]), pa.array([other]), pa.array([seen.best.tobytes()], pa.binary())]
+                        out += [pa.array([a.tobytes() if alone else None], pa.binary()) for a in (seen.c, seen.own)]
+                        out += [pa.array([list(seen.sums)], pa.list_(pa.int64())), pa.array([[s.tobytes() for s in seen.sums.values()]], pa.list_(pa.binary()))]
+                        yield pa.RecordBatch.from_arrays(out, names=["to", "other", "best", "c", "own", "names", "sums"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            to, near = r["to"], np.frombuffer(r["best"])
+            best[to] = np.minimum(best[to], near) if to in best else near
+            if r["c"] is not None:
+                own[to] = np.frombuffer(r["c"], np.int64), np.frombuffer(r["own"])
+            sums.setdefault(to, []).extend((name, r["other"], np.frombuffer(s)) for name, s in zip(r["names"], r["sums"]))
+        for to, (c, same) in own.items():
+            names, at, sizes = np.unique(c, return_inverse=True, return_counts=True)
+            size, same, near = sizes[at], same.copy(), best[to].copy()
+            added: dict[int, np.ndarray] = {}
+            for name, _, s in sorted(sums[to], key=lambda s: s[:2]):  # so that the last digits do not depend on the tasks' order
+                added[name] = added[name] + s if name in added else s
+            for name, s in added.items():
+                mine = c == name
+                same[mine], size[mine] = s[mine], shared[name]
+                near[~mine] = np.minimum(near[~mine], s[~mine] / shared[name])
+            a = np.divide(same, size - 1, out=np.full(len(c), np.inf), where=size > 1)  # a row is no neighbour of itself
+            yield pa.RecordBatch.from_arrays([pa.array([to]), pa.array([len(c)]), pa.array([_score(a, near)[0].sum()])], names=["to", "n", "v"])
+
+    b = F.element_at(F.array(*map(F.lit, before)), (F.col("p") + 1).cast("int")) + F.col("i")
+    sent = blocks.select(b.cast("long").alias("b"), "c", "x").select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("o"))
+    high = F.greatest("b", "o")
+    sent = sent.select("b", "c", "x", (F.floor(high * (high + 1) / 2) + F.least("b", "o")).cast("int").alias("task"))
+    seen = sent.repartitionById(count * (count + 1) // 2, "task").mapInArrow(
+        pairs, "to long, other long, best binary, c binary, own binary, names array<long>, sums array<binary>"
+    )
+    return seen.repartitionById(count, F.col("to").cast("int")).mapInArrow(score, "to long, n long, v double")
+
+
 def select_by_silhouette(
     train: DataFrame, features: Sequence[str], start: str, most: int, keys: Sequence[str], k: int = 2, rounds: int = ROUNDS, anchors: int = ANCHORS
 ) -> list[tuple[str, float | None, float]]:

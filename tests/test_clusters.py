@@ -3,10 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from staywise.operators import clusters as cl
+from workload import QUERIES
 
 
 def brute(x, own):
@@ -55,6 +57,60 @@ def test_anchors_estimate_within_their_error(spark):
     assert 0 < got.error < 0.1 and abs(got.score - want) < 4 * got.error
 
 
+@pytest.mark.parametrize("rows", [7, 40, 1000])
+@pytest.mark.parametrize("case", ["groups", "one row alone", "one cluster", "copies", "many clusters", "numbers of any kind", "whole rows twice"])
+def test_all_pairs_count_without_anchors(spark, monkeypatch, case, rows):
+    monkeypatch.setattr(cl, "BLOCK_VALUES", rows * 4)
+    monkeypatch.setattr(cl, "PAIRS", 64)
+    rng = np.random.default_rng(12)
+    own = rng.integers(0, 60 if case == "many clusters" else 3, 150)
+    x = rng.normal(0, 1, (150, 4)) + own[:, None]
+    if case == "one row alone":
+        own[0] = 3
+    if case == "one cluster":
+        own[:] = 0
+    if case == "copies":
+        x[:] = x[0]
+    if case == "numbers of any kind":
+        own = np.array([-5, 7, 100_000])[own]
+    df = frame(spark, x, own)
+    if case == "whole rows twice":
+        x, own, df = np.r_[x, x], np.r_[own, own], df.union(df)
+    got = measured(df, None, None)
+    assert got.n_rows == len(x) and got.error == 0.0
+    assert got.score == pytest.approx(brute(x, own), rel=1e-9, abs=1e-12)
+
+
+def test_all_pairs_rows_without_cluster_or_vector_count_zero(spark):
+    rng = np.random.default_rng(13)
+    own = rng.integers(0, 3, 60)
+    x = rng.normal(0, 1, (60, 2)) + own[:, None]
+    odd = spark.createDataFrame([(100, [1.0, 1.0], None), (101, None, 1), (102, None, None)], "id long, x array<double>, c int")
+    got = measured(frame(spark, x, own).union(odd), None, None)
+    assert got.n_rows == 63 and got.score == pytest.approx(brute(x, own) * 60 / 63, rel=1e-9)
+    assert measured(odd, None, None) == cl.Silhouette(0.0, 0.0, 3)
+    assert measured(odd.limit(0), None, None) == cl.Silhouette(None, 0.0, 0)
+
+
+def test_silhouette_by_label_measures_every_pair(spark, tmp_path):
+    """More rows in a label than any anchors: on a line the exact sums come from the sorted values."""
+    rng = np.random.default_rng(14)
+    own = np.repeat([0, 1], [11_000, 10_500])
+    x = (rng.normal(0, 1, len(own)) + own).astype("float32")
+    pd.DataFrame({"vec_id": np.arange(len(own)), "embedding": [[v] for v in x], "label": own.astype("int32")}).to_parquet(tmp_path / "embeddings.parquet")
+
+    def sums(to):
+        to = np.sort(to.astype(float))
+        upto, at = np.r_[0, np.cumsum(to)], np.searchsorted(to, x)
+        return x * at - upto[at] + (upto[-1] - upto[at]) - x * (len(to) - at)
+
+    each = np.stack([sums(x[own == c]) for c in (0, 1)], axis=1)
+    rows, size = np.arange(len(own)), np.bincount(own)
+    a, b = each[rows, own] / (size[own] - 1), each[rows, 1 - own] / size[1 - own]
+    (got,) = QUERIES["silhouette_by_label"](spark, str(tmp_path)).collect()
+    assert got["n_rows"] == len(own) and got["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=6e-7)
+
+
 def test_memory_follows_the_pairs_not_the_columns():
     rng = np.random.default_rng(8)
     x, anchors = rng.normal(0, 1, (100, 64)), rng.normal(0, 1, (2000, 64))

@@ -161,8 +161,7 @@ def _two_means(rows):
 )
 def silhouette_by_label(t):
     """Euclidean silhouette of the vectors grouped by their label."""
-    numbers = t.embeddings.agg(F.max("label")).first()[0] + 1
-    found = clusters.silhouette_of(t.embeddings, F.col("embedding"), F.col("label"), ["vec_id"], numbers, anchors=10_000)
+    found = clusters.silhouette_of(t.embeddings, F.col("embedding"), F.col("label"), ["vec_id"], None, anchors=None)
     out = t.spark.createDataFrame([(found.n_rows, found.score)], "n_rows long, silhouette double")
     return out.withColumn("silhouette", F.bround("silhouette", 6))
 
