@@ -200,17 +200,33 @@ def classifier_scores(predicted: DataFrame, label: str) -> DataFrame:
 def scoreboard(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str, models: Mapping[str, Estimator]
 ) -> DataFrame:
-    """Test metrics, one row per model."""
-    out = None
+    """Test metrics, one row per model.
+
+    Both sides are read once: all models are fitted on the same standardised rows, and the test rows are kept with the
+    predictions of all of them, so that the passes of the metrics neither join nor predict anew.
+    """
     train = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for name, estimator in models.items():
-            fitted = fit(train, features, estimator)
-            row = regression_metrics(fitted.transform(test), label, "prediction").withColumn("model", F.lit(name))
-            out = row if out is None else out.unionByName(row)
+        preparation = Pipeline(stages=assembled(features)).fit(train)
+        vectors = preparation.transform(train).select("features", label)
+        fitted = [estimator.fit(vectors) for estimator in models.values()]
     finally:
         train.unpersist()
-    return out
+    scored, guesses = preparation.transform(test.select(*features, label)).select("features", label), []
+    for i, (name, model) in enumerate(zip(models, fitted)):
+        scored = model.transform(scored).withColumnRenamed("prediction", f"_p{i}")
+        guesses.append(F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("prediction")))
+    scored = scored.drop("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        each = scored.select(label, F.inline(F.array(*guesses)))
+        metrics = regression_metrics(each, label, "prediction", ["model"])
+        metrics = metrics.select(*[c for c in metrics.columns if c != "model"], "model")
+        found = {r["model"]: r for r in metrics.collect()}
+    finally:
+        scored.unpersist()
+    # without test rows a model still has its row
+    none = (0, *[None] * (len(metrics.columns) - 2))
+    return test.sparkSession.createDataFrame([found.get(name, (*none, name)) for name in models], metrics.schema)
 
 
 def submodels(

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from staywise.operators import groups, models
@@ -26,6 +27,40 @@ def test_split_model_makes_its_rows_once(spark):
     assert e["n_rows"] == short and r["tp"] + r["fp"] + r["fn"] + r["tn"] == rows.filter("id % 3 = 0").count()
 
 
+def test_scoreboard_reads_both_sides_once(spark):
+    read = {side: spark.sparkContext.accumulator(0) for side in ("train", "test")}
+
+    def counted(rows, side):
+        def run(batches):
+            for batch in batches:
+                read[side].add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    random_ = random.Random(3)
+    values = [(float(i), random_.random(), 3.0 * i + 5 * random_.random()) for i in range(300)] + [(None, 1.0, 2.0)]
+    rows = spark.createDataFrame(values, "a double, b double, y double").coalesce(1)
+    train, test = rows.filter("a is null or a % 3 > 0"), rows.filter("a is null or a % 3 = 0")
+    candidates = {
+        "linear": LinearRegression(labelCol="y"),
+        "robust": LinearRegression(labelCol="y", loss="huber", maxIter=20),
+        "forest": RandomForestRegressor(labelCol="y", numTrees=3, seed=2),
+        "boosting": GBTRegressor(labelCol="y", maxIter=3, maxDepth=2, seed=2),
+    }
+    got = models.scoreboard(counted(train, "train"), counted(test, "test"), ["a", "b"], "y", candidates)
+    each = [models.regression_metrics(models.fit(train, ["a", "b"], e).transform(test), "y", "prediction").first() for e in candidates.values()]
+    assert [tuple(r) for r in got.collect()] == [(*w, name) for w, name in zip(each, candidates)]
+    assert got.columns == [*each[0].asDict(), "model"] and each[0]["n_rows"] == 100
+    assert (read["train"].value, read["test"].value) == (201, 101)
+
+
+def test_scoreboard_without_test_rows_keeps_a_row_per_model(spark):
+    rows = spark.createDataFrame([(float(i), float(2 * i)) for i in range(20)], "a double, y double")
+    got = models.scoreboard(rows, rows.limit(0), ["a"], "y", {"one": LinearRegression(labelCol="y"), "two": LinearRegression(labelCol="y", regParam=0.1)})
+    assert [tuple(r) for r in got.collect()] == [(0, None, None, None, None, name) for name in ("one", "two")]
+
+
 def test_join_sides_are_dealt_by_their_rows(spark, monkeypatch):
     left, right = spark.range(1000).withColumnRenamed("id", "a"), spark.range(100).withColumnRenamed("id", "b")
     assert base.dealt(left, "a", right, "b") == (left, right)
