@@ -320,7 +320,7 @@ def _of_all_pairs(df: DataFrame, features: Column, cluster: Column, keys: Sequen
 
         def packed() -> pa.RecordBatch:
             c, x = (np.concatenate(a) for a in zip(*held))
-            out = [pa.array([v], pa.int64()) for v in (part, at, c[0], (c == c[0]).sum(), c[-1], (c == c[-1]).sum())]
+            out = [pa.array([v], pa.int64()) for v in (part, at, len(c), c[0], (c == c[0]).sum(), c[-1], (c == c[-1]).sum())]
             return pa.RecordBatch.from_arrays([*out, *[pa.array([a.tobytes()], pa.binary()) for a in (c, x)]], names=kinds)
 
         for batch in batches:
@@ -338,12 +338,12 @@ def _of_all_pairs(df: DataFrame, features: Column, cluster: Column, keys: Sequen
         if held:
             yield packed()
 
-    kinds = ["p", "i", "low", "n_low", "high", "n_high", "c", "x"]
+    kinds = ["p", "i", "n", "low", "n_low", "high", "n_high", "c", "x"]
     ranged = rows.filter(whole).repartitionByRange(parts, "c", "h").sortWithinPartitions("c", "h").select("c", "x")
     blocks = ranged.mapInArrow(cut, ", ".join(f"{k} {'binary' if k in 'cx' else 'long'}" for k in kinds)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         edges = blocks.select(*kinds[:-2]).collect()
-        met = _met(blocks, edges)
+        met = _met(blocks, sorted(edges, key=lambda r: (r["p"], r["i"])), most)
         scored = sorted((r["to"], r["n"], r["v"]) for r in met.collect())
     finally:
         blocks.unpersist()
@@ -352,30 +352,41 @@ def _of_all_pairs(df: DataFrame, features: Column, cluster: Column, keys: Sequen
     return Silhouette(fsum(v for _, _, v in scored) / facts["all"], 0.0, facts["all"])
 
 
-def _met(blocks: DataFrame, edges: Sequence[Row]) -> DataFrame:
-    """(to, n, v): rows and sum of silhouettes of each block."""
-    count = len(edges)
+def _met(blocks: DataFrame, edges: Sequence[Row], most: int) -> DataFrame:
+    """(to, n, v): rows and sum of silhouettes of each block, of which small neighbours are joined up to ``most`` rows."""
     each = Counter(r["p"] for r in edges)
     before = np.cumsum([0, *(each[p] for p in range(max(each) + 1))])[:-1].tolist()
-    held = [pair for r in edges for pair in {(r["low"], r["n_low"]), (r["high"], r["n_high"])}]
-    rows, times = Counter(), Counter(name for name, _ in held)
-    for name, n in held:
-        rows[name] += n
-    shared = {name: rows[name] for name, k in times.items() if k > 1}
+    home, size = [0], edges[0]["n"]  # the joined block of each
+    for r in edges[1:]:
+        fits = size + r["n"] <= most
+        home.append(home[-1] if fits else home[-1] + 1)
+        size = size + r["n"] if fits else r["n"]
+    parts, count = Counter(home), home[-1] + 1
+    rows, places = Counter(), set()
+    for at, r in zip(home, edges):
+        for name, n in {(r["low"], r["n_low"]), (r["high"], r["n_high"])}:
+            rows[name] += n
+            places.add((name, at))
+    shared = {name: rows[name] for name, k in Counter(name for name, _ in places).items() if k > 1}
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
+        waiting: dict[tuple[int, int], dict[int, dict]] = {}
+
+        def whole(held: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+            c, x = (np.concatenate(a) for a in zip(*(held[nth] for nth in sorted(held))))
+            return c, x
+
         for batch in batches:
-            for task, b, c, x in zip(batch.column("task").to_pylist(), batch.column("b").to_pylist(), batch.column("c"), batch.column("x")):
+            for b, o, nth, c, x in zip(*(batch.column(k).to_pylist() for k in ("b", "o", "nth")), batch.column("c"), batch.column("x")):
                 own = np.frombuffer(c.as_buffer(), np.int64)
-                here = waiting.setdefault(task, [])
-                here.append((b, (own, np.frombuffer(x.as_buffer()).reshape(len(own), -1))))
-                alone = task == b * (b + 3) // 2  # the block and itself
-                if not alone and len(here) < 2:
+                here = waiting.setdefault((min(b, o), max(b, o)), {b: {}, o: {}})
+                here[b][nth] = own, np.frombuffer(x.as_buffer()).reshape(len(own), -1)
+                if any(len(held) < parts[at] for at, held in here.items()):
                     continue
-                (i, first), (j, second) = here[0], here[-1]
-                del waiting[task]
-                for to, other, seen in zip((i, j), (j, i), meet(first, None if alone else second, shared)):
+                i, j = min(b, o), max(b, o)
+                del waiting[i, j]
+                alone = i == j  # the block and itself
+                for to, other, seen in zip((i, j), (j, i), meet(whole(here[i]), None if alone else whole(here[j]), shared)):
                     if seen is not None:
                         out = [pa.array([to]), pa.array([other]), pa.array([seen.best.tobytes()], pa.binary())]
                         out += [pa.array([a.tobytes() if alone else None], pa.binary()) for a in (seen.c, seen.own)]
@@ -405,11 +416,15 @@ def _met(blocks: DataFrame, edges: Sequence[Row]) -> DataFrame:
             a = np.divide(same, size - 1, out=np.full(len(c), np.inf), where=size > 1)  # a row is no neighbour of itself
             yield pa.RecordBatch.from_arrays([pa.array([to]), pa.array([len(c)]), pa.array([_score(a, near)[0].sum()])], names=["to", "n", "v"])
 
-    b = F.element_at(F.array(*map(F.lit, before)), (F.col("p") + 1).cast("int")) + F.col("i")
-    sent = blocks.select(b.cast("long").alias("b"), "c", "x").select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("o"))
+    def looked_up(values: Sequence[int], at: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+
+    nth = blocks.select((looked_up(before, F.col("p")) + F.col("i")).cast("long").alias("nth"), "c", "x")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    sent = nth.select("nth", looked_up(home, F.col("nth")).cast("long").alias("b"), "c", "x", others.alias("o"))
     high = F.greatest("b", "o")
-    sent = sent.select("b", "c", "x", (F.floor(high * (high + 1) / 2) + F.least("b", "o")).cast("int").alias("task"))
-    seen = sent.repartitionById(count * (count + 1) // 2, "task").mapInArrow(
+    task = (F.floor(high * (high + 1) / 2) + F.least("b", "o")).cast("int")
+    seen = sent.repartitionById(count * (count + 1) // 2, task).mapInArrow(
         pairs, "to long, other long, best binary, c binary, own binary, names array<long>, sums array<binary>"
     )
     return seen.repartitionById(count, F.col("to").cast("int")).mapInArrow(score, "to long, n long, v double")

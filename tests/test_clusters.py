@@ -81,6 +81,19 @@ def test_all_pairs_count_without_anchors(spark, monkeypatch, case, rows):
     assert got.score == pytest.approx(brute(x, own), rel=1e-9, abs=1e-12)
 
 
+def test_small_blocks_are_joined_before_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    own = rng.integers(0, 3, 150)
+    x = rng.normal(0, 1, (150, 4)) + own[:, None]
+    monkeypatch.setattr(cl, "BLOCK_VALUES", 60 * 4)
+    df, tasks = frame(spark, x, own), []
+    ranged, dealt = type(df).repartitionByRange, type(df).repartitionById
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *by: ranged(self, 37, *by))
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, n, by: tasks.append(n) or dealt(self, n, by))
+    assert measured(df, None, None).score == pytest.approx(brute(x, own), rel=1e-9)
+    assert max(tasks) <= 5 * 6 // 2  # 37 blocks would be 703 pairs
+
+
 def test_all_pairs_rows_without_cluster_or_vector_count_zero(spark):
     rng = np.random.default_rng(13)
     own = rng.integers(0, 3, 60)
